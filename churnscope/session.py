@@ -22,6 +22,7 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
                 app: str = "churnscope") -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
     builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", "16g")
     for k, v in SESSION_CONF.items():
