@@ -88,9 +88,18 @@ def fmt_delta(x, decimals: int = 1) -> Column:
 # Output normalisation -------------------------------------------------------
 
 def round6(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (and fold -0.0 to 0.0) for stable comparison."""
+    """Round every double column for stable cross-engine comparison.
+
+    ``floor(x * 10^d + 0.5) / 10^d`` is spelled out so that both engines do
+    the same IEEE operations (their built-in ``round`` differ at near-ties);
+    ``+ 0.0`` folds -0.0 to 0.0; infinities and NaN pass through.
+    """
     out = {}
+    scale = float(10 ** digits)
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
-            out[f.name] = F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)
+            x = F.col(f.name).cast("double")
+            r = (F.floor(x * scale + 0.5).cast("double") / scale) + F.lit(0.0)
+            finite = ~(F.isnan(x) | (F.abs(x) == float("inf")))
+            out[f.name] = F.when(finite, r).otherwise(x)
     return df.withColumns(out) if out else df

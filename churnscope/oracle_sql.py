@@ -63,7 +63,10 @@ TX = {"orders": TX_ORDERS, "events": TX_EVENTS}
 
 
 def r6(expr: str) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    """Same rounding as ``functions.scalar.round6`` (explicit IEEE steps)."""
+    x = f"CAST({expr} AS DOUBLE)"
+    return (f"(CASE WHEN isfinite({x}) THEN floor({x} * 1000000.0 + 0.5) / 1000000.0 + 0.0 "
+            f"ELSE {x} END)")
 
 
 # --------------------------------------------------------------------------
@@ -243,3 +246,200 @@ SELECT b.customer_id, CAST(b.recency AS BIGINT) AS recency, CAST(b.frequency AS
        CAST(b.recency > {C.CHURN_WINDOW_DAYS} AS INTEGER) AS churn
 FROM base b JOIN trend t USING (customer_id)
 """
+
+
+# --------------------------------------------------------------------------
+# Labels, cohorts, scores, portfolio
+# --------------------------------------------------------------------------
+
+from churnscope.functions.random import sql_key32, sql_uniform  # noqa: E402
+
+
+def _threshold_query(source: str) -> str:
+    return (f"WITH {features_ctes(source)}, {threshold_cte(source)} "
+            f"SELECT {r6(f'avg(CASE WHEN recency > {C.CHURN_WINDOW_DAYS} THEN 1.0 ELSE 0.0 END)')} AS fixed_rate, "
+            f"{r6('(SELECT t FROM thr)')} AS threshold FROM feat")
+
+
+ORACLES["F20_churn_threshold"] = _threshold_query("orders")
+ORACLES["F20_churn_threshold_events"] = _threshold_query("events")
+for _name, _src in (("F18_F19_labelled_features", "orders"), ("F18_F20_labelled_features_events", "events")):
+    ORACLES[_name] = (f"WITH {labelled_ctes(_src)} SELECT "
+                      f"{feature_select('cust', ('clv',), ('cust.churn',))} FROM cust")
+
+
+def cohort_ctes(source: str) -> str:
+    """CTEs ending in ``cc(cohort, cohort_index, customers)`` and ``ret``."""
+    return labelled_ctes(source) + """,
+coh AS (
+  SELECT tx.customer_id, tx.ts,
+         min(tx.ts) OVER (PARTITION BY tx.customer_id) AS first_ts
+  FROM tx JOIN cust USING (customer_id)
+),
+cc AS (
+  SELECT year(first_ts) * 12 + month(first_ts) - 1 AS cohort,
+         (year(ts) * 12 + month(ts)) - (year(first_ts) * 12 + month(first_ts)) AS cohort_index,
+         count(DISTINCT customer_id) AS customers
+  FROM coh GROUP BY 1, 2
+),
+sized AS (
+  SELECT cc.*, max(CASE WHEN cohort_index = 0 THEN customers END) OVER (PARTITION BY cohort) AS size
+  FROM cc
+),
+ret AS (
+  SELECT s.* FROM sized s
+  WHERE cohort IN (SELECT DISTINCT cohort FROM cc ORDER BY cohort LIMIT 12)
+    AND cohort_index IN (SELECT DISTINCT cohort_index FROM cc ORDER BY cohort_index LIMIT 12)
+)"""
+
+
+def _month_label(expr: str) -> str:
+    return (f"printf('%04d-%02d', CAST(floor(({expr}) / 12) AS INTEGER), "
+            f"CAST(({expr}) - floor(({expr}) / 12) * 12 + 1 AS INTEGER))")
+
+
+ORACLES["A15_cohort_counts"] = (
+    f"WITH {cohort_ctes('orders')} SELECT {_month_label('cohort')} AS cohort_month, "
+    "CAST(cohort_index AS INTEGER) AS cohort_index, CAST(customers AS BIGINT) AS customers FROM cc")
+for _name, _src in (("A16_cohort_retention", "orders"), ("A16_cohort_retention_events", "events")):
+    ORACLES[_name] = (
+        f"WITH {cohort_ctes(_src)} SELECT {_month_label('cohort')} AS cohort_month, "
+        "CAST(cohort_index AS INTEGER) AS cohort_index, CAST(customers AS BIGINT) AS customers, "
+        f"{r6('round_even(CAST(customers AS DOUBLE) / CAST(size AS DOUBLE), 3)')} AS rate FROM ret")
+
+ORACLES["A17_cohort_pivot"] = (
+    f"WITH {cohort_ctes('orders')}, lab AS (SELECT {_month_label('cohort')} AS cohort_month, cohort_index, "
+    "round_even(round_even(CAST(customers AS DOUBLE) / CAST(size AS DOUBLE), 3) * 100, 1) AS pct FROM ret) "
+    "SELECT cohort_month, "
+    + ", ".join(f"{r6(f'max(CASE WHEN cohort_index = {i} THEN pct END)')} AS \"Month {i}\"" for i in range(12))
+    + " FROM lab GROUP BY cohort_month")
+
+
+def scored_ctes(source: str) -> str:
+    """CTEs ending in ``scored``: the risk score table on the fixture probability."""
+    labels = ", ".join(f"({i + 1}, '{s}')" for i, s in enumerate(C.SEGMENT_LABELS))
+    gain = f"(clv * {1 - C.DISCOUNT_RATE!r})"
+    return labelled_ctes(source) + f""",
+seg AS (SELECT cust.*, CAST(CAST(customer_id AS BIGINT) % {C.N_SEGMENTS} AS INTEGER) AS segment_id FROM cust),
+segrank AS (
+  SELECT segment_id, row_number() OVER (ORDER BY avg(clv) DESC, segment_id) AS r
+  FROM seg GROUP BY segment_id
+),
+labels(r, segment) AS (VALUES {labels}),
+prob AS (
+  SELECT seg.*, labels.segment,
+         CAST(seg.recency AS DOUBLE) / (CAST(seg.recency AS DOUBLE) + (SELECT t FROM thr)) AS churn_prob
+  FROM seg JOIN segrank USING (segment_id) JOIN labels USING (r)
+),
+fin AS (
+  SELECT prob.*, churn_prob * clv AS expected_loss, {gain} AS retention_gain,
+         {gain} - {C.RETENTION_COST_PER_CUSTOMER!r} AS net_roi,
+         ({gain} - {C.RETENTION_COST_PER_CUSTOMER!r}) * churn_prob AS intervention_roi
+  FROM prob
+),
+scored AS (
+  SELECT fin.*,
+    CASE WHEN churn_prob >= {C.TIER_CRITICAL} THEN 'Critical Risk'
+         WHEN churn_prob >= {C.TIER_HIGH} THEN 'High Risk'
+         WHEN churn_prob >= {C.TIER_MEDIUM} THEN 'Medium Risk'
+         WHEN churn_prob >= {C.TIER_LOW} THEN 'Low Risk' ELSE 'Safe' END AS risk_tier,
+    CASE WHEN churn_prob >= {C.TIER_CRITICAL} AND net_roi > 0 THEN '{C.DECISION_URGENT}'
+         WHEN churn_prob >= {C.TIER_HIGH} AND net_roi > 0 THEN '{C.DECISION_HIGH}'
+         WHEN churn_prob >= {C.TIER_MEDIUM} AND net_roi > 0 THEN '{C.DECISION_MEDIUM}'
+         WHEN churn_prob < {C.TIER_MEDIUM} THEN '{C.DECISION_MONITOR}'
+         ELSE '{C.DECISION_DO_NOT}' END AS decision
+  FROM fin
+)"""
+
+
+SCORE_DOUBLES = ("clv", "churn_prob", "expected_loss", "retention_gain", "net_roi", "intervention_roi")
+
+
+def score_select(alias: str = "scored") -> str:
+    return feature_select(alias, SCORE_DOUBLES, (f"{alias}.churn", f"{alias}.segment_id",
+                                                 f"{alias}.segment", f"{alias}.risk_tier",
+                                                 f"{alias}.decision"))
+
+
+for _name, _src in (("C1_C3_customer_risk_scores", "orders"), ("C1_C3_customer_risk_scores_events", "events")):
+    ORACLES[_name] = f"WITH {scored_ctes(_src)} SELECT {score_select()} FROM scored"
+
+ORACLES["C5_stress_clip"] = (
+    f"WITH {scored_ctes('orders')} SELECT customer_id, "
+    + ", ".join(f"{r6(f'greatest(least(churn_prob * {m!r}, 1.0), 0.0)')} AS p_{i}"
+                for i, (_, m, _v) in enumerate(C.STRESS_SCENARIOS))
+    + " FROM scored")
+
+ORACLES["C4_baseline_decisions"] = ORACLES["F22_baseline_features"].replace(
+    "FROM base b JOIN trend t USING (customer_id)", "") .strip()
+# (rebuilt below as a full query)
+ORACLES["C4_baseline_decisions"] = f"""
+WITH bf AS ({ORACLES['F22_baseline_features']}),
+p AS (
+  SELECT bf.*, CAST(recency AS DOUBLE) / (CAST(recency AS DOUBLE) + {float(C.CHURN_WINDOW_DAYS)}) AS churn_prob,
+         monetary * {C.AVG_PROFIT_MARGIN} AS clv
+  FROM bf
+),
+q AS (
+  SELECT p.*, churn_prob * clv AS expected_loss, clv * {1 - C.DISCOUNT_RATE!r} AS retention_gain,
+         clv * {1 - C.DISCOUNT_RATE!r} - {C.RETENTION_COST_PER_CUSTOMER!r} AS roi
+  FROM p
+)
+SELECT customer_id, recency, frequency, monetary, avg_order_value, trend, churn,
+       {r6('churn_prob')} AS churn_prob, {r6('clv')} AS clv, {r6('expected_loss')} AS expected_loss,
+       {r6('retention_gain')} AS retention_gain, {r6('roi')} AS roi,
+       CASE WHEN churn_prob > {C.BASELINE_HIGH_P} AND roi > 0 THEN '{C.BASELINE_HIGH}'
+            WHEN churn_prob > {C.BASELINE_MEDIUM_P} AND roi > 0 THEN '{C.BASELINE_MEDIUM}'
+            WHEN churn_prob <= {C.BASELINE_MEDIUM_P} THEN '{C.BASELINE_NONE}'
+            ELSE '{C.BASELINE_DO_NOT}' END AS decision
+FROM q
+"""
+
+
+def losses_ctes(source: str, n_sims: int = C.MC_SIMULATIONS, seed: int = C.RANDOM_STATE) -> str:
+    """CTEs ending in ``losses(sim, loss)``: the Monte Carlo on the fixture scores."""
+    k = sql_key32(f"customer_id || '|' || '{seed}'")
+    return scored_ctes(source) + f""",
+keys AS (SELECT {k} AS k, churn_prob AS p, clv FROM scored),
+sims AS (SELECT range AS sim FROM range(0, {n_sims})),
+losses AS (
+  SELECT sim, sum(CASE WHEN {sql_uniform('k', 'sim')} < p THEN clv ELSE 0.0 END) AS loss
+  FROM keys, sims GROUP BY sim
+)"""
+
+
+ORACLES["R1_loss_distribution"] = (
+    f"WITH {losses_ctes('orders')} SELECT CAST(sim AS BIGINT) AS sim, {r6('loss')} AS loss FROM losses")
+
+ORACLES["R2_loss_stats"] = f"""
+WITH {losses_ctes('orders')},
+v AS (SELECT quantile_cont(loss, {C.MC_CONFIDENCE}) AS var FROM losses)
+SELECT {r6('round_even(avg(loss), 2)')} AS mc_mean_loss,
+       {r6('round_even((SELECT var FROM v), 2)')} AS var_95,
+       {r6('round_even(avg(CASE WHEN loss >= (SELECT var FROM v) THEN loss END), 2)')} AS cvar_95,
+       CAST(count(*) AS INTEGER) AS mc_simulations
+FROM losses"""
+
+
+def _stress(source: str) -> str:
+    sc = ", ".join(f"('{n}', {cm!r}, {vm!r})" for n, cm, vm in C.STRESS_SCENARIOS)
+    return f"""
+WITH {losses_ctes(source)},
+ref AS (SELECT avg(loss) AS m FROM losses),
+scen(scenario, churn_multiplier, clv_multiplier) AS (VALUES {sc}),
+agg AS (
+  SELECT scen.scenario, CAST(scen.churn_multiplier AS DOUBLE) AS churn_multiplier,
+         CAST(scen.clv_multiplier AS DOUBLE) AS clv_multiplier,
+         sum(greatest(least(s.churn_prob * scen.churn_multiplier, 1.0), 0.0) * s.clv * scen.clv_multiplier) AS loss,
+         sum(CASE WHEN greatest(least(s.churn_prob * scen.churn_multiplier, 1.0), 0.0) >= {C.TIER_HIGH}
+                  THEN 1 ELSE 0 END) AS hr
+  FROM scored s, scen GROUP BY 1, 2, 3
+)
+SELECT scenario, {r6('churn_multiplier')} AS churn_multiplier, {r6('clv_multiplier')} AS clv_multiplier,
+       {r6('round_even(loss, 0)')} AS expected_loss, CAST(hr AS BIGINT) AS high_risk_customers,
+       {r6('round_even((loss / (SELECT m FROM ref) - 1) * 100, 1)')} AS loss_delta_pct
+FROM agg"""
+
+
+ORACLES["R3_stress_test"] = _stress("orders")
+ORACLES["R3_stress_test_events"] = _stress("events")

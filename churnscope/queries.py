@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from churnscope.functions.scalar import round6
 from churnscope.operators.clean import clean
 from churnscope.operators import features as FE
+from churnscope.session import write_table
 from churnscope.sources.adapters import ADAPTERS
 
 REGISTRY: dict = {}
@@ -25,8 +26,21 @@ def query(name: str):
     return deco
 
 
+_TABLES: dict = {}
+
+
+def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """One written copy per session of a shared intermediate table."""
+    k = (id(spark),) + key
+    if k not in _TABLES:
+        _TABLES[k] = write_table(build(), "_".join(str(x) for x in key[1:]))
+    return _TABLES[k]
+
+
 def tx_of(spark: SparkSession, sf_dir: str, source: str = "orders") -> DataFrame:
-    return clean(ADAPTERS[source](spark, sf_dir))
+    """Cleaned transaction lines of an adapter, written once per session."""
+    return _memo(spark, ("tx", sf_dir, source),
+                 lambda: clean(ADAPTERS[source](spark, sf_dir)))
 
 
 def out(df: DataFrame) -> DataFrame:
@@ -65,3 +79,142 @@ def q_features_events(spark, sf_dir):
 def q_baseline(spark, sf_dir):
     return out(FE.baseline_features(tx_of(spark, sf_dir, "orders")))
 FLAGSHIP = "F21_customer_features"
+
+
+# ---------------------------------------------------------------- shared tables
+
+from churnscope import config as C  # noqa: E402
+from churnscope.operators import cohorts as CO  # noqa: E402
+from churnscope.operators import metrics as ME  # noqa: E402
+from churnscope.operators import portfolio as PF  # noqa: E402
+from churnscope.operators import scoring as SC  # noqa: E402
+from churnscope.operators import summaries as SU  # noqa: E402
+
+
+def cust_of(spark, sf_dir, source="orders"):
+    """Features + calibrated churn label + CLV, written once per session."""
+    return _memo(spark, ("cust", sf_dir, source),
+                 lambda: FE.labelled_features(tx_of(spark, sf_dir, source)))
+
+
+def scored_of(spark, sf_dir, source="orders"):
+    """The risk score table on the fixture probability and fixture segments."""
+    def build():
+        cust = cust_of(spark, sf_dir, source)
+        t = FE.churn_threshold(cust)
+        c = SC.label_segments(SC.fixture_segments(SC.fixture_probability(cust, t)))
+        return SC.score_table(c)
+    return _memo(spark, ("scored", sf_dir, source), build)
+
+
+def losses_of(spark, sf_dir, source="orders", n_sims=C.MC_SIMULATIONS):
+    return _memo(spark, ("losses", sf_dir, source, n_sims),
+                 lambda: PF.loss_distribution(scored_of(spark, sf_dir, source), n_sims))
+
+
+# ---------------------------------------------------------------- labels
+
+@query("F20_churn_threshold")
+def q_threshold(spark, sf_dir):
+    cust = FE.customer_features(tx_of(spark, sf_dir, "orders"))
+    return out(cust.agg(F.avg((F.col("recency") > C.CHURN_WINDOW_DAYS).cast("double")).alias("fixed_rate"))
+               .select("fixed_rate", FE.churn_threshold(cust).alias("threshold")))
+
+
+@query("F20_churn_threshold_events")
+def q_threshold_events(spark, sf_dir):
+    cust = FE.customer_features(tx_of(spark, sf_dir, "events"))
+    return out(cust.agg(F.avg((F.col("recency") > C.CHURN_WINDOW_DAYS).cast("double")).alias("fixed_rate"))
+               .select("fixed_rate", FE.churn_threshold(cust).alias("threshold")))
+
+
+@query("F18_F19_labelled_features")
+def q_labelled(spark, sf_dir):
+    return out(cust_of(spark, sf_dir, "orders"))
+
+
+@query("F18_F20_labelled_features_events")
+def q_labelled_events(spark, sf_dir):
+    return out(cust_of(spark, sf_dir, "events"))
+
+
+# ---------------------------------------------------------------- cohorts
+
+@query("A15_cohort_counts")
+def q_cohort_counts(spark, sf_dir):
+    cc = CO.cohort_counts(tx_of(spark, sf_dir, "orders"), cust_of(spark, sf_dir, "orders"))
+    return cc.select(CO.month_label(F.col("cohort")).alias("cohort_month"),
+                     F.col("cohort_index").cast("int").alias("cohort_index"), "customers")
+
+
+@query("A16_cohort_retention")
+def q_cohort_retention(spark, sf_dir):
+    return out(CO.cohort_retention(tx_of(spark, sf_dir, "orders"), cust_of(spark, sf_dir, "orders")))
+
+
+@query("A16_cohort_retention_events")
+def q_cohort_retention_events(spark, sf_dir):
+    return out(CO.cohort_retention(tx_of(spark, sf_dir, "events"), cust_of(spark, sf_dir, "events")))
+
+
+@query("A17_cohort_pivot")
+def q_cohort_pivot(spark, sf_dir):
+    ret = CO.cohort_retention(tx_of(spark, sf_dir, "orders"), cust_of(spark, sf_dir, "orders"))
+    return out(CO.cohort_pivot(ret))
+
+
+# ---------------------------------------------------------------- scoring
+
+@query("C1_C3_customer_risk_scores")
+def q_scores(spark, sf_dir):
+    return out(scored_of(spark, sf_dir, "orders"))
+
+
+@query("C1_C3_customer_risk_scores_events")
+def q_scores_events(spark, sf_dir):
+    return out(scored_of(spark, sf_dir, "events"))
+
+
+@query("C4_baseline_decisions")
+def q_baseline_decisions(spark, sf_dir):
+    from churnscope.functions.scalar import baseline_decision
+    b = FE.baseline_features(tx_of(spark, sf_dir, "orders"))
+    r = F.col("recency").cast("double")
+    b = b.withColumn("churn_prob", r / (r + F.lit(float(C.CHURN_WINDOW_DAYS))))
+    b = b.withColumn("clv", F.col("monetary") * F.lit(C.AVG_PROFIT_MARGIN))
+    b = b.withColumn("expected_loss", F.col("churn_prob") * F.col("clv"))
+    b = b.withColumn("retention_gain", F.col("clv") * F.lit(1 - C.DISCOUNT_RATE))
+    b = b.withColumn("roi", F.col("retention_gain") - F.lit(C.RETENTION_COST_PER_CUSTOMER))
+    return out(b.withColumn("decision", baseline_decision("churn_prob", "roi")))
+
+
+@query("C5_stress_clip")
+def q_clip(spark, sf_dir):
+    from churnscope.functions.scalar import clip
+    s = scored_of(spark, sf_dir, "orders")
+    return out(s.select("customer_id", *[clip(F.col("churn_prob") * F.lit(m)).alias(f"p_{i}")
+                                         for i, (_, m, _v) in enumerate(C.STRESS_SCENARIOS)]))
+
+
+# ---------------------------------------------------------------- portfolio
+
+@query("R1_loss_distribution")
+def q_losses(spark, sf_dir):
+    return out(losses_of(spark, sf_dir, "orders"))
+
+
+@query("R2_loss_stats")
+def q_loss_stats(spark, sf_dir):
+    return out(PF.loss_stats(losses_of(spark, sf_dir, "orders")))
+
+
+@query("R3_stress_test")
+def q_stress(spark, sf_dir):
+    ref = losses_of(spark, sf_dir, "orders").agg(F.avg("loss")).scalar()
+    return out(PF.stress_test(scored_of(spark, sf_dir, "orders"), ref))
+
+
+@query("R3_stress_test_events")
+def q_stress_events(spark, sf_dir):
+    ref = losses_of(spark, sf_dir, "events").agg(F.avg("loss")).scalar()
+    return out(PF.stress_test(scored_of(spark, sf_dir, "events"), ref))
