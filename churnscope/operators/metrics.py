@@ -18,9 +18,11 @@ def prefix_sums(df: DataFrame, order_col: str, cols, n_buckets: int = 64,
     """Inclusive running sums of ``cols`` in ascending ``order_col`` order,
     added as ``cum_<col>``. ``order_col`` values must be distinct."""
     if n_buckets > 1:
+        # Split points from a bounded sketch (n_buckets - 1 numbers).
         qs = [i / n_buckets for i in range(1, n_buckets)]
-        splits = df.agg(F.percentile_approx(order_col, F.array(*[F.lit(q) for q in qs]), accuracy)).scalar()
-        bucket = F.size(F.filter(splits, lambda s: s < F.col(order_col)))
+        splits = sorted(set(df.stat.approxQuantile(order_col, qs, 1.0 / accuracy)))
+        arr = F.array(*[F.lit(float(s)) for s in splits]) if splits else F.array().cast("array<double>")
+        bucket = F.size(F.filter(arr, lambda s: s < F.col(order_col)))
     else:
         bucket = F.lit(0)
     b = df.withColumn("_bucket", bucket)

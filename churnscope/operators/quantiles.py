@@ -1,51 +1,74 @@
 """Exact linear-interpolated quantiles without gathering a whole column.
 
 Spark's exact ``percentile`` merges every distinct value into one buffer on
-one task. Here an approximate quantile sketch (bounded size) first brackets
-the target rank; only the distinct values inside the bracket, about
-4/accuracy of all rows however the values tie, are ranked exactly, offset by
-the count of values below the bracket. Every step is a scalar subquery, so the
-result is a Column usable in any ``select``/``agg``.
+one task. Here one pass computes, for every requested (column, q), a bracket
+around the target rank from an approximate quantile sketch (bounded size).
+Then, per quantile, only the distinct values inside the bracket (about
+6/accuracy of all rows, however the values tie) are ranked exactly, with all
+values below the bracket folded into one counted group. Like
+``DataFrame.stat.approxQuantile`` this is an action and returns numbers; only
+O(1) values per quantile reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 20000
 
 
-def _value_at(bracket: DataFrame, x: str, rank: Column) -> Column:
-    row = bracket.filter((F.col("cum_start") <= rank) & (rank < F.col("cum_end")))
-    return row.agg(F.min(F.col(x))).scalar()
+def exact_quantiles(df: DataFrame, specs, accuracy: int = ACCURACY) -> dict:
+    """{(col, q): value} for each (col, q) in ``specs`` (nulls ignored,
+    interpolation as numpy/pandas ``quantile``; None for an empty column)."""
+    specs = list(dict.fromkeys(specs))
+    d = 3.0 / accuracy
+    cols = list(dict.fromkeys(c for c, _ in specs))
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        qs = sorted({max(q - d, 0.0) for cc, q in specs if cc == c} | {min(q + d, 1.0) for cc, q in specs if cc == c})
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
+                 F.percentile_approx(x, F.array(*[F.lit(q) for q in qs]), accuracy).alias(f"br{i}")]
+        cols[i] = (c, qs)
+    row = df.agg(*aggs).first()
+    out = {}
+    for i, (c, qs) in enumerate(cols):
+        n, mn, mx, br = row[f"n{i}"], row[f"mn{i}"], row[f"mx{i}"], row[f"br{i}"]
+        bracket = dict(zip(qs, br or []))
+        for cc, q in specs:
+            if cc != c:
+                continue
+            if not n:
+                out[(c, q)] = None
+                continue
+            lo_q, hi_q = max(q - d, 0.0), min(q + d, 1.0)
+            lo = mn if lo_q <= 0 else bracket[lo_q]
+            hi = mx if hi_q >= 1 else bracket[hi_q]
+            r = (n - 1) * q
+            r0, r1 = math.floor(r), math.ceil(r)
+            x = F.col("x")
+            # Values below the bracket collapse into one group (key null).
+            key = F.when(x < F.lit(lo), F.lit(None).cast("double")).otherwise(x)
+            g = (df.select(F.col(c).cast("double").alias("x")).filter(F.col("x").isNotNull() & (F.col("x") <= F.lit(hi)))
+                 .groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c")))
+            w = Window.orderBy(F.asc_nulls_first("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            cum = g.withColumn("cum_end", F.sum("c").over(w)).withColumn("cum_start", F.col("cum_end") - F.col("c"))
+            hits = cum.filter(F.col("k").isNotNull() & (
+                ((F.col("cum_start") <= r0) & (F.lit(r0) < F.col("cum_end")))
+                | ((F.col("cum_start") <= r1) & (F.lit(r1) < F.col("cum_end"))))).collect()
+            vals = {}
+            for h in hits:
+                for rr in (r0, r1):
+                    if h["cum_start"] <= rr < h["cum_end"]:
+                        vals[rr] = h["k"]
+            if r0 not in vals or r1 not in vals:
+                raise RuntimeError(f"quantile bracket missed rank for {c} q={q}")
+            out[(c, q)] = vals[r0] + (vals[r1] - vals[r0]) * (r - r0)
+    return out
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = ACCURACY) -> Column:
-    """The q-quantile of ``df[col]`` (nulls ignored, linear interpolation
-    between order statistics, as numpy/pandas ``quantile``), as a scalar."""
-    x = F.col(col).cast("double")
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    d = 3.0 / accuracy
-    lo_q, hi_q = max(q - d, 0.0), min(q + d, 1.0)
-    st = vals.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("x").alias("mn"), F.max("x").alias("mx"),
-        F.percentile_approx("x", F.array(F.lit(lo_q), F.lit(hi_q)), accuracy).alias("br"),
-    )
-    lo = st.select(F.when(F.lit(lo_q) <= 0, F.col("mn")).otherwise(F.col("br")[0])).scalar()
-    hi = st.select(F.when(F.lit(hi_q) >= 1, F.col("mx")).otherwise(F.col("br")[1])).scalar()
-    n = st.select("n").scalar()
-    below = vals.filter(F.col("x") < lo).agg(F.count(F.lit(1))).scalar()
-    inside = vals.filter((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy("x").agg(
-        F.count(F.lit(1)).alias("c"))
-    # The bracket holds O(n / accuracy) distinct values: one ordered window.
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = inside.withColumn("cum_end", below + F.sum("c").over(w)).withColumn(
-        "cum_start", F.col("cum_end") - F.col("c"))
-    r = (n - 1).cast("double") * F.lit(q)
-    r0 = F.floor(r)
-    r1 = F.ceil(r)
-    v0 = _value_at(cum, "x", r0)
-    v1 = _value_at(cum, "x", r1)
-    return v0 + (v1 - v0) * (r - r0)
+def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = ACCURACY) -> float:
+    return exact_quantiles(df, [(col, q)], accuracy)[(col, q)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from churnscope import config as C
 from churnscope.config import DEFAULT, RiskConfig
 from churnscope.functions.scalar import fmt_delta, fmt_money, fmt_mult, fmt_pct
-from churnscope.operators.quantiles import exact_quantile
+from churnscope.operators.quantiles import exact_quantiles
 
 
 def _dbl(c) -> Column:
@@ -208,7 +208,9 @@ def portfolio_summary(cust: DataFrame, stats: DataFrame, metrics: DataFrame) ->
         F.count(F.lit(1)).alias("total_customers"),
         F.sum(F.when(F.col("risk_tier").isin(*C.AT_RISK_TIERS), 1).otherwise(0)).cast("bigint")
         .alias("at_risk_customers"),
-        F.bround(F.sum("clv"), 2).alias("total_clv"),
+        # CLV is a margin on cent amounts (4 places): summed exactly in
+        # decimal so the half-even rounding of the total is well defined.
+        F.bround(F.sum(F.col("clv").cast("decimal(38,4)")), 2).cast("double").alias("total_clv"),
         F.bround(F.sum("expected_loss"), 2).alias("expected_loss"),
         F.bround(F.avg("churn_prob") * 100, 1).alias("avg_churn_rate"),
         F.bround(F.first(var), 2).alias("var_95"),
@@ -251,9 +253,8 @@ def probability_histogram(cust: DataFrame, bins: int = 50, cfg: RiskConfig = DEF
 def value_risk_quadrants(cust: DataFrame, risk_cut: float = 0.5) -> DataFrame:
     """CLV median / 90th / 10th percentiles and customers per quadrant
     (value >= median, probability >= risk_cut)."""
-    med = exact_quantile(cust, "clv", 0.5)
-    q90 = exact_quantile(cust, "clv", 0.9)
-    q10 = exact_quantile(cust, "clv", 0.1)
+    qv = exact_quantiles(cust, [("clv", 0.5), ("clv", 0.9), ("clv", 0.1)])
+    med, q90, q10 = (F.lit(qv[("clv", q)]).cast("double") for q in (0.5, 0.9, 0.1))
     hv = F.col("clv") >= med
     hr = F.col("churn_prob") >= risk_cut
     quad = (F.when(hv & hr, "URGENT").when(hv, "CHAMPION").when(hr, "BORDERLINE").otherwise("MONITOR"))
@@ -267,7 +268,9 @@ def value_risk_quadrants(cust: DataFrame, risk_cut: float = 0.5) -> DataFrame:
 
 def feature_medians(cust: DataFrame, cols=C.FEATURE_COLS) -> DataFrame:
     """Median of each feature (one row, one column per feature)."""
-    return cust.agg(*[F.first(exact_quantile(cust, c, 0.5)).alias(c) for c in cols])
+    qv = exact_quantiles(cust, [(c, 0.5) for c in cols])
+    return cust.sparkSession.range(1).select(
+        *[F.lit(qv[(c, 0.5)]).cast("double").alias(c) for c in cols])
 
 
 # ---------------------------------------------------------------- rows

@@ -443,3 +443,222 @@ FROM agg"""
 
 ORACLES["R3_stress_test"] = _stress("orders")
 ORACLES["R3_stress_test_events"] = _stress("events")
+
+
+# --------------------------------------------------------------------------
+# Summaries, filters, rows
+# --------------------------------------------------------------------------
+
+_S = scored_ctes("orders")
+_AT_RISK = ", ".join(f"'{t}'" for t in C.AT_RISK_TIERS)
+
+
+def _money(expr: str) -> str:
+    return f"'$' || format('{{:,.0f}}', round_even(CAST({expr} AS DOUBLE), 0))"
+
+
+ORACLES["A1_profile"] = (f"WITH {labelled_ctes('orders')} SELECT (SELECT count(*) FROM tx) AS n_rows, "
+                         f"count(*) AS n_customers, {r6('avg(CAST(churn AS DOUBLE))')} AS churn_rate FROM cust")
+ORACLES["A2_churn_counts"] = (f"WITH {labelled_ctes('orders')} SELECT churn, count(*) AS customers "
+                              "FROM cust GROUP BY churn")
+ORACLES["A3_segment_summary"] = (
+    f"WITH {_S} SELECT segment, count(*) AS customers, {r6('round_even(avg(clv), 2)')} AS avg_clv, "
+    f"{r6('round_even(avg(CAST(recency AS DOUBLE)), 2)')} AS avg_recency, "
+    f"{r6('round_even(avg(CAST(churn AS DOUBLE)), 2)')} AS churn_rate FROM scored GROUP BY segment")
+_KPIS = (f"SELECT segment, count(*) AS customers, round_even(avg(clv), 2) AS avg_clv, "
+         "round_even(avg(churn_prob), 2) AS avg_churn_prob, round_even(sum(monetary), 2) AS total_revenue, "
+         "round_even(sum(expected_loss), 2) AS at_risk FROM scored GROUP BY segment")
+ORACLES["A4_segment_kpis"] = (f"WITH {_S}, k AS ({_KPIS}) SELECT segment, customers, {r6('avg_clv')} AS avg_clv, "
+                              f"{r6('avg_churn_prob')} AS avg_churn_prob, {r6('total_revenue')} AS total_revenue, "
+                              f"{r6('at_risk')} AS at_risk FROM k")
+ORACLES["A4_C8_segment_kpis_display"] = (
+    f"WITH {_S}, k AS ({_KPIS}) SELECT segment, customers, {_money('avg_clv')} AS avg_clv, "
+    "format('{:.1f}', round_even(avg_churn_prob * 100, 1)) || '%' AS avg_churn_prob, "
+    f"{_money('total_revenue')} AS total_revenue, {_money('at_risk')} AS at_risk FROM k")
+ORACLES["A5_segment_distribution"] = (f"WITH {_S} SELECT segment, count(*) AS customers, "
+                                      f"{r6('avg(clv)')} AS avg_clv FROM scored GROUP BY segment")
+
+_TIERS = ", ".join(f"('{t}', {i})" for i, t in enumerate(C.TIER_ORDER))
+_TIERS_REV = ", ".join(f"('{t}', {i})" for i, t in enumerate(reversed(C.TIER_ORDER)))
+ORACLES["A6_tier_summary"] = f"""
+WITH {_S}, tiers(risk_tier, tier_order) AS (VALUES {_TIERS_REV}),
+a AS (SELECT risk_tier, count(*) AS n, avg(churn_prob) AS ap, sum(clv) AS tc, sum(expected_loss) AS el
+      FROM scored GROUP BY risk_tier)
+SELECT t.risk_tier, CAST(t.tier_order AS INTEGER) AS tier_order, CAST(coalesce(a.n, 0) AS BIGINT) AS customers,
+       {r6('coalesce(a.ap, 0.0)')} AS avg_prob, {r6('coalesce(a.tc, 0.0)')} AS total_clv,
+       {r6('coalesce(a.el, 0.0)')} AS expected_loss
+FROM tiers t LEFT JOIN a USING (risk_tier)"""
+
+
+def _tier_dist(source: str) -> str:
+    return f"""
+WITH {scored_ctes(source)}, tiers(risk_tier, tier_order) AS (VALUES {_TIERS}),
+a AS (SELECT risk_tier, count(*) AS n FROM scored GROUP BY risk_tier)
+SELECT t.risk_tier, CAST(t.tier_order AS INTEGER) AS tier_order, CAST(coalesce(a.n, 0) AS BIGINT) AS customers,
+       {r6('round_even(CAST(coalesce(a.n, 0) AS DOUBLE) / (SELECT count(*) FROM scored) * 100, 1)')} AS pct
+FROM tiers t LEFT JOIN a USING (risk_tier)"""
+
+
+ORACLES["A7_tier_distribution"] = _tier_dist("orders")
+ORACLES["A7_tier_distribution_events"] = _tier_dist("events")
+
+ORACLES["A9_header_kpis"] = (
+    f"WITH {_S} SELECT count(*) AS n_customers, {r6('avg(CAST(churn AS DOUBLE)) * 100')} AS churn_rate_pct, "
+    f"{r6(f'coalesce(sum(CASE WHEN risk_tier IN ({_AT_RISK}) THEN expected_loss END), 0.0)')} AS at_risk_revenue, "
+    f"{r6('sum(clv)')} AS total_clv, "
+    "CAST(sum(CASE WHEN risk_tier = 'Critical Risk' THEN 1 ELSE 0 END) AS BIGINT) AS critical_customers "
+    "FROM scored")
+ORACLES["A10_decision_counts"] = f"WITH {_S} SELECT decision, count(*) AS customers FROM scored GROUP BY decision"
+ORACLES["A10_decision_counts_events"] = (f"WITH {scored_ctes('events')} SELECT decision, count(*) AS customers "
+                                         "FROM scored GROUP BY decision")
+ORACLES["A11_roi_by_decision"] = (f"WITH {_S} SELECT decision, {r6('avg(net_roi)')} AS avg_net_roi "
+                                  "FROM scored GROUP BY decision")
+_cuts = " ".join(f"WHEN bin = {int(t * 50 + 1e-9)} THEN '{n}'" for n, t in (
+    ("Low", C.TIER_LOW), ("Medium", C.TIER_MEDIUM), ("High", C.TIER_HIGH), ("Critical", C.TIER_CRITICAL)))
+ORACLES["A12_probability_histogram"] = f"""
+WITH {_S}, h AS (SELECT CAST(least(floor(churn_prob * 50), 49) AS INTEGER) AS bin, count(*) AS customers
+                 FROM scored GROUP BY 1)
+SELECT bin, {r6('bin / 50.0')} AS bin_start, {r6('(bin + 1) / 50.0')} AS bin_end, customers,
+       CASE {_cuts} ELSE NULL END AS tier_cut
+FROM h"""
+ORACLES["A13_value_risk_quadrants"] = f"""
+WITH {_S}, q AS (SELECT quantile_cont(clv, 0.5) AS med, quantile_cont(clv, 0.9) AS q90,
+                        quantile_cont(clv, 0.1) AS q10 FROM scored)
+SELECT CASE WHEN clv >= q.med AND churn_prob >= 0.5 THEN 'URGENT' WHEN clv >= q.med THEN 'CHAMPION'
+            WHEN churn_prob >= 0.5 THEN 'BORDERLINE' ELSE 'MONITOR' END AS quadrant,
+       count(*) AS customers, {r6('any_value(q.med)')} AS clv_median, {r6('any_value(q.q90)')} AS clv_q90,
+       {r6('any_value(q.q10)')} AS clv_q10
+FROM scored, q GROUP BY 1"""
+ORACLES["A14_feature_medians"] = (
+    f"WITH {_S} SELECT " + ", ".join(f"{r6(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)')} AS {c}"
+                                     for c in C.FEATURE_COLS) + " FROM scored")
+
+ORACLES["P7_filter_customers"] = (f"WITH {_S} SELECT {score_select()} FROM scored WHERE churn_prob >= 0.35 "
+                                  "AND churn_prob <= 0.9 AND segment = 'Champions'")
+ORACLES["P8_search_customers"] = (f"WITH {_S} SELECT {score_select()} FROM scored "
+                                  "WHERE regexp_matches(customer_id, '^1.*7$', 'i') AND risk_tier = 'High Risk'")
+ORACLES["P9_lookup_customer"] = f"WITH {_S} SELECT {score_select()} FROM scored WHERE customer_id = '767'"
+ORACLES["P10_at_risk"] = (f"WITH {_S} SELECT customer_id, risk_tier, {r6('churn_prob')} AS churn_prob "
+                          f"FROM scored WHERE risk_tier IN ({_AT_RISK})")
+_PAGE = (f"customer_id, risk_tier, {r6('churn_prob')} AS churn_prob, {r6('clv')} AS clv, decision, recency, "
+         f"frequency, {r6('monetary')} AS monetary, segment")
+ORACLES["P12_select_existing"] = f"WITH {_S} SELECT {_PAGE} FROM scored"
+ORACLES["P13_C8_display_stress"] = f"""
+WITH st AS ({_stress("orders")})
+SELECT scenario AS "Scenario", '×' || format('{{:.2f}}', churn_multiplier) AS "Churn Shock",
+       '×' || format('{{:.2f}}', clv_multiplier) AS "CLV Impact", {_money('expected_loss')} AS "Expected Loss",
+       high_risk_customers AS "High Risk Customers",
+       format('{{:+.1f}}', loss_delta_pct) || '%' AS "Loss vs Baseline"
+FROM st"""
+ORACLES["W6_page_customers"] = (f"WITH {_S} SELECT {_PAGE}, (SELECT count(*) FROM scored) AS total FROM scored "
+                                "ORDER BY churn_prob DESC, customer_id LIMIT 20 OFFSET 20")
+ORACLES["W6_page_customers_search"] = (
+    f"WITH {_S}, m AS (SELECT * FROM scored WHERE regexp_matches(customer_id, '3', 'i') "
+    f"AND risk_tier = 'Medium Risk') SELECT {_PAGE}, (SELECT count(*) FROM m) AS total FROM m "
+    "ORDER BY churn_prob DESC, customer_id LIMIT 10")
+ORACLES["W8_segments"] = f"WITH {_S} SELECT DISTINCT segment FROM scored"
+ORACLES["W9_sample_at_risk"] = (f"WITH {_S} SELECT customer_id, risk_tier, {r6('churn_prob')} AS churn_prob "
+                                f"FROM scored WHERE risk_tier IN ({_AT_RISK}) "
+                                "ORDER BY md5(customer_id || '|42') LIMIT 1")
+ORACLES["W10_example_high_risk"] = (f"WITH {_S} SELECT customer_id, {r6('churn_prob')} AS churn_prob "
+                                    "FROM scored WHERE churn_prob > 0.75 ORDER BY customer_id LIMIT 1")
+ORACLES["W11_preview"] = (f"WITH {labelled_ctes('orders')} SELECT "
+                          f"{feature_select('cust', ('clv',), ('cust.churn',))} FROM cust "
+                          "ORDER BY customer_id LIMIT 5")
+ORACLES["S5_export_view"] = (
+    f"WITH {_S} SELECT customer_id, segment, risk_tier, {r6('round_even(churn_prob * 100, 2)')} AS churn_prob, "
+    f"{r6('clv')} AS clv, {r6('expected_loss')} AS expected_loss, {r6('net_roi')} AS net_roi, decision, "
+    f"{r6('monetary')} AS monetary, frequency, recency FROM scored WHERE churn_prob >= 0.2 AND churn_prob <= 1.0")
+
+
+# --------------------------------------------------------------------------
+# Split and metrics
+# --------------------------------------------------------------------------
+
+def _split_expr() -> str:
+    return f"{sql_uniform(sql_key32(chr(39).join(['customer_id || ', '|', ' || ', str(C.RANDOM_STATE), ''])), '0')} < {C.TEST_SIZE}"
+
+
+def metric_ctes(source: str) -> str:
+    k = sql_key32(f"customer_id || '|' || '{C.RANDOM_STATE}'")
+    return scored_ctes(source) + f""",
+mf AS (
+  SELECT customer_id, churn AS y, floor((churn_prob + {sql_uniform(k, '1')}) * 50) / 100.0 AS p
+  FROM scored WHERE {sql_uniform(k, '0')} < {C.TEST_SIZE}
+),
+sc AS (SELECT p AS score, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM mf GROUP BY p),
+cum AS (
+  SELECT score, pos, neg,
+         sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cneg,
+         sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp_at,
+         sum(pos + neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n_at
+  FROM sc
+),
+tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM sc),
+cm AS (
+  SELECT sum(CASE WHEN p > 0.5 AND y = 1 THEN 1 ELSE 0 END) AS tp,
+         sum(CASE WHEN p > 0.5 AND y = 0 THEN 1 ELSE 0 END) AS fp,
+         sum(CASE WHEN p <= 0.5 AND y = 1 THEN 1 ELSE 0 END) AS fn,
+         sum(CASE WHEN p <= 0.5 AND y = 0 THEN 1 ELSE 0 END) AS tn,
+         avg((p - y) * (p - y)) AS brier
+  FROM mf
+),
+met AS (
+  SELECT (SELECT sum(pos * ((cneg - neg) + 0.5 * neg)) FROM cum) / (P * N) AS auc,
+         (SELECT sum((pos / (SELECT P FROM tot)) * (tp_at / n_at)) FROM cum) AS avg_precision,
+         CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END AS f1,
+         CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision,
+         CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall,
+         brier AS brier_score
+  FROM tot, cm
+)"""
+
+
+for _name, _src in (("M10_binary_metrics", "orders"), ("M10_binary_metrics_events", "events")):
+    ORACLES[_name] = (f"WITH {metric_ctes(_src)} SELECT " + ", ".join(
+        f"{r6(c)} AS {c}" for c in ("auc", "avg_precision", "f1", "precision", "recall", "brier_score"))
+        + " FROM met")
+
+ORACLES["M3_split"] = (f"WITH {labelled_ctes('orders')} SELECT customer_id, churn, "
+                       f"{sql_uniform(sql_key32(chr(39) + '|' + chr(39)), '0')} < 0 AS is_test FROM cust")
+ORACLES["M3_split"] = (
+    f"WITH {labelled_ctes('orders')} SELECT customer_id, churn, "
+    f"{sql_uniform(sql_key32(f'customer_id || {chr(39)}|{C.RANDOM_STATE}{chr(39)}'), '0')} < {C.TEST_SIZE} "
+    "AS is_test FROM cust")
+
+
+def _d0(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / ({b}) END)"
+
+
+_p0, _r0, _f0 = _d0("tn", "tn + fn"), _d0("tn", "tn + fp"), _d0("2 * tn", "2 * tn + fn + fp")
+_p1, _r1, _f1 = _d0("tp", "tp + fp"), _d0("tp", "tp + fn"), _d0("2 * tp", "2 * tp + fp + fn")
+_s0, _s1 = "CAST(tn + fp AS DOUBLE)", "CAST(tp + fn AS DOUBLE)"
+_n = f"({_s0} + {_s1})"
+ORACLES["M11_class_report"] = f"""
+WITH {metric_ctes('orders')},
+rows(label, precision, recall, f1_score, support) AS (
+  SELECT 'Active', {_p0}, {_r0}, {_f0}, {_s0} FROM cm UNION ALL
+  SELECT 'Churned', {_p1}, {_r1}, {_f1}, {_s1} FROM cm UNION ALL
+  SELECT 'accuracy', NULL, NULL, {_d0('tp + tn', 'tp + tn + fp + fn')}, {_n} FROM cm UNION ALL
+  SELECT 'macro avg', ({_p0} + {_p1}) / 2, ({_r0} + {_r1}) / 2, ({_f0} + {_f1}) / 2, {_n} FROM cm UNION ALL
+  SELECT 'weighted avg', {_d0(f'{_p0} * {_s0} + {_p1} * {_s1}', _n)}, {_d0(f'{_r0} * {_s0} + {_r1} * {_s1}', _n)},
+         {_d0(f'{_f0} * {_s0} + {_f1} * {_s1}', _n)}, {_n} FROM cm
+)
+SELECT label, {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1_score')} AS f1_score,
+       CAST(support AS BIGINT) AS support FROM rows"""
+
+ORACLES["A8_portfolio_summary"] = f"""
+WITH {losses_ctes('orders').replace('scored AS (', 'scored AS (', 1)},
+v AS (SELECT quantile_cont(loss, {C.MC_CONFIDENCE}) AS var FROM losses),
+st AS (SELECT round_even((SELECT var FROM v), 2) AS var_95,
+              round_even(avg(CASE WHEN loss >= (SELECT var FROM v) THEN loss END), 2) AS cvar_95 FROM losses),
+{metric_ctes('orders').split('mf AS (', 1)[1].join(['mf AS (', ''])}
+SELECT count(*) AS total_customers,
+       CAST(sum(CASE WHEN risk_tier IN ({_AT_RISK}) THEN 1 ELSE 0 END) AS BIGINT) AS at_risk_customers,
+       {r6('round_even(sum(CAST(clv AS DECIMAL(38,4))), 2)')} AS total_clv,
+       {r6('round_even(sum(expected_loss), 2)')} AS expected_loss,
+       {r6('round_even(avg(churn_prob) * 100, 1)')} AS avg_churn_rate,
+       {r6('(SELECT var_95 FROM st)')} AS var_95, {r6('(SELECT cvar_95 FROM st)')} AS cvar_95,
+       {r6('round_even((SELECT auc FROM met), 4)')} AS model_auc, {r6('round_even((SELECT f1 FROM met), 4)')} AS model_f1
+FROM scored"""

@@ -218,3 +218,200 @@ def q_stress(spark, sf_dir):
 def q_stress_events(spark, sf_dir):
     ref = losses_of(spark, sf_dir, "events").agg(F.avg("loss")).scalar()
     return out(PF.stress_test(scored_of(spark, sf_dir, "events"), ref))
+
+
+# ---------------------------------------------------------------- summaries
+
+def _scored(spark, sf_dir):
+    return scored_of(spark, sf_dir, "orders")
+
+
+@query("A1_profile")
+def q_profile(spark, sf_dir):
+    return out(SU.profile(tx_of(spark, sf_dir, "orders"), cust_of(spark, sf_dir, "orders")))
+
+
+@query("A2_churn_counts")
+def q_churn_counts(spark, sf_dir):
+    return SU.churn_counts(cust_of(spark, sf_dir, "orders"))
+
+
+@query("A3_segment_summary")
+def q_segment_summary(spark, sf_dir):
+    return out(SU.segment_summary(_scored(spark, sf_dir)))
+
+
+@query("A4_segment_kpis")
+def q_segment_kpis(spark, sf_dir):
+    return out(SU.segment_kpis(_scored(spark, sf_dir)))
+
+
+@query("A4_C8_segment_kpis_display")
+def q_segment_kpis_display(spark, sf_dir):
+    return SU.segment_kpis_display(SU.segment_kpis(_scored(spark, sf_dir)))
+
+
+@query("A5_segment_distribution")
+def q_segment_distribution(spark, sf_dir):
+    return out(SU.segment_distribution(_scored(spark, sf_dir)))
+
+
+@query("A6_tier_summary")
+def q_tier_summary(spark, sf_dir):
+    return out(SU.tier_summary(_scored(spark, sf_dir)))
+
+
+@query("A7_tier_distribution")
+def q_tier_distribution(spark, sf_dir):
+    return out(SU.tier_distribution(_scored(spark, sf_dir)))
+
+
+@query("A7_tier_distribution_events")
+def q_tier_distribution_events(spark, sf_dir):
+    return out(SU.tier_distribution(scored_of(spark, sf_dir, "events")))
+
+
+@query("A8_portfolio_summary")
+def q_portfolio(spark, sf_dir):
+    stats = PF.loss_stats(losses_of(spark, sf_dir, "orders"))
+    metrics = ME.binary_metrics(metric_fixture(spark, sf_dir), "churn", "p")
+    return out(SU.portfolio_summary(_scored(spark, sf_dir), stats, metrics))
+
+
+@query("A9_header_kpis")
+def q_header(spark, sf_dir):
+    return out(SU.header_kpis(_scored(spark, sf_dir)))
+
+
+@query("A10_decision_counts")
+def q_decision_counts(spark, sf_dir):
+    return SU.decision_counts(_scored(spark, sf_dir))
+
+
+@query("A10_decision_counts_events")
+def q_decision_counts_events(spark, sf_dir):
+    return SU.decision_counts(scored_of(spark, sf_dir, "events"))
+
+
+@query("A11_roi_by_decision")
+def q_roi_by_decision(spark, sf_dir):
+    return out(SU.roi_by_decision(_scored(spark, sf_dir)))
+
+
+@query("A12_probability_histogram")
+def q_histogram(spark, sf_dir):
+    return out(SU.probability_histogram(_scored(spark, sf_dir)))
+
+
+@query("A13_value_risk_quadrants")
+def q_quadrants(spark, sf_dir):
+    return out(SU.value_risk_quadrants(_scored(spark, sf_dir)))
+
+
+@query("A14_feature_medians")
+def q_medians(spark, sf_dir):
+    return out(SU.feature_medians(_scored(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- filters, rows
+
+@query("P7_filter_customers")
+def q_filter(spark, sf_dir):
+    return out(SU.filter_customers(_scored(spark, sf_dir), 0.35, 0.9, "Champions", "All"))
+
+
+@query("P8_search_customers")
+def q_search(spark, sf_dir):
+    return out(SU.search_customers(_scored(spark, sf_dir), "^1.*7$", "High Risk"))
+
+
+@query("P9_lookup_customer")
+def q_lookup(spark, sf_dir):
+    return out(SU.lookup_customer(_scored(spark, sf_dir), " 767 "))
+
+
+@query("P10_at_risk")
+def q_at_risk(spark, sf_dir):
+    return out(SU.at_risk(_scored(spark, sf_dir)).select("customer_id", "risk_tier", "churn_prob"))
+
+
+@query("P12_select_existing")
+def q_select_existing(spark, sf_dir):
+    return out(SU.select_existing(_scored(spark, sf_dir), SU.PAGE_COLUMNS + ("not_a_column",)))
+
+
+@query("P13_C8_display_stress")
+def q_display_stress(spark, sf_dir):
+    ref = losses_of(spark, sf_dir, "orders").agg(F.avg("loss")).scalar()
+    return SU.display_stress(PF.stress_test(_scored(spark, sf_dir), ref))
+
+
+@query("W6_page_customers")
+def q_page(spark, sf_dir):
+    return out(SU.page_customers(_scored(spark, sf_dir), page=2, limit=20))
+
+
+@query("W6_page_customers_search")
+def q_page_search(spark, sf_dir):
+    return out(SU.page_customers(_scored(spark, sf_dir), page=1, limit=10, search="3", tier="Medium Risk"))
+
+
+@query("W8_segments")
+def q_segments(spark, sf_dir):
+    return SU.segments(_scored(spark, sf_dir))
+
+
+@query("W9_sample_at_risk")
+def q_sample(spark, sf_dir):
+    return out(SU.sample_at_risk(_scored(spark, sf_dir), 42).select("customer_id", "risk_tier", "churn_prob"))
+
+
+@query("W10_example_high_risk")
+def q_example(spark, sf_dir):
+    return out(SU.example_high_risk(_scored(spark, sf_dir)).select("customer_id", "churn_prob"))
+
+
+@query("W11_preview")
+def q_preview(spark, sf_dir):
+    return out(SU.preview(cust_of(spark, sf_dir, "orders")))
+
+
+@query("S5_export_view")
+def q_export(spark, sf_dir):
+    return out(SU.export_view(SU.filter_customers(_scored(spark, sf_dir), 0.2, 1.0)))
+
+
+# ---------------------------------------------------------------- split and metrics
+
+from churnscope.functions.random import key32, uniform  # noqa: E402
+
+
+def metric_fixture(spark, sf_dir, source="orders"):
+    """(customer_id, churn, p, is_test): a deterministic noisy score with ties
+    (steps of 0.01) for checking ranking metrics, on the M3 test split."""
+    from churnscope.plans.model import split_flag
+    s = scored_of(spark, sf_dir, source)
+    u = uniform(key32("customer_id", F.lit(C.RANDOM_STATE)), F.lit(1))
+    p = F.floor((F.col("churn_prob") + u) * 50).cast("double") / 100.0
+    return split_flag(s.select("customer_id", "churn", p.alias("p"))).filter(F.col("is_test"))
+
+
+@query("M3_split")
+def q_split(spark, sf_dir):
+    from churnscope.plans.model import split_flag
+    return split_flag(cust_of(spark, sf_dir, "orders").select("customer_id", "churn"))
+
+
+@query("M10_binary_metrics")
+def q_metrics(spark, sf_dir):
+    return out(ME.binary_metrics(metric_fixture(spark, sf_dir), "churn", "p"))
+
+
+@query("M10_binary_metrics_events")
+def q_metrics_events(spark, sf_dir):
+    return out(ME.binary_metrics(metric_fixture(spark, sf_dir, "events"), "churn", "p"))
+
+
+@query("M11_class_report")
+def q_class_report(spark, sf_dir):
+    return out(ME.class_report(metric_fixture(spark, sf_dir), "churn", "p"))
