@@ -121,6 +121,7 @@ class RiskConfig:
     boost: BoostParams = field(default_factory=BoostParams)
     forest: ForestParams = field(default_factory=ForestParams)
     logistic_c: float = 0.5
+    logistic_max_iter: int = 1000
     calibration_folds: int = 3
     # Width of the time buckets that split one customer's purchase history
     # for the gap computation, so a very large customer is spread over tasks.
@@ -129,9 +130,12 @@ class RiskConfig:
 
 DEFAULT = RiskConfig()
 
-# Small training sizes for tests and registered queries (full sizes above).
+# Small training sizes for tests, registered queries and the bench (the full
+# sizes above take minutes per fit; see README).
 FAST = RiskConfig(
-    boost=BoostParams(max_iter=20),
-    forest=ForestParams(num_trees=30),
+    boost=BoostParams(max_iter=10),
+    forest=ForestParams(num_trees=20),
+    logistic_max_iter=100,
     kmeans_starts=3,
+    mc_simulations=MC_SIMULATIONS,
 )

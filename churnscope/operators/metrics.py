@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 def prefix_sums(df: DataFrame, order_col: str, cols, n_buckets: int = 64,
                 accuracy: int = 10000) -> DataFrame:
     """Inclusive running sums of ``cols`` in ascending ``order_col`` order,
-    added as ``cum_<col>``. ``order_col`` values must be distinct."""
+    added as ``cum_<col>``, and grand totals as ``tot_<col>``.
+    ``order_col`` values must be distinct."""
     if n_buckets > 1:
         # Split points from a bounded sketch (n_buckets - 1 numbers).
         qs = [i / n_buckets for i in range(1, n_buckets)]
@@ -29,13 +30,16 @@ def prefix_sums(df: DataFrame, order_col: str, cols, n_buckets: int = 64,
     # One row per bucket: exclusive running totals of earlier buckets.
     tot = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy()
     off = tot.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
-                                  for c in cols])
+                                  for c in cols],
+                     *[F.sum(f"_t_{c}").over(wall).alias(f"tot_{c}") for c in cols])
     wi = (Window.partitionBy("_bucket").orderBy(order_col)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = b.select("*", *[F.sum(c).over(wi).alias(f"_i_{c}") for c in cols])
     j = inner.join(F.broadcast(off), "_bucket")
-    return j.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"cum_{c}") for c in cols])
+    return j.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"cum_{c}") for c in cols],
+                    *[f"tot_{c}" for c in cols])
 
 
 def score_counts(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -49,17 +53,16 @@ def ranking_metrics(scored: DataFrame, y: str = "y", p: str = "p", n_buckets: in
     """ROC-AUC (Mann-Whitney, ties count one half) and average precision
     (step sum over distinct thresholds, highest first)."""
     sc = score_counts(scored, y, p).withColumn("cnt", F.col("pos") + F.col("neg"))
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    P = tot.select(F.col("P").cast("double")).scalar()
-    N = tot.select(F.col("N").cast("double")).scalar()
     cs = prefix_sums(sc, "score", ["pos", "neg", "cnt"], n_buckets)
+    P = F.col("tot_pos").cast("double")
+    N = F.col("tot_neg").cast("double")
     neg_below = (F.col("cum_neg") - F.col("neg")).cast("double")
     auc_term = F.col("pos").cast("double") * (neg_below + 0.5 * F.col("neg").cast("double"))
     tp_at = P - (F.col("cum_pos") - F.col("pos")).cast("double")
     n_at = (P + N) - (F.col("cum_cnt") - F.col("cnt")).cast("double")
     ap_term = (F.col("pos").cast("double") / P) * (tp_at / n_at)
     return cs.agg(
-        (F.sum(auc_term) / (F.first(P) * F.first(N))).alias("auc"),
+        (F.sum(auc_term) / (F.max(P) * F.max(N))).alias("auc"),
         F.sum(ap_term).alias("avg_precision"),
     )
 

@@ -415,3 +415,66 @@ def q_metrics_events(spark, sf_dir):
 @query("M11_class_report")
 def q_class_report(spark, sf_dir):
     return out(ME.class_report(metric_fixture(spark, sf_dir), "churn", "p"))
+
+
+# ---------------------------------------------------------------- models
+
+from churnscope.config import FAST  # noqa: E402
+
+
+def model_of(spark, sf_dir, source="orders"):
+    """Calibrated ensemble trained on the non-test customers (FAST sizes)."""
+    from churnscope.plans.model import fit_calibrated, split_flag
+    k = (id(spark), "model", sf_dir, source)
+    if k not in _TABLES:
+        cust = split_flag(cust_of(spark, sf_dir, source), FAST)
+        _TABLES[k] = fit_calibrated(cust.filter(~F.col("is_test")), FAST)
+    return _TABLES[k]
+
+
+def model_scored_of(spark, sf_dir, source="orders"):
+    """Risk score table on the model probability and K-means segments."""
+    from churnscope.plans.model import split_flag
+    from churnscope.plans.segments import segment
+
+    def build():
+        cust = cust_of(spark, sf_dir, source)
+        seg = segment(cust, FAST)
+        scored = model_of(spark, sf_dir, source).transform(seg)
+        return split_flag(SC.score_table(scored, FAST), FAST)
+    return _memo(spark, ("model_scored", sf_dir, source), build)
+
+
+@query("M2_kmeans_segments")
+def q_kmeans(spark, sf_dir):
+    return model_scored_of(spark, sf_dir).select("customer_id", "segment_id", "segment")
+
+
+@query("M2_A3_segment_summary_kmeans")
+def q_kmeans_summary(spark, sf_dir):
+    return out(SU.segment_summary(model_scored_of(spark, sf_dir)))
+
+
+@query("M12_model_scores")
+def q_model_scores(spark, sf_dir):
+    return out(model_scored_of(spark, sf_dir).select("customer_id", "churn", "churn_prob", "risk_tier",
+                                                     "decision", "is_test"))
+
+
+@query("M8_M10_model_metrics")
+def q_model_metrics(spark, sf_dir):
+    from churnscope.plans.model import model_metrics
+    s = model_scored_of(spark, sf_dir).filter(F.col("is_test"))
+    return out(model_metrics(s))
+
+
+@query("M11_model_class_report")
+def q_model_class_report(spark, sf_dir):
+    s = model_scored_of(spark, sf_dir).filter(F.col("is_test"))
+    return out(ME.class_report(s, "churn", "churn_prob"))
+
+
+@query("M9_cross_validate")
+def q_cv(spark, sf_dir):
+    from churnscope.plans.model import cross_validate
+    return out(cross_validate(cust_of(spark, sf_dir, "orders"), FAST))
