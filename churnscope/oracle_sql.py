@@ -662,3 +662,21 @@ SELECT count(*) AS total_customers,
        {r6('(SELECT var_95 FROM st)')} AS var_95, {r6('(SELECT cvar_95 FROM st)')} AS cvar_95,
        {r6('round_even((SELECT auc FROM met), 4)')} AS model_auc, {r6('round_even((SELECT f1 FROM met), 4)')} AS model_f1
 FROM scored"""
+
+ORACLES["M14_whatif_features"] = f"""
+WITH {labelled_ctes('orders')},
+med AS (SELECT {', '.join(f'quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {c}' for c in C.FEATURE_COLS)} FROM cust)
+SELECT customer_id AS request_id, {r6('cust.recency')} AS recency,
+  {r6('cust.frequency')} AS frequency, {r6('cust.monetary')} AS monetary,
+  {r6('cust.avg_order_value')} AS avg_order_value, {r6('cust.product_diversity')} AS product_diversity,
+  {r6('med.total_quantity')} AS total_quantity, {r6('med.geo_spread')} AS geo_spread,
+  {r6('med.purchase_volatility')} AS purchase_volatility,
+  {r6('med.avg_days_between_purchases')} AS avg_days_between_purchases,
+  {r6('med.spending_trend')} AS spending_trend, {r6('med.revenue_concentration')} AS revenue_concentration,
+  {r6(f'(cust.monetary * {C.WHATIF_SPEND_LAST30_SHARE} + 1) / (cust.monetary * {C.WHATIF_SPEND_30_90_SHARE} + 1)')}
+    AS recency_acceleration,
+  {r6('med.weekend_ratio')} AS weekend_ratio, {r6('cust.tenure')} AS tenure,
+  {r6(f'cust.monetary * {C.WHATIF_SPEND_LAST30_SHARE}')} AS spend_last30,
+  {r6(f'cust.monetary * {C.WHATIF_SPEND_30_90_SHARE}')} AS spend_30_90,
+  {r6(f'cust.monetary * {C.AVG_PROFIT_MARGIN}')} AS clv
+FROM cust, med"""

@@ -478,3 +478,60 @@ def q_model_class_report(spark, sf_dir):
 def q_cv(spark, sf_dir):
     from churnscope.plans.model import cross_validate
     return out(cross_validate(cust_of(spark, sf_dir, "orders"), FAST))
+
+
+# ---------------------------------------------------------------- what-if
+
+@query("M14_whatif_features")
+def q_whatif_features(spark, sf_dir):
+    from churnscope.plans.whatif import requests_from_customers, whatif_features
+    cust = cust_of(spark, sf_dir, "orders")
+    return out(whatif_features(requests_from_customers(cust), cust))
+
+
+@query("M14_whatif_scores")
+def q_whatif_scores(spark, sf_dir):
+    from churnscope.plans.whatif import requests_from_customers, whatif_scores
+    cust = cust_of(spark, sf_dir, "orders")
+    return out(whatif_scores(requests_from_customers(cust), cust, model_of(spark, sf_dir, "orders"), FAST))
+
+
+# ---------------------------------------------------------------- explanations
+
+def explained_of(spark, sf_dir, source="orders"):
+    """Contributions of the boosted-tree explainer for the test customers."""
+    from churnscope.plans import explain as X
+    from churnscope.plans.model import split_flag
+
+    def build():
+        cust = split_flag(cust_of(spark, sf_dir, source), FAST)
+        train, test = cust.filter(~F.col("is_test")), cust.filter(F.col("is_test"))
+        scaler, gbt = X.fit_explainer(train, FAST)
+        bg = X.background(train, scaler, FAST)
+        return X.contributions(test, scaler, gbt, bg)
+    return _memo(spark, ("contrib", sf_dir, source), build)
+
+
+@query("M13_contributions")
+def q_contrib(spark, sf_dir):
+    return out(explained_of(spark, sf_dir))
+
+
+@query("A18_global_importance")
+def q_importance(spark, sf_dir):
+    from churnscope.plans.explain import global_importance
+    return out(global_importance(explained_of(spark, sf_dir)))
+
+
+@query("W7_top_contributions")
+def q_top_contrib(spark, sf_dir):
+    from churnscope.plans.explain import top_contributions
+    return out(top_contributions(explained_of(spark, sf_dir)))
+
+
+@query("W10_example_explanation")
+def q_example_explanation(spark, sf_dir):
+    from churnscope.plans.explain import top_contributions
+    s = model_scored_of(spark, sf_dir).filter(F.col("is_test"))
+    ex = SU.example_high_risk(s).select("customer_id")
+    return out(top_contributions(explained_of(spark, sf_dir)).join(ex, "customer_id", "left_semi"))
