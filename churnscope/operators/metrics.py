@@ -87,18 +87,39 @@ def _div0(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
 
 
-def binary_metrics(scored: DataFrame, y: str = "y", p: str = "p", n_buckets: int = 64) -> DataFrame:
-    """Auc, avg_precision, f1, precision, recall, brier_score (one row)."""
-    r = ranking_metrics(scored, y, p, n_buckets)
-    c = confusion(scored, y, p)
+def binary_metrics(scored: DataFrame, y: str = "y", p: str = "p", n_buckets: int = 64,
+                   threshold: float = 0.5) -> DataFrame:
+    """Auc, avg_precision, f1, precision, recall, brier_score (one row).
+
+    Everything comes from the (score, positives, negatives) table in one
+    final aggregation: ranking terms from the running sums, confusion counts
+    from the side of the threshold each score falls on, Brier score from
+    pos * (1 - s)^2 + neg * s^2.
+    """
+    sc = score_counts(scored, y, p).withColumn("cnt", F.col("pos") + F.col("neg"))
+    cs = prefix_sums(sc, "score", ["pos", "neg", "cnt"], n_buckets)
+    P = F.col("tot_pos").cast("double")
+    N = F.col("tot_neg").cast("double")
+    s, pos, neg = F.col("score"), F.col("pos").cast("double"), F.col("neg").cast("double")
+    neg_below = (F.col("cum_neg") - F.col("neg")).cast("double")
+    tp_at = P - (F.col("cum_pos") - F.col("pos")).cast("double")
+    n_at = (P + N) - (F.col("cum_cnt") - F.col("cnt")).cast("double")
+    above = s > threshold
+    agg = cs.agg(
+        (F.sum(pos * (neg_below + 0.5 * neg)) / (F.max(P) * F.max(N))).alias("auc"),
+        F.sum((pos / P) * (tp_at / n_at)).alias("avg_precision"),
+        F.sum(F.when(above, pos).otherwise(0.0)).alias("tp"),
+        F.sum(F.when(above, neg).otherwise(0.0)).alias("fp"),
+        F.sum(F.when(above, 0.0).otherwise(pos)).alias("fn"),
+        (F.sum(pos * (1 - s) * (1 - s) + neg * s * s) / F.max(P + N)).alias("brier_score"),
+    )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    # The confusion counts are one row: attach them as scalar subqueries.
-    return r.select(
+    return agg.select(
         "auc", "avg_precision",
-        c.select(_div0(2 * tp, 2 * tp + fp + fn)).scalar().alias("f1"),
-        c.select(_div0(tp, tp + fp)).scalar().alias("precision"),
-        c.select(_div0(tp, tp + fn)).scalar().alias("recall"),
-        c.select("brier_score").scalar().alias("brier_score"),
+        _div0(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        _div0(tp, tp + fp).alias("precision"),
+        _div0(tp, tp + fn).alias("recall"),
+        "brier_score",
     )
 
 

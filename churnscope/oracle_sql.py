@@ -680,3 +680,6 @@ SELECT customer_id AS request_id, {r6('cust.recency')} AS recency,
   {r6(f'cust.monetary * {C.WHATIF_SPEND_30_90_SHARE}')} AS spend_30_90,
   {r6(f'cust.monetary * {C.AVG_PROFIT_MARGIN}')} AS clv
 FROM cust, med"""
+
+ORACLES["S1_read_transactions_csv"] = _clean("orders")
+ORACLES["S2_S3_results_roundtrip"] = f"WITH {scored_ctes('orders')} SELECT {score_select()} FROM scored"

@@ -535,3 +535,65 @@ def q_example_explanation(spark, sf_dir):
     s = model_scored_of(spark, sf_dir).filter(F.col("is_test"))
     ex = SU.example_high_risk(s).select("customer_id")
     return out(top_contributions(explained_of(spark, sf_dir)).join(ex, "customer_id", "left_semi"))
+
+
+# ---------------------------------------------------------------- sources and sinks (S1-S4), pipeline
+
+def _scratch(spark, name):
+    import uuid
+    from churnscope.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+@query("S1_read_transactions_csv")
+def q_csv(spark, sf_dir):
+    """Orders adapter lines exported as a CSV with the original header names
+    and text dates, read back through the CSV source and cleaned."""
+    from churnscope.sources.transactions import CSV_HEADER, read_transactions
+    raw = ADAPTERS["orders"](spark, sf_dir)
+    path = _scratch(spark, "transactions_csv")
+    inv = {v: k for k, v in CSV_HEADER.items()}
+    (raw.withColumn("invoice_date", F.date_format("invoice_date", "yyyy-MM-dd HH:mm:ss"))
+        .withColumnsRenamed({c: inv[c] for c in raw.columns})
+        .write.option("header", True).csv(path))
+    tx = clean(read_transactions(spark, path, "csv"))
+    return out(tx.withColumn("price", F.col("price").cast("double"))
+                 .withColumn("amount", F.col("amount").cast("double")))
+
+
+@query("S2_S3_results_roundtrip")
+def q_results(spark, sf_dir):
+    """Score table written by the result sink and read back by the result source."""
+    from churnscope.sources.results import read_results, write_results
+    path = _scratch(spark, "results")
+    write_results({"customer_risk_scores": scored_of(spark, sf_dir, "orders")}, path)
+    return out(read_results(spark, path, ["customer_risk_scores"])["customer_risk_scores"])
+
+
+@query("S4_model_roundtrip_scores")
+def q_model_roundtrip(spark, sf_dir):
+    """Scores of a saved and reloaded model next to the in-memory model's."""
+    from churnscope.sources.results import load_model, save_model
+    m = model_of(spark, sf_dir, "orders")
+    path = _scratch(spark, "model")
+    save_model(m, path)
+    m2 = load_model(path)
+    cust = cust_of(spark, sf_dir, "orders")
+    a = m.transform(cust).select("customer_id", "churn_prob")
+    b = m2.transform(cust).select("customer_id", F.col("churn_prob").alias("churn_prob_loaded"))
+    return out(a.join(b, "customer_id"))
+
+
+@query("M15_pipeline_scores")
+def q_pipeline(spark, sf_dir):
+    """The whole pipeline (small model sizes, no CV) on the orders adapter."""
+    from churnscope.plans.pipeline import run_pipeline
+    res = run_pipeline(spark, ADAPTERS["orders"](spark, sf_dir), FAST, cross_validation=False, explain=False)
+    return out(res["customer_risk_scores"])
+
+
+@query("M15_baseline_pipeline")
+def q_baseline_pipeline(spark, sf_dir):
+    from churnscope.plans.pipeline import run_baseline
+    res = run_baseline(spark, ADAPTERS["orders"](spark, sf_dir), FAST)
+    return out(res["baseline_decisions"])
