@@ -683,3 +683,4 @@ FROM cust, med"""
 
 ORACLES["S1_read_transactions_csv"] = _clean("orders")
 ORACLES["S2_S3_results_roundtrip"] = f"WITH {scored_ctes('orders')} SELECT {score_select()} FROM scored"
+ORACLES["ST_stream_ingest_events"] = _clean("events")

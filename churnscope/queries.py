@@ -597,3 +597,17 @@ def q_baseline_pipeline(spark, sf_dir):
     from churnscope.plans.pipeline import run_baseline
     res = run_baseline(spark, ADAPTERS["orders"](spark, sf_dir), FAST)
     return out(res["baseline_decisions"])
+
+
+# ---------------------------------------------------------------- streaming
+
+@query("ST_stream_ingest_events")
+def q_stream_ingest(spark, sf_dir):
+    """Event rows streamed through cleaning into an append-only table, read back."""
+    from churnscope.streaming.ingest import events_stream, ingest
+    path = _scratch(spark, "stream_tx")
+    q = ingest(events_stream(spark, sf_dir), path, path + "_checkpoint")
+    q.awaitTermination()
+    tx = spark.read.parquet(path)
+    return out(tx.withColumn("price", F.col("price").cast("double"))
+                 .withColumn("amount", F.col("amount").cast("double")))

@@ -48,7 +48,12 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as purchases: one line per event, error events cancelled, no country."""
-    ev = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    return events_to_transactions(load(spark, sf_dir, "events"))
+
+
+def events_to_transactions(events: DataFrame) -> DataFrame:
+    """Row-wise mapping of event rows (batch or streaming) to raw lines."""
+    ev = events.select("event_id", "user_id", "ts", "event_type", "value")
     eid = F.col("event_id").cast("string")
     return ev.select(
         F.col("user_id").cast("string").alias("customer_id"),
