@@ -103,3 +103,16 @@ def round6(df: DataFrame, digits: int = 6) -> DataFrame:
             finite = ~(F.isnan(x) | (F.abs(x) == float("inf")))
             out[f.name] = F.when(finite, r).otherwise(x)
     return df.withColumns(out) if out else df
+
+
+# Exact aggregates of money-derived doubles ------------------------------------
+
+def exact_sum(x, scale: int = 6) -> Column:
+    """Sum of a money-derived double (at most ``scale`` decimals) in exact
+    decimal arithmetic, so the total does not depend on summation order."""
+    return F.sum(_c(x).cast(f"decimal(38,{scale})")).cast("double")
+
+
+def exact_avg(x, scale: int = 6) -> Column:
+    """Mean via the exact decimal sum divided once by the count."""
+    return exact_sum(x, scale) / F.count(_c(x)).cast("double")

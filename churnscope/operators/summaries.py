@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from churnscope import config as C
 from churnscope.config import DEFAULT, RiskConfig
-from churnscope.functions.scalar import fmt_delta, fmt_money, fmt_mult, fmt_pct
+from churnscope.functions.scalar import exact_avg, exact_sum, fmt_delta, fmt_money, fmt_mult, fmt_pct
 from churnscope.operators.quantiles import exact_quantiles
 
 
@@ -108,7 +108,7 @@ def segment_summary(cust: DataFrame) -> DataFrame:
     """A3: count, mean CLV, mean recency, churn rate per segment (2 places)."""
     return cust.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customers"),
-        F.bround(F.avg("clv"), 2).alias("avg_clv"),
+        F.bround(exact_avg("clv"), 2).alias("avg_clv"),
         F.bround(F.avg(_dbl("recency")), 2).alias("avg_recency"),
         F.bround(F.avg(_dbl("churn")), 2).alias("churn_rate"),
     )
@@ -118,9 +118,9 @@ def segment_kpis(cust: DataFrame) -> DataFrame:
     """A4: customers, mean CLV, mean probability, revenue, expected loss per segment."""
     return cust.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customers"),
-        F.bround(F.avg("clv"), 2).alias("avg_clv"),
+        F.bround(exact_avg("clv"), 2).alias("avg_clv"),
         F.bround(F.avg("churn_prob"), 2).alias("avg_churn_prob"),
-        F.bround(F.sum("monetary"), 2).alias("total_revenue"),
+        F.bround(exact_sum("monetary"), 2).alias("total_revenue"),
         F.bround(F.sum("expected_loss"), 2).alias("at_risk"),
     )
 
@@ -139,7 +139,7 @@ def segment_kpis_display(kpis: DataFrame) -> DataFrame:
 def segment_distribution(cust: DataFrame) -> DataFrame:
     """A5: customers and mean CLV per segment."""
     return cust.groupBy("segment").agg(
-        F.count(F.lit(1)).alias("customers"), F.avg("clv").alias("avg_clv"))
+        F.count(F.lit(1)).alias("customers"), exact_avg("clv").alias("avg_clv"))
 
 
 def segments(cust: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def tier_summary(cust: DataFrame) -> DataFrame:
     agg = cust.groupBy("risk_tier").agg(
         F.count(F.lit(1)).alias("customers"),
         F.avg("churn_prob").alias("avg_prob"),
-        F.sum("clv").alias("total_clv"),
+        exact_sum("clv").alias("total_clv"),
         F.sum("expected_loss").alias("expected_loss"),
     )
     return with_tier_order(agg, tuple(reversed(C.TIER_ORDER)),
@@ -192,7 +192,7 @@ def header_kpis(cust: DataFrame) -> DataFrame:
         (F.avg(_dbl("churn")) * 100).alias("churn_rate_pct"),
         F.coalesce(F.sum(F.when(F.col("risk_tier").isin(*C.AT_RISK_TIERS), F.col("expected_loss"))),
                    F.lit(0.0)).alias("at_risk_revenue"),
-        F.sum("clv").alias("total_clv"),
+        exact_sum("clv").alias("total_clv"),
         F.sum(F.when(F.col("risk_tier") == "Critical Risk", 1).otherwise(0)).cast("bigint")
         .alias("critical_customers"),
     )
@@ -230,7 +230,7 @@ def decision_counts(cust: DataFrame) -> DataFrame:
 
 def roi_by_decision(cust: DataFrame) -> DataFrame:
     """Mean net ROI per decision."""
-    return cust.groupBy("decision").agg(F.avg("net_roi").alias("avg_net_roi"))
+    return cust.groupBy("decision").agg(exact_avg("net_roi").alias("avg_net_roi"))
 
 
 # ---------------------------------------------------------------- distributions

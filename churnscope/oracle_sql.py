@@ -462,11 +462,11 @@ ORACLES["A1_profile"] = (f"WITH {labelled_ctes('orders')} SELECT (SELECT count(*
 ORACLES["A2_churn_counts"] = (f"WITH {labelled_ctes('orders')} SELECT churn, count(*) AS customers "
                               "FROM cust GROUP BY churn")
 ORACLES["A3_segment_summary"] = (
-    f"WITH {_S} SELECT segment, count(*) AS customers, {r6('round_even(avg(clv), 2)')} AS avg_clv, "
+    f"WITH {_S} SELECT segment, count(*) AS customers, {r6('round_even((CAST(sum(CAST(clv AS DECIMAL(38,6))) AS DOUBLE) / CAST(count(clv) AS DOUBLE)), 2)')} AS avg_clv, "
     f"{r6('round_even(avg(CAST(recency AS DOUBLE)), 2)')} AS avg_recency, "
     f"{r6('round_even(avg(CAST(churn AS DOUBLE)), 2)')} AS churn_rate FROM scored GROUP BY segment")
-_KPIS = (f"SELECT segment, count(*) AS customers, round_even(avg(clv), 2) AS avg_clv, "
-         "round_even(avg(churn_prob), 2) AS avg_churn_prob, round_even(sum(monetary), 2) AS total_revenue, "
+_KPIS = (f"SELECT segment, count(*) AS customers, round_even((CAST(sum(CAST(clv AS DECIMAL(38,6))) AS DOUBLE) / CAST(count(clv) AS DOUBLE)), 2) AS avg_clv, "
+         "round_even(avg(churn_prob), 2) AS avg_churn_prob, round_even(CAST(sum(CAST(monetary AS DECIMAL(38,6))) AS DOUBLE), 2) AS total_revenue, "
          "round_even(sum(expected_loss), 2) AS at_risk FROM scored GROUP BY segment")
 ORACLES["A4_segment_kpis"] = (f"WITH {_S}, k AS ({_KPIS}) SELECT segment, customers, {r6('avg_clv')} AS avg_clv, "
                               f"{r6('avg_churn_prob')} AS avg_churn_prob, {r6('total_revenue')} AS total_revenue, "
@@ -476,13 +476,13 @@ ORACLES["A4_C8_segment_kpis_display"] = (
     "format('{:.1f}', round_even(avg_churn_prob * 100, 1)) || '%' AS avg_churn_prob, "
     f"{_money('total_revenue')} AS total_revenue, {_money('at_risk')} AS at_risk FROM k")
 ORACLES["A5_segment_distribution"] = (f"WITH {_S} SELECT segment, count(*) AS customers, "
-                                      f"{r6('avg(clv)')} AS avg_clv FROM scored GROUP BY segment")
+                                      f"{r6('(CAST(sum(CAST(clv AS DECIMAL(38,6))) AS DOUBLE) / CAST(count(clv) AS DOUBLE))')} AS avg_clv FROM scored GROUP BY segment")
 
 _TIERS = ", ".join(f"('{t}', {i})" for i, t in enumerate(C.TIER_ORDER))
 _TIERS_REV = ", ".join(f"('{t}', {i})" for i, t in enumerate(reversed(C.TIER_ORDER)))
 ORACLES["A6_tier_summary"] = f"""
 WITH {_S}, tiers(risk_tier, tier_order) AS (VALUES {_TIERS_REV}),
-a AS (SELECT risk_tier, count(*) AS n, avg(churn_prob) AS ap, sum(clv) AS tc, sum(expected_loss) AS el
+a AS (SELECT risk_tier, count(*) AS n, avg(churn_prob) AS ap, CAST(sum(CAST(clv AS DECIMAL(38,6))) AS DOUBLE) AS tc, sum(expected_loss) AS el
       FROM scored GROUP BY risk_tier)
 SELECT t.risk_tier, CAST(t.tier_order AS INTEGER) AS tier_order, CAST(coalesce(a.n, 0) AS BIGINT) AS customers,
        {r6('coalesce(a.ap, 0.0)')} AS avg_prob, {r6('coalesce(a.tc, 0.0)')} AS total_clv,
@@ -505,13 +505,13 @@ ORACLES["A7_tier_distribution_events"] = _tier_dist("events")
 ORACLES["A9_header_kpis"] = (
     f"WITH {_S} SELECT count(*) AS n_customers, {r6('avg(CAST(churn AS DOUBLE)) * 100')} AS churn_rate_pct, "
     f"{r6(f'coalesce(sum(CASE WHEN risk_tier IN ({_AT_RISK}) THEN expected_loss END), 0.0)')} AS at_risk_revenue, "
-    f"{r6('sum(clv)')} AS total_clv, "
+    f"{r6('CAST(sum(CAST(clv AS DECIMAL(38,6))) AS DOUBLE)')} AS total_clv, "
     "CAST(sum(CASE WHEN risk_tier = 'Critical Risk' THEN 1 ELSE 0 END) AS BIGINT) AS critical_customers "
     "FROM scored")
 ORACLES["A10_decision_counts"] = f"WITH {_S} SELECT decision, count(*) AS customers FROM scored GROUP BY decision"
 ORACLES["A10_decision_counts_events"] = (f"WITH {scored_ctes('events')} SELECT decision, count(*) AS customers "
                                          "FROM scored GROUP BY decision")
-ORACLES["A11_roi_by_decision"] = (f"WITH {_S} SELECT decision, {r6('avg(net_roi)')} AS avg_net_roi "
+ORACLES["A11_roi_by_decision"] = (f"WITH {_S} SELECT decision, {r6('(CAST(sum(CAST(net_roi AS DECIMAL(38,6))) AS DOUBLE) / CAST(count(net_roi) AS DOUBLE))')} AS avg_net_roi "
                                   "FROM scored GROUP BY decision")
 _cuts = " ".join(f"WHEN bin = {int(t * 50 + 1e-9)} THEN '{n}'" for n, t in (
     ("Low", C.TIER_LOW), ("Medium", C.TIER_MEDIUM), ("High", C.TIER_HIGH), ("Critical", C.TIER_CRITICAL)))
