@@ -10,7 +10,7 @@ are split in 16-bit halves so every intermediate stays below 2^63.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed constants of the murmur3 32-bit finaliser and the golden-ratio step.
@@ -42,11 +42,30 @@ def fmix32(x: Column) -> Column:
 
 
 def uniform(key: Column, stream: Column) -> Column:
-    """Uniform in [0, 1) for (key, stream index)."""
+    """Uniform in [0, 1) for (key, stream index), as one expression (for a
+    few draws per row; see ``with_uniform`` for the hot loop)."""
     x = F.pmod(key + stream.cast("bigint") * F.lit(GOLDEN), F.lit(M32))
     return fmix32(x).cast("double") / F.lit(float(M32))
 
 
+def with_uniform(df: DataFrame, key: str, stream: str, out: str) -> DataFrame:
+    """Add ``out`` = uniform(key, stream) through chained projections.
+
+    Each step references the previous value twice; separate projections keep
+    Catalyst from inlining it (it does not collapse projections when that
+    would duplicate a non-trivial expression), so every intermediate is
+    computed once per row.
+    """
+    t = "_u"
+    df = df.withColumn(t, F.pmod(F.col(key) + F.col(stream).cast("bigint") * F.lit(GOLDEN), F.lit(M32)))
+    df = df.withColumn(t, F.col(t).bitwiseXOR(F.shiftright(F.col(t), 16)))
+    df = df.withColumn(t, _mulmod32(F.col(t), FMIX_1))
+    df = df.withColumn(t, F.col(t).bitwiseXOR(F.shiftright(F.col(t), 13)))
+    df = df.withColumn(t, _mulmod32(F.col(t), FMIX_2))
+    df = df.withColumn(t, F.col(t).bitwiseXOR(F.shiftright(F.col(t), 16)))
+    return df.withColumn(out, F.col(t).cast("double") / F.lit(float(M32))).drop(t)
+
+
 # SQL text of the same functions, for the DuckDB oracles.
 
 def sql_key32(expr: str) -> str:

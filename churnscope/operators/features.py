@@ -28,8 +28,17 @@ def days_between(start: Column, end: Column) -> Column:
 
 
 def reference_date(tx: DataFrame) -> Column:
-    """the reference date, last purchase in the data plus one day (scalar)."""
-    return tx.agg(F.max("ts")).scalar() + F.expr("INTERVAL 1 DAY")
+    """the reference date, last purchase in the data plus one day.
+
+    One pruned scan of ``ts``; the single value is embedded as a literal. (As a
+    scalar subquery it would be executed once per place it is used: five
+    times in the feature job.)
+    """
+    last = tx.agg(F.max("ts")).first()[0]
+    if last is None:
+        return F.lit(None).cast("timestamp_ntz")
+    # Wall-clock text, so no time zone is involved in building the literal.
+    return F.lit(last.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
 
 
 def month_index(ts: Column) -> Column:

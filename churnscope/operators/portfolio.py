@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.config import DEFAULT, RiskConfig
-from churnscope.functions.random import key32, uniform
+from churnscope.functions.random import key32, with_uniform
 from churnscope.functions.scalar import clip
 
 
@@ -26,14 +26,19 @@ def loss_distribution(scored: DataFrame, n_sims: int = None, seed: int = None,
     """(sim, loss) where loss = sum of CLV over customers whose draw < p."""
     n_sims = cfg.mc_simulations if n_sims is None else n_sims
     seed = cfg.seed if seed is None else seed
+    # The customer table is small in bytes but each row expands n_sims times:
+    # spread it over the configured parallelism first (hash of the key, so a
+    # retried task sees the same rows).
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = scored.select(
         key32("customer_id", F.lit(seed)).alias("k"),
         F.col(p).cast("double").alias("p"),
         F.col("clv").cast("double").alias("clv"),
-    )
+    ).repartition(parts, "k")
     draws = base.select("k", "p", "clv",
                         F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim"))
-    hit = F.when(uniform(F.col("k"), F.col("sim")) < F.col("p"), F.col("clv")).otherwise(F.lit(0.0))
+    draws = with_uniform(draws, "k", "sim", "u")
+    hit = F.when(F.col("u") < F.col("p"), F.col("clv")).otherwise(F.lit(0.0))
     losses = draws.groupBy("sim").agg(F.sum(hit).alias("loss"))
     return losses.select(F.col("sim").cast("bigint").alias("sim"), "loss")
 

@@ -193,7 +193,11 @@ def contributions(df: DataFrame, scaler, model: GBTClassificationModel, bg: np.n
                     "phi": phi.reshape(-1),
                 })
 
-    x = assemble(df, scaler, cols).select("customer_id", vector_to_array("features").alias("f"))
+    # Each row costs trees x background evaluations: spread the (small in
+    # bytes) input over the configured parallelism before the Python stage.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = (assemble(df, scaler, cols).select("customer_id", vector_to_array("features").alias("f"))
+         .repartition(parts, "customer_id"))
     return x.mapInPandas(run, "customer_id string, feature string, phi double")
 
 
