@@ -43,11 +43,13 @@ def fit_explainer(train: DataFrame, cfg: RiskConfig = DEFAULT, label: str = "chu
                   cols=C.FEATURE_COLS):
     """A single boosted-tree model on standardised features (the model explained)."""
     b = cfg.boost
+    from churnscope.plans.model import _training_frame
     scaler = fit_scaler(train, cols)
-    d = assemble(train, scaler, cols).withColumn("label", F.col(label).cast("double"))
+    d = _training_frame(assemble(train, scaler, cols), label)
     gbt = GBTClassifier(maxIter=b.max_iter, maxDepth=b.max_depth, stepSize=b.step_size,
                         subsamplingRate=b.subsampling_rate, featureSubsetStrategy=b.feature_subset,
                         seed=cfg.seed).fit(d)
+    d.unpersist()
     return scaler, gbt
 
 

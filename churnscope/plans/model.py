@@ -202,8 +202,22 @@ def load_any(path: str) -> ChurnModel:
     return ChurnModel(tuple(manifest["feature_cols"]), scaler, folds, cals)
 
 
-def _training_frame(df: DataFrame, label: str, partitions: int) -> DataFrame:
+ROWS_PER_TRAINING_PARTITION = 100_000
+
+
+def training_partitions(n_rows: int, spark) -> int:
+    """Partitions for an iterative fit: about 100k rows each, at most the
+    configured shuffle parallelism. Every optimiser iteration is a job over
+    all partitions, so tiny inputs train fastest in one partition (while
+    independent fits run side by side) and large ones spread out."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, -(-n_rows // ROWS_PER_TRAINING_PARTITION)))
+
+
+def _training_frame(df: DataFrame, label: str, partitions: int = None) -> DataFrame:
     d = df.withColumn("label", F.col(label).cast("double"))
+    if partitions is None:
+        partitions = training_partitions(df.count(), df.sparkSession)
     return d.repartition(partitions).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -213,8 +227,6 @@ def fit_calibrated(train: DataFrame, cfg: RiskConfig = DEFAULT, folds: int = Non
     """M8: scaler on ``train``, then per calibration fold an ensemble on the
     other folds and an isotonic map (clipped) on the held-out fold."""
     k = cfg.calibration_folds if folds is None else folds
-    spark = train.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     scaler = fit_scaler(train, cols)
     data = _training_frame(fold_column(assemble(train, scaler, cols), k, CAL_STREAM, cfg, "_cf"),
                            label, partitions)
