@@ -318,3 +318,116 @@ def baseline_features(tx: DataFrame, cfg: RiskConfig = DEFAULT) -> DataFrame:
         F.coalesce(F.col("trend"), F.lit(0.0)).alias("trend"),
     )
     return churn_label(out, cfg=cfg)
+
+
+# --------------------------------------------------------------------------
+# One operator per feature (F1-F16): each runs only the branch it needs.
+# --------------------------------------------------------------------------
+
+def _pick(df: DataFrame, col: str, fill=True) -> DataFrame:
+    out = df.select("customer_id", col)
+    return zero_fill(out, [col]) if fill else out
+
+
+def recency(tx: DataFrame) -> DataFrame:
+    """whole days from the last purchase to the reference date."""
+    return _pick(line_totals(tx, reference_date(tx)), "recency", False)
+
+
+def frequency(tx: DataFrame) -> DataFrame:
+    """distinct invoices (0 when a customer has only missing invoices)."""
+    base = tx.select("customer_id").distinct()
+    return zero_fill(base.join(invoice_stats(tx).select("customer_id", "frequency"), "customer_id", "left"),
+                     ["frequency"])
+
+
+def monetary(tx: DataFrame) -> DataFrame:
+    """total spend."""
+    return _pick(line_totals(tx, reference_date(tx)), "monetary", False)
+
+
+def avg_order_value(tx: DataFrame) -> DataFrame:
+    """spend per invoice (0 without invoices)."""
+    return customer_features(tx).select("customer_id", "avg_order_value")
+
+
+def product_diversity(tx: DataFrame) -> DataFrame:
+    """distinct stock codes."""
+    return distinct_count(tx, "stock_code", "product_diversity")
+
+
+def total_quantity(tx: DataFrame) -> DataFrame:
+    """items bought."""
+    return _pick(line_totals(tx, reference_date(tx)), "total_quantity", False)
+
+
+def geo_spread(tx: DataFrame) -> DataFrame:
+    """distinct countries, or 1 when the source has no country."""
+    if "country" in tx.columns:
+        return distinct_count(tx, "country", "geo_spread")
+    return tx.select("customer_id").distinct().withColumn("geo_spread", F.lit(1).cast("bigint"))
+
+
+def purchase_volatility(tx: DataFrame) -> DataFrame:
+    """F8: sample sd of invoice totals (0 for fewer than two invoices)."""
+    return _pick(invoice_stats(tx), "purchase_volatility")
+
+
+def revenue_concentration(tx: DataFrame) -> DataFrame:
+    """Herfindahl index of invoice shares."""
+    return _pick(invoice_stats(tx), "revenue_concentration")
+
+
+def spend_last_30(tx: DataFrame) -> DataFrame:
+    """spend in the 30 days before the reference date."""
+    return _pick(line_totals(tx, reference_date(tx)), "spend_last30")
+
+
+def spend_30_90(tx: DataFrame) -> DataFrame:
+    """spend 90 to 30 days before the reference date."""
+    return _pick(line_totals(tx, reference_date(tx)), "spend_30_90")
+
+
+def recency_acceleration(tx: DataFrame) -> DataFrame:
+    """(last-30 spend + 1) / (30-90 spend + 1); 0 if either window is empty."""
+    lt = line_totals(tx, reference_date(tx))
+    acc = (F.col("spend_last30") + 1) / (F.col("spend_30_90") + 1)
+    return zero_fill(lt.select("customer_id", acc.alias("recency_acceleration")), ["recency_acceleration"])
+
+
+def weekend_ratio(tx: DataFrame) -> DataFrame:
+    """share of lines bought on Saturday or Sunday."""
+    return _pick(line_totals(tx, reference_date(tx)), "weekend_ratio")
+
+
+def tenure(tx: DataFrame) -> DataFrame:
+    """whole days from the first purchase to the reference date."""
+    return _pick(line_totals(tx, reference_date(tx)), "tenure", False)
+
+
+def avg_days_between(tx: DataFrame) -> DataFrame:
+    """mean whole-day gap between consecutive lines."""
+    return _pick(purchase_gaps(tx), "avg_days_between_purchases")
+
+
+def spending_trend_of(tx: DataFrame) -> DataFrame:
+    """F16: monthly spend slope."""
+    return _pick(spending_trend(monthly_spend(tx)), "spending_trend")
+
+
+def baseline_trend_of(tx: DataFrame) -> DataFrame:
+    """mean monthly percentage change (older pipeline)."""
+    return _pick(baseline_trend(monthly_spend(tx)), "trend")
+
+
+SINGLE_FEATURES = {
+    "F1": ("recency", recency), "F2": ("frequency", frequency), "F3": ("monetary", monetary),
+    "F4": ("avg_order_value", avg_order_value), "F5": ("product_diversity", product_diversity),
+    "F6": ("total_quantity", total_quantity), "F7": ("geo_spread", geo_spread),
+    "F8": ("purchase_volatility", purchase_volatility),
+    "F9": ("revenue_concentration", revenue_concentration),
+    "F10": ("spend_last30", spend_last_30), "F11": ("spend_30_90", spend_30_90),
+    "F12": ("recency_acceleration", recency_acceleration), "F13": ("weekend_ratio", weekend_ratio),
+    "F14": ("tenure", tenure), "F15": ("avg_days_between_purchases", avg_days_between),
+    "F16": ("spending_trend", spending_trend_of),
+}

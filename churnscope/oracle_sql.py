@@ -684,3 +684,22 @@ FROM cust, med"""
 ORACLES["S1_read_transactions_csv"] = _clean("orders")
 ORACLES["S2_S3_results_roundtrip"] = f"WITH {scored_ctes('orders')} SELECT {score_select()} FROM scored"
 ORACLES["ST_stream_ingest_events"] = _clean("events")
+
+# Single features (F1-F16) and the baseline trend.
+_SINGLE = {
+    "F1": "recency", "F2": "frequency", "F3": "monetary", "F4": "avg_order_value",
+    "F5": "product_diversity", "F6": "total_quantity", "F7": "geo_spread", "F8": "purchase_volatility",
+    "F9": "revenue_concentration", "F10": "spend_last30", "F11": "spend_30_90",
+    "F12": "recency_acceleration", "F13": "weekend_ratio", "F14": "tenure",
+    "F15": "avg_days_between_purchases", "F16": "spending_trend",
+}
+for _fid, _col in _SINGLE.items():
+    _expr = _col if _col in FEATURE_LONGS else r6(_col)
+    ORACLES[f"{_fid}_{_col}"] = f"WITH {features_ctes('orders')} SELECT customer_id, {_expr} AS {_col} FROM feat"
+ORACLES["F15_avg_days_between_purchases_events"] = (
+    f"WITH {features_ctes('events')} SELECT customer_id, {r6('avg_days_between_purchases')} "
+    "AS avg_days_between_purchases FROM feat")
+ORACLES["F7_geo_spread_events"] = (
+    f"WITH {features_ctes('events')} SELECT customer_id, geo_spread FROM feat")
+ORACLES["F17_baseline_trend"] = (
+    "WITH bf AS (" + ORACLES["F22_baseline_features"] + ") SELECT customer_id, trend FROM bf")

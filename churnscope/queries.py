@@ -611,3 +611,20 @@ def q_stream_ingest(spark, sf_dir):
     tx = spark.read.parquet(path)
     return out(tx.withColumn("price", F.col("price").cast("double"))
                  .withColumn("amount", F.col("amount").cast("double")))
+
+
+# ---------------------------------------------------------------- single features
+
+def _feature_query(fid, col, fn, source):
+    def q(spark, sf_dir):
+        return out(fn(tx_of(spark, sf_dir, source)))
+    q.__name__ = f"q_{fid}_{col}"
+    return q
+
+
+for _fid, (_col, _fn) in FE.SINGLE_FEATURES.items():
+    query(f"{_fid}_{_col}")(_feature_query(_fid, _col, _fn, "orders"))
+query("F15_avg_days_between_purchases_events")(
+    _feature_query("F15", "avg_days_between_purchases", FE.avg_days_between, "events"))
+query("F7_geo_spread_events")(_feature_query("F7", "geo_spread", FE.geo_spread, "events"))
+query("F17_baseline_trend")(_feature_query("F17", "trend", FE.baseline_trend_of, "orders"))
