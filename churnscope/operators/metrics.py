@@ -60,9 +60,9 @@ def ranking_metrics(scored: DataFrame, y: str = "y", p: str = "p", n_buckets: in
     auc_term = F.col("pos").cast("double") * (neg_below + 0.5 * F.col("neg").cast("double"))
     tp_at = P - (F.col("cum_pos") - F.col("pos")).cast("double")
     n_at = (P + N) - (F.col("cum_cnt") - F.col("cnt")).cast("double")
-    ap_term = (F.col("pos").cast("double") / P) * (tp_at / n_at)
+    ap_term = F.try_divide(F.col("pos").cast("double"), P) * (tp_at / n_at)
     return cs.agg(
-        (F.sum(auc_term) / (F.max(P) * F.max(N))).alias("auc"),
+        F.try_divide(F.sum(auc_term), F.max(P) * F.max(N)).alias("auc"),
         F.sum(ap_term).alias("avg_precision"),
     )
 
@@ -106,12 +106,12 @@ def binary_metrics(scored: DataFrame, y: str = "y", p: str = "p", n_buckets: int
     n_at = (P + N) - (F.col("cum_cnt") - F.col("cnt")).cast("double")
     above = s > threshold
     agg = cs.agg(
-        (F.sum(pos * (neg_below + 0.5 * neg)) / (F.max(P) * F.max(N))).alias("auc"),
-        F.sum((pos / P) * (tp_at / n_at)).alias("avg_precision"),
+        F.try_divide(F.sum(pos * (neg_below + 0.5 * neg)), F.max(P) * F.max(N)).alias("auc"),
+        F.sum(F.try_divide(pos, P) * (tp_at / n_at)).alias("avg_precision"),
         F.sum(F.when(above, pos).otherwise(0.0)).alias("tp"),
         F.sum(F.when(above, neg).otherwise(0.0)).alias("fp"),
         F.sum(F.when(above, 0.0).otherwise(pos)).alias("fn"),
-        (F.sum(pos * (1 - s) * (1 - s) + neg * s * s) / F.max(P + N)).alias("brier_score"),
+        F.try_divide(F.sum(pos * (1 - s) * (1 - s) + neg * s * s), F.max(P + N)).alias("brier_score"),
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return agg.select(

@@ -80,5 +80,5 @@ def stress_test(scored: DataFrame, ref_loss: Column, cfg: RiskConfig = DEFAULT,
         "scenario", "churn_multiplier", "clv_multiplier",
         F.bround(F.col("loss"), 0).alias("expected_loss"),
         "high_risk_customers",
-        F.bround((F.col("loss") / ref_loss - 1) * 100, 1).alias("loss_delta_pct"),
+        F.bround((F.try_divide(F.col("loss"), ref_loss) - 1) * 100, 1).alias("loss_delta_pct"),
     )

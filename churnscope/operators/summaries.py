@@ -180,7 +180,7 @@ def tier_distribution(cust: DataFrame) -> DataFrame:
     total = cust.agg(F.count(F.lit(1))).scalar()
     agg = cust.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("customers"))
     out = with_tier_order(agg, C.TIER_ORDER, {"customers": 0})
-    return out.withColumn("pct", F.bround(_dbl("customers") / total * 100, 1))
+    return out.withColumn("pct", F.bround(F.try_divide(_dbl("customers"), total.cast("double")) * 100, 1))
 
 
 # ---------------------------------------------------------------- KPIs
