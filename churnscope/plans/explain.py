@@ -39,6 +39,21 @@ BACKGROUND_ROWS = 100
 BACKGROUND_STREAM = 4
 
 
+def _ship_by_value():
+    """Serialise this module's functions into the tasks, so Python workers do
+    not need the package installed (the Shapley kernel runs in
+    ``mapInPandas``)."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older cloudpickle: rely on installed package
+        pass
+
+
+_ship_by_value()
+
+
 def fit_explainer(train: DataFrame, cfg: RiskConfig = DEFAULT, label: str = "churn",
                   cols=C.FEATURE_COLS):
     """A single boosted-tree model on standardised features (the model explained)."""
