@@ -194,9 +194,9 @@ FEATURE_ORDER = (
 )
 
 
-def customer_features(tx: DataFrame, cfg: RiskConfig = DEFAULT) -> DataFrame:
+def customer_features(tx: DataFrame, cfg: RiskConfig = DEFAULT, ref: Column = None) -> DataFrame:
     """the per-customer feature table (before the churn label and CLV)."""
-    ref = reference_date(tx)
+    ref = reference_date(tx) if ref is None else ref
     base = line_totals(tx, ref)
     inv = invoice_stats(tx)
     prod = distinct_count(tx, "stock_code", "product_diversity")
@@ -269,8 +269,16 @@ def calibrated_churn_label(cust: DataFrame, cfg: RiskConfig = DEFAULT, **kw) ->
 def labelled_features(tx: DataFrame, cfg: RiskConfig = DEFAULT, calibrate: bool = True) -> DataFrame:
     """Features + churn label (auto-calibrated window) + CLV, column order of
     the customer_features table."""
-    cust = customer_features(tx, cfg)
-    cust = calibrated_churn_label(cust, cfg) if calibrate else churn_label(cust, cfg=cfg)
+    ref = reference_date(tx)
+    cust = customer_features(tx, cfg, ref)
+    if calibrate:
+        # The threshold needs recency only: take it from the line-totals
+        # branch (same customers, same values), so the subquery does not
+        # re-run the whole feature job.
+        t = churn_threshold(line_totals(tx, ref).select("recency"), cfg)
+        cust = churn_label(cust, t, cfg)
+    else:
+        cust = churn_label(cust, cfg=cfg)
     return with_clv(cust, cfg)
 
 

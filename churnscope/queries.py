@@ -116,14 +116,14 @@ def losses_of(spark, sf_dir, source="orders", n_sims=C.MC_SIMULATIONS):
 
 @query("F20_churn_threshold")
 def q_threshold(spark, sf_dir):
-    cust = FE.customer_features(tx_of(spark, sf_dir, "orders"))
+    cust = FE.recency(tx_of(spark, sf_dir, "orders"))
     return out(cust.agg(F.avg((F.col("recency") > C.CHURN_WINDOW_DAYS).cast("double")).alias("fixed_rate"))
                .select("fixed_rate", FE.churn_threshold(cust).alias("threshold")))
 
 
 @query("F20_churn_threshold_events")
 def q_threshold_events(spark, sf_dir):
-    cust = FE.customer_features(tx_of(spark, sf_dir, "events"))
+    cust = FE.recency(tx_of(spark, sf_dir, "events"))
     return out(cust.agg(F.avg((F.col("recency") > C.CHURN_WINDOW_DAYS).cast("double")).alias("fixed_rate"))
                .select("fixed_rate", FE.churn_threshold(cust).alias("threshold")))
 
