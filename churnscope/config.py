@@ -120,6 +120,9 @@ class RiskConfig:
     kmeans_starts: int = 20
     boost: BoostParams = field(default_factory=BoostParams)
     forest: ForestParams = field(default_factory=ForestParams)
+    # The older single-model pipeline: 200 rounds, depth 5, rate 0.1, no subsampling.
+    baseline_boost: BoostParams = field(default_factory=lambda: BoostParams(
+        max_iter=200, max_depth=5, step_size=0.1, subsampling_rate=1.0, feature_subset="all"))
     logistic_c: float = 0.5
     logistic_max_iter: int = 1000
     calibration_folds: int = 3
@@ -134,6 +137,8 @@ DEFAULT = RiskConfig()
 # sizes above take minutes per fit; see README).
 FAST = RiskConfig(
     boost=BoostParams(max_iter=10),
+    baseline_boost=BoostParams(max_iter=10, max_depth=5, step_size=0.1, subsampling_rate=1.0,
+                               feature_subset="all"),
     forest=ForestParams(num_trees=20),
     logistic_max_iter=100,
     kmeans_starts=3,

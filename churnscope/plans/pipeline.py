@@ -91,7 +91,9 @@ def run_baseline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT,
                                 .otherwise(F.col("avg_order_value")))
     va = VectorAssembler(inputCols=cols, outputCol="features")
     d = split_flag(va.transform(model_in).withColumn("label", F.col("churn").cast("double")), cfg)
-    gbt = GBTClassifier(maxIter=cfg.boost.max_iter, maxDepth=cfg.boost.max_depth, stepSize=0.1,
+    bb = cfg.baseline_boost
+    gbt = GBTClassifier(maxIter=bb.max_iter, maxDepth=bb.max_depth, stepSize=bb.step_size,
+                        subsamplingRate=bb.subsampling_rate, featureSubsetStrategy=bb.feature_subset,
                         seed=cfg.seed).fit(d.filter(~F.col("is_test")))
     scored = gbt.transform(d).withColumn("churn_prob", vector_to_array("probability")[1])
     clv = F.col("monetary") * F.lit(cfg.margin)
