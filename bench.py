@@ -32,6 +32,8 @@ HEADLINE = [
     "A14_feature_medians",
     "W6_page_customers",
     "F21_customer_features_events",
+    "S1_read_transactions_csv",
+    "ST_stream_ingest_events",
     "M8_M10_model_metrics",
     "M13_contributions",
 ]

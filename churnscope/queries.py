@@ -78,7 +78,7 @@ def q_features_events(spark, sf_dir):
 @query("F22_baseline_features")
 def q_baseline(spark, sf_dir):
     return out(FE.baseline_features(tx_of(spark, sf_dir, "orders")))
-FLAGSHIP = "F21_customer_features"
+FLAGSHIP = "C1_C3_customer_risk_scores"
 
 
 # ---------------------------------------------------------------- shared tables
