@@ -63,3 +63,30 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def scale_conf(input_bytes: int, target_partition_bytes: int = 128 << 20,
+               executor_cores_total: int = None) -> dict:
+    """Session settings sized for an input of ``input_bytes`` on a cluster.
+
+    Shuffle partitions start at about one per ``target_partition_bytes`` of
+    input (never fewer than twice the total cores), so each shuffle partition
+    of line-level data fits comfortably in an executor's execution memory;
+    AQE then coalesces small ones toward the same advisory size and splits
+    skewed ones. Scan splits use the same target.
+    """
+    parts = max(1, -(-int(input_bytes) // target_partition_bytes))
+    if executor_cores_total:
+        parts = max(parts, 2 * executor_cores_total)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict) -> None:
+    for k, v in conf.items():
+        spark.conf.set(k, v)
