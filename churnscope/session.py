@@ -65,17 +65,18 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def scale_conf(input_bytes: int, target_partition_bytes: int = 128 << 20,
-               executor_cores_total: int = None) -> dict:
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+               executor_cores_total: int = None, max_shuffle_partitions: int = 100_000) -> dict:
     """Session settings sized for an input of ``input_bytes`` on a cluster.
 
     Shuffle partitions start at about one per ``target_partition_bytes`` of
-    input (never fewer than twice the total cores), so each shuffle partition
-    of line-level data fits comfortably in an executor's execution memory;
+    input (never fewer than twice the total cores, at most
+    ``max_shuffle_partitions`` to keep map-output tracking manageable), so a
+    shuffle partition of line-level data fits in execution memory;
     AQE then coalesces small ones toward the same advisory size and splits
     skewed ones. Scan splits use the same target.
     """
-    parts = max(1, -(-int(input_bytes) // target_partition_bytes))
+    parts = min(max(1, -(-int(input_bytes) // target_partition_bytes)), max_shuffle_partitions)
     if executor_cores_total:
         parts = max(parts, 2 * executor_cores_total)
     return {
