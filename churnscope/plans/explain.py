@@ -12,9 +12,13 @@ for i in A and -a! (b-1)! / (a+b)! for i in B. Summing leaf values times
 these weights over leaves and trees, and averaging over z, gives the values;
 they add up to margin(x) - mean margin(z).
 
-The trees (bounded by model size) and the background rows are broadcast;
-``mapInPandas`` evaluates batches of customers with numpy, so the work is
-spread over the customer partitions. Margins are in the model's raw units
+The game of a leaf for a pair (x, z) depends only on which path positions x
+and z satisfy (at most 2^depth patterns each). So the background is folded
+once, on the driver, into a table (tree, leaf, x pattern) -> contribution per
+path position: bounded by model size, whatever the number of customers or
+background rows. The trees and folded tables are broadcast; ``mapInPandas``
+evaluates batches of customers with numpy (one table lookup per tree leaf),
+so the work is spread over the customer partitions. Margins are in the model's raw units
 (GBT margin; probability = 1 / (1 + exp(-2 margin))).
 """
 
@@ -154,56 +158,96 @@ def _satisfied(X, feat, thr, left, valid):
     return np.where(rep[None], grp, True), rep
 
 
-def shap_batch(X, Z, tables, n_features):
-    """(phi (n, d), margin (n,), base) for rows X against background Z."""
+def _pattern(sat: np.ndarray) -> np.ndarray:
+    """Bit pattern of satisfied path positions: (rows, L, D) bool -> (rows, L) int."""
+    D = sat.shape[-1]
+    return (sat.astype(np.int64) << np.arange(D)).sum(-1)
+
+
+def leaf_tables(tables, Z: np.ndarray):
+    """Fold the background into per-leaf lookup tables (bounded by model size).
+
+    A leaf's game for a pair (x, z) depends only on which path positions x
+    satisfies and which z satisfies: at most 2^D patterns each. Counting the
+    background rows per (leaf, z pattern) gives, for every (leaf, x pattern),
+    the background-averaged contribution of each path position. Returns
+    contrib (trees, L, 2^D, D), rep (trees, L, D) and the base value
+    (mean margin over the background).
+    """
     feat, thr, left, valid, value = tables
-    depth = feat.shape[-1]
-    wa, wb = _weights(depth)
-    n, m = X.shape[0], Z.shape[0]
+    T, L, D = feat.shape
+    P = 1 << D
+    wa, wb = _weights(D)
+    bits = ((np.arange(P)[:, None] >> np.arange(D)) & 1).astype(bool)          # (P, D)
+    xo = bits[:, None, :]                                                        # (P,1,D) x side
+    zo = bits[None, :, :]                                                        # (1,P,D) z side
+    x_only, z_only = xo & ~zo, ~xo & zo                                          # (P,P,D)
+    reach = ~np.any(~xo & ~zo, axis=-1)                                          # (P,P)
+    a, b = x_only.sum(-1), z_only.sum(-1)
+    pos = reach[..., None] * (x_only * wa[a, b][..., None] - z_only * wb[a, b][..., None])  # (P,P,D)
+    contrib = np.zeros((T, L, P, D))
+    reps = np.zeros((T, L, D), dtype=bool)
+    base = 0.0
+    m = Z.shape[0]
+    for t in range(T):
+        ZO, rep = _satisfied(Z, feat[t], thr[t], left[t], valid[t])             # (m, L, D)
+        reps[t] = rep
+        base += (ZO.all(-1) * value[t]).sum(-1).mean()
+        pz = _pattern(ZO)                                                        # (m, L)
+        w = np.zeros((L, P))
+        for leaf in range(L):
+            w[leaf] = np.bincount(pz[:, leaf], minlength=P) / m
+        # contrib[leaf, px, k] = value[leaf] * sum_pz w[leaf, pz] * pos[px, pz, k]
+        contrib[t] = value[t][:, None, None] * np.einsum("lz,xzk->lxk", w, pos)
+    return contrib, reps, base
+
+
+def shap_rows(X: np.ndarray, tables, contrib: np.ndarray, reps: np.ndarray, n_features: int):
+    """(phi (n, d), margin (n,)) for rows X from the folded leaf tables."""
+    feat, thr, left, valid, value = tables
+    T, L, D = feat.shape
+    n = X.shape[0]
     phi = np.zeros((n, n_features))
     margin = np.zeros(n)
-    base = 0.0
-    for t in range(feat.shape[0]):
-        XO, rep = _satisfied(X, feat[t], thr[t], left[t], valid[t])   # (n, L, D)
-        ZO, _ = _satisfied(Z, feat[t], thr[t], left[t], valid[t])     # (m, L, D)
-        val = value[t]                                                # (L,)
-        margin += (XO.all(-1) * val).sum(-1)
-        base += (ZO.all(-1) * val).sum(-1).mean()
-        xo, zo = XO[:, None], ZO[None]                                # (n,1,L,D), (1,m,L,D)
-        x_only = xo & ~zo
-        z_only = ~xo & zo
-        reach = ~np.any(~xo & ~zo, axis=-1)                           # (n,m,L)
-        a = x_only.sum(-1)
-        b = z_only.sum(-1)
-        coef = (reach * val)[..., None]                               # (n,m,L,1)
-        c = coef * (x_only * wa[a, b][..., None] - z_only * wb[a, b][..., None])
-        c = c.sum(axis=1) / m                                         # (n,L,D)
-        onehot = np.zeros((feat.shape[1] * depth, n_features))
-        idx = np.where(rep.reshape(-1))[0]
-        onehot[idx, feat[t].reshape(-1)[idx]] = 1.0
-        phi += c.reshape(n, -1) @ onehot
+    rows = np.arange(n)[:, None]
+    leaves = np.arange(L)[None, :]
+    for t in range(T):
+        XO, _ = _satisfied(X, feat[t], thr[t], left[t], valid[t])               # (n, L, D)
+        margin += (XO.all(-1) * value[t]).sum(-1)
+        c = contrib[t][leaves, _pattern(XO)]                                     # (n, L, D)
+        idx = np.where(reps[t].reshape(-1))[0]
+        np.add.at(phi, (rows, feat[t].reshape(-1)[idx][None, :]), c.reshape(n, -1)[:, idx])
+    return phi, margin
+
+
+def shap_batch(X, Z, tables, n_features):
+    """(phi (n, d), margin (n,), base) for rows X against background Z."""
+    contrib, reps, base = leaf_tables(tables, Z)
+    phi, margin = shap_rows(X, tables, contrib, reps, n_features)
     return phi, margin, base
 
 
 def contributions(df: DataFrame, scaler, model: GBTClassificationModel, bg: np.ndarray,
-                  cols=C.FEATURE_COLS, batch: int = 256) -> DataFrame:
+                  cols=C.FEATURE_COLS, batch: int = 4096) -> DataFrame:
     """Long table (customer_id, feature, phi) for every row of ``df``."""
     spark = df.sparkSession
     depth = model.getMaxDepth()
     tables = tree_tables(model, spark, depth)
-    b_tables = spark.sparkContext.broadcast(tables)
-    b_bg = spark.sparkContext.broadcast(bg)
+    contrib, reps, _ = leaf_tables(tables, bg)
+    # Trees and folded tables: trees x 2^depth x 2^depth x depth numbers,
+    # bounded by model size whatever the data size.
+    b_tables = spark.sparkContext.broadcast((tables, contrib, reps))
     names = list(cols)
     d = len(names)
 
     def run(it):
         import pandas as pd
-        tb, Z = b_tables.value, b_bg.value
+        tb, ct, rp = b_tables.value
         for pdf in it:
             for s in range(0, len(pdf), batch):
                 part = pdf.iloc[s:s + batch]
                 X = np.stack(part["f"].to_numpy()).astype(float)
-                phi, _, _ = shap_batch(X, Z, tb, d)
+                phi, _ = shap_rows(X, tb, ct, rp, d)
                 yield pd.DataFrame({
                     "customer_id": np.repeat(part["customer_id"].to_numpy(), d),
                     "feature": np.tile(np.array(names, dtype=object), len(part)),
@@ -226,8 +270,7 @@ def margins(df: DataFrame, scaler, model: GBTClassificationModel, cols=C.FEATURE
 
 def base_value(model: GBTClassificationModel, spark, bg: np.ndarray) -> float:
     tables = tree_tables(model, spark, model.getMaxDepth())
-    _, _, base = shap_batch(bg[:1], bg, tables, bg.shape[1])
-    return float(base)
+    return float(leaf_tables(tables, bg)[2])
 
 
 def global_importance(contrib: DataFrame) -> DataFrame:
