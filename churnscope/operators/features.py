@@ -439,3 +439,24 @@ SINGLE_FEATURES = {
     "F14": ("tenure", tenure), "F15": ("avg_days_between_purchases", avg_days_between),
     "F16": ("spending_trend", spending_trend_of),
 }
+
+
+def monthly_pct_change(monthly: DataFrame) -> DataFrame:
+    """Month-over-month change of spend over each customer's zero-filled
+    span of months: (customer_id, month, spend, pct_change).
+
+    The span is generated per customer from first to last month (bounded by
+    months in the data) and joined to the months present. The change is null
+    for the first month and where both months are empty, +infinity after an
+    empty month, -1 into an empty month.
+    """
+    span = monthly.groupBy("customer_id").agg(F.min("month").alias("m0"), F.max("month").alias("m1"))
+    dense = span.select("customer_id", F.explode(F.sequence("m0", "m1")).alias("month"))
+    d = dense.join(monthly, ["customer_id", "month"], "left").select(
+        "customer_id", "month", F.coalesce(_dbl(F.col("spend")), F.lit(0.0)).alias("spend"))
+    w = Window.partitionBy("customer_id").orderBy("month")
+    prev = F.lag("spend").over(w)
+    pct = (F.when(prev.isNull(), F.lit(None).cast("double"))
+           .when(prev == 0, F.when(F.col("spend") > 0, F.lit(float("inf"))).otherwise(F.lit(None).cast("double")))
+           .otherwise(F.col("spend") / prev - 1))
+    return d.withColumn("pct_change", pct)

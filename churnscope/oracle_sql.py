@@ -703,3 +703,19 @@ ORACLES["F7_geo_spread_events"] = (
     f"WITH {features_ctes('events')} SELECT customer_id, geo_spread FROM feat")
 ORACLES["F17_baseline_trend"] = (
     "WITH bf AS (" + ORACLES["F22_baseline_features"] + ") SELECT customer_id, trend FROM bf")
+
+ORACLES["W2_monthly_pct_change"] = f"""
+WITH {TX_ORDERS},
+mon AS (SELECT customer_id, year(ts) * 12 + month(ts) - 1 AS m, sum(amount) AS spend FROM tx GROUP BY 1, 2),
+span AS (SELECT customer_id, min(m) AS m0, max(m) AS m1 FROM mon GROUP BY 1),
+dense AS (
+  SELECT s.customer_id, g.m, CAST(coalesce(mon.spend, 0) AS DOUBLE) AS y
+  FROM span s, LATERAL (SELECT unnest(range(s.m0, s.m1 + 1)) AS m) g
+  LEFT JOIN mon ON mon.customer_id = s.customer_id AND mon.m = g.m
+),
+chg AS (SELECT customer_id, m, y, lag(y) OVER (PARTITION BY customer_id ORDER BY m) AS prev FROM dense)
+SELECT customer_id, CAST(m AS INTEGER) AS month, {r6('y')} AS spend,
+       CASE WHEN prev IS NULL THEN NULL
+            WHEN prev = 0 THEN CASE WHEN y > 0 THEN CAST('inf' AS DOUBLE) ELSE NULL END
+            ELSE {r6('y / prev - 1')} END AS pct_change
+FROM chg"""

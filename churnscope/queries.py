@@ -628,3 +628,8 @@ query("F15_avg_days_between_purchases_events")(
     _feature_query("F15", "avg_days_between_purchases", FE.avg_days_between, "events"))
 query("F7_geo_spread_events")(_feature_query("F7", "geo_spread", FE.geo_spread, "events"))
 query("F17_baseline_trend")(_feature_query("F17", "trend", FE.baseline_trend_of, "orders"))
+
+
+@query("W2_monthly_pct_change")
+def q_pct_change(spark, sf_dir):
+    return out(FE.monthly_pct_change(FE.monthly_spend(tx_of(spark, sf_dir, "orders"))))
