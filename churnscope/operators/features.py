@@ -3,10 +3,13 @@
 Shape of the plan (``customer_features``):
 
 * every branch is a ``groupBy`` on ``customer_id`` or on a finer key
-  (customer+invoice, customer+month, customer+day, customer+product,
-  customer+country), so map-side partial aggregation shrinks the data before
-  each shuffle and a customer holding a large share of all lines is spread
-  over many tasks instead of landing in one;
+  (customer+day, customer+invoice, customer+product, customer+country), so
+  map-side partial aggregation shrinks the data before each shuffle and a
+  customer holding a large share of all lines is spread over many tasks
+  instead of landing in one;
+* the (customer, day) aggregate is written once and feeds the line totals,
+  the monthly spend and the purchase gaps, so the lines are shuffled four
+  times in all (day, invoice, product, country);
 * each branch ends in an aggregation by ``customer_id``, so all branch
   outputs are hash-partitioned on the same key and the left joins that put
   them together are sort-merge joins with no further exchange;
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.config import DEFAULT, RiskConfig
+from churnscope.session import write_table
 
 def days_between(start: Column, end: Column) -> Column:
     """Complete days from ``start`` to ``end``."""
@@ -59,20 +63,43 @@ def _ratio(num: Column, den: Column) -> Column:
 # Branches
 # --------------------------------------------------------------------------
 
-def line_totals(tx: DataFrame, ref: Column) -> DataFrame:
-    """F1, F3, F6, F10, F11, F13, F14 in one aggregation over lines."""
-    cut30 = ref - F.expr("INTERVAL 30 DAYS")
-    cut90 = ref - F.expr("INTERVAL 90 DAYS")
+def daily_totals(tx: DataFrame, ref: Column = None) -> DataFrame:
+    """Per (customer, calendar day): first/last time, lines, spend, items,
+    weekend lines and the spend inside the 30-day and 30-90-day windows.
+
+    This one partial aggregation of the lines feeds the line totals, the
+    monthly spend and the purchase gaps (all sums, minima and maxima reduce
+    exactly through it), so those branches share a single line-level shuffle
+    keyed by (customer, day), and a large customer is split by day.
+    """
     ts, amt = F.col("ts"), F.col("amount")
-    agg = tx.groupBy("customer_id").agg(
-        F.max(ts).alias("last_ts"),
-        F.min(ts).alias("first_ts"),
-        F.sum(amt).alias("monetary_dec"),
-        F.sum("quantity").cast("bigint").alias("total_quantity"),
-        F.count(F.lit(1)).alias("n_lines"),
+    aggs = [
+        F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
+        F.count(F.lit(1)).alias("lines"),
+        F.sum(amt).alias("spend"),
+        F.sum("quantity").alias("qty"),
         F.sum(F.when(F.weekday(ts) >= 5, 1).otherwise(0)).alias("weekend_lines"),
-        F.sum(F.when(ts >= cut30, amt)).alias("spend_last30_dec"),
-        F.sum(F.when((ts >= cut90) & (ts < cut30), amt)).alias("spend_30_90_dec"),
+    ]
+    if ref is not None:
+        cut30 = ref - F.expr("INTERVAL 30 DAYS")
+        cut90 = ref - F.expr("INTERVAL 90 DAYS")
+        aggs += [F.sum(F.when(ts >= cut30, amt)).alias("s30"),
+                 F.sum(F.when((ts >= cut90) & (ts < cut30), amt)).alias("s3090")]
+    return tx.groupBy("customer_id", F.to_date(ts).alias("day")).agg(*aggs)
+
+
+def line_totals(tx: DataFrame, ref: Column, daily: DataFrame = None) -> DataFrame:
+    """F1, F3, F6, F10, F11, F13, F14 from the daily totals."""
+    d = daily_totals(tx, ref) if daily is None else daily
+    agg = d.groupBy("customer_id").agg(
+        F.max("last_ts").alias("last_ts"),
+        F.min("first_ts").alias("first_ts"),
+        F.sum("spend").alias("monetary_dec"),
+        F.sum("qty").cast("bigint").alias("total_quantity"),
+        F.sum("lines").alias("n_lines"),
+        F.sum("weekend_lines").alias("weekend_lines"),
+        F.sum("s30").alias("spend_last30_dec"),
+        F.sum("s3090").alias("spend_30_90_dec"),
     )
     return agg.select(
         "customer_id",
@@ -116,8 +143,11 @@ def distinct_count(tx: DataFrame, col: str, alias: str) -> DataFrame:
             .groupBy("customer_id").agg(F.count(F.lit(1)).alias(alias)))
 
 
-def monthly_spend(tx: DataFrame) -> DataFrame:
+def monthly_spend(tx: DataFrame, daily: DataFrame = None) -> DataFrame:
     """Per (customer, calendar month) spend; months without purchases are absent."""
+    if daily is not None:
+        return (daily.groupBy("customer_id", month_index(F.col("day")).alias("month"))
+                .agg(F.sum("spend").alias("spend")))
     return (tx.groupBy("customer_id", month_index(F.col("ts")).alias("month"))
             .agg(F.sum("amount").alias("spend")))
 
@@ -145,7 +175,7 @@ def spending_trend(monthly: DataFrame) -> DataFrame:
                       F.when(n < 3, F.lit(0.0)).otherwise(slope).alias("spending_trend"))
 
 
-def purchase_gaps(tx: DataFrame) -> DataFrame:
+def purchase_gaps(tx: DataFrame, daily: DataFrame = None) -> DataFrame:
     """Mean whole-day gap between consecutive purchase lines.
 
     Gaps are taken over lines sorted by time (equal times give zero gaps),
@@ -156,9 +186,7 @@ def purchase_gaps(tx: DataFrame) -> DataFrame:
     those day rows, at most one per active day per customer, however many
     lines the customer has.
     """
-    days = tx.groupBy("customer_id", F.to_date("ts").alias("day")).agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        F.count(F.lit(1)).alias("lines"))
+    days = daily_totals(tx) if daily is None else daily
     w = Window.partitionBy("customer_id").orderBy("day")
     gaps = days.withColumn(
         "gap", days_between(F.lag("last_ts").over(w), F.col("first_ts")))
@@ -197,11 +225,16 @@ FEATURE_ORDER = (
 def customer_features(tx: DataFrame, cfg: RiskConfig = DEFAULT, ref: Column = None) -> DataFrame:
     """the per-customer feature table (before the churn label and CLV)."""
     ref = reference_date(tx) if ref is None else ref
-    base = line_totals(tx, ref)
+    # Written once to the shared checkpoint folder: three branches read it
+    # (column-pruned), so the lines are shuffled once for all three. Left
+    # lazy, Catalyst would prune each consumer's copy differently and run
+    # three line-level aggregations.
+    daily = write_table(daily_totals(tx, ref), "daily_totals")
+    base = line_totals(tx, ref, daily)
     inv = invoice_stats(tx)
     prod = distinct_count(tx, "stock_code", "product_diversity")
-    trend = spending_trend(monthly_spend(tx))
-    gaps = purchase_gaps(tx)
+    trend = spending_trend(monthly_spend(tx, daily))
+    gaps = purchase_gaps(tx, daily)
     j = (base.join(inv, "customer_id", "left")
          .join(prod, "customer_id", "left")
          .join(trend, "customer_id", "left")
