@@ -340,11 +340,12 @@ def baseline_trend(monthly: DataFrame) -> DataFrame:
 def baseline_features(tx: DataFrame, cfg: RiskConfig = DEFAULT) -> DataFrame:
     """recency, frequency, monetary, avg order value, trend, churn (fixed window)."""
     ref = reference_date(tx)
-    base = tx.groupBy("customer_id").agg(
-        F.max("ts").alias("last_ts"), F.sum("amount").alias("m"))
+    daily = write_table(daily_totals(tx), "daily_totals")
+    base = daily.groupBy("customer_id").agg(
+        F.max("last_ts").alias("last_ts"), F.sum("spend").alias("m"))
     inv = (invoice_totals(tx).groupBy("customer_id")
            .agg(F.count(F.lit(1)).alias("frequency")))
-    trend = baseline_trend(monthly_spend(tx))
+    trend = baseline_trend(monthly_spend(tx, daily))
     j = base.join(inv, "customer_id", "left").join(trend, "customer_id", "left")
     freq = F.coalesce(F.col("frequency"), F.lit(0)).cast("bigint")
     # Only the trend's infinities were replaced in the older pipeline; a
