@@ -73,6 +73,23 @@ CV_ENSEMBLE_WEIGHTS = (3.0, 3.0, 2.0)
 WHATIF_SPEND_LAST30_SHARE = 0.05
 WHATIF_SPEND_30_90_SHARE = 0.15
 
+# Display names of the model metrics and of the stress table columns.
+METRIC_DISPLAY_NAMES = (
+    ("auc", "ROC-AUC"), ("avg_precision", "Avg Precision"), ("f1", "F1 Score"),
+    ("brier_score", "Brier Score"), ("cv_auc_mean", "CV AUC Mean"), ("cv_auc_std", "CV AUC Std"),
+)
+STRESS_DISPLAY_NAMES = ("Scenario", "Churn Shock", "CLV Impact", "Expected Loss",
+                        "High Risk Customers", "Loss vs Baseline")
+# Value/risk quadrant labels: high value + high risk, high value + low risk,
+# low value + high risk, low value + low risk.
+QUADRANT_LABELS = ("URGENT", "CHAMPION", "BORDERLINE", "MONITOR")
+# Labels of the tier cut lines on the probability histogram (Low..Critical).
+TIER_CUT_LABELS = ("Low", "Medium", "High", "Critical")
+# Class names of the classification report (label 0, label 1).
+CLASS_NAMES = ("Active", "Churned")
+# Column-name prefix of the wide cohort table.
+COHORT_COLUMN_PREFIX = "Month "
+
 # The sixteen model features, in model order.
 FEATURE_COLS = (
     "frequency", "monetary", "avg_order_value", "product_diversity",

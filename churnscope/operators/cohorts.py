@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnscope import config as C
 from churnscope.operators.features import month_index
 
 
@@ -80,4 +81,5 @@ def cohort_pivot(retention: DataFrame) -> DataFrame:
     """
     pct = F.bround(F.col("rate") * 100, 1)
     wide = (retention.groupBy("cohort_month").pivot("cohort_index").agg(F.first(pct)))
-    return wide.withColumnsRenamed({c: f"Month {c}" for c in wide.columns if c != "cohort_month"})
+    return wide.withColumnsRenamed({c: f"{C.COHORT_COLUMN_PREFIX}{c}" for c in wide.columns
+                                    if c != "cohort_month"})

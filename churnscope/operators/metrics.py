@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnscope import config as C
+
 
 def prefix_sums(df: DataFrame, order_col: str, cols, n_buckets: int = 64,
                 accuracy: int = 10000) -> DataFrame:
@@ -124,7 +126,7 @@ def binary_metrics(scored: DataFrame, y: str = "y", p: str = "p", n_buckets: int
 
 
 def class_report(scored: DataFrame, y: str = "y", p: str = "p",
-                 names=("Active", "Churned")) -> DataFrame:
+                 names=C.CLASS_NAMES) -> DataFrame:
     """Per-class precision/recall/F1/support, accuracy, macro and
     support-weighted averages (0/0 counts as 0)."""
     c = confusion(scored, y, p)

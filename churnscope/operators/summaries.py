@@ -62,10 +62,7 @@ def select_existing(df: DataFrame, cols) -> DataFrame:
     return df.select(*[c for c in cols if c in df.columns])
 
 
-METRIC_DISPLAY = {
-    "auc": "ROC-AUC", "avg_precision": "Avg Precision", "f1": "F1 Score",
-    "brier_score": "Brier Score", "cv_auc_mean": "CV AUC Mean", "cv_auc_std": "CV AUC Std",
-}
+METRIC_DISPLAY = dict(C.METRIC_DISPLAY_NAMES)
 
 
 def display_metrics(metrics: DataFrame) -> DataFrame:
@@ -75,14 +72,9 @@ def display_metrics(metrics: DataFrame) -> DataFrame:
 
 def display_stress(stress: DataFrame) -> DataFrame:
     """P13 + C8: formatted stress table with display column names."""
-    return stress.select(
-        F.col("scenario").alias("Scenario"),
-        fmt_mult("churn_multiplier").alias("Churn Shock"),
-        fmt_mult("clv_multiplier").alias("CLV Impact"),
-        fmt_money("expected_loss").alias("Expected Loss"),
-        F.col("high_risk_customers").alias("High Risk Customers"),
-        fmt_delta("loss_delta_pct").alias("Loss vs Baseline"),
-    )
+    cols = (F.col("scenario"), fmt_mult("churn_multiplier"), fmt_mult("clv_multiplier"),
+            fmt_money("expected_loss"), F.col("high_risk_customers"), fmt_delta("loss_delta_pct"))
+    return stress.select(*[c.alias(n) for c, n in zip(cols, C.STRESS_DISPLAY_NAMES)])
 
 
 # ---------------------------------------------------------------- profiles (A1-A2)
@@ -243,8 +235,7 @@ def probability_histogram(cust: DataFrame, bins: int = 50, cfg: RiskConfig = DEF
     lo = F.col("bin") / F.lit(float(bins))
     hi = (F.col("bin") + 1) / F.lit(float(bins))
     cut = F.lit(None).cast("string")
-    for name, t in (("Low", cfg.tier_low), ("Medium", cfg.tier_medium),
-                    ("High", cfg.tier_high), ("Critical", cfg.tier_critical)):
+    for name, t in zip(C.TIER_CUT_LABELS, (cfg.tier_low, cfg.tier_medium, cfg.tier_high, cfg.tier_critical)):
         cut = F.when(F.col("bin") == int(t * bins + 1e-9), F.lit(name)).otherwise(cut)
     return h.select("bin", lo.alias("bin_start"), hi.alias("bin_end"), "customers",
                     cut.alias("tier_cut"))
@@ -257,7 +248,8 @@ def value_risk_quadrants(cust: DataFrame, risk_cut: float = 0.5) -> DataFrame:
     med, q90, q10 = (F.lit(qv[("clv", q)]).cast("double") for q in (0.5, 0.9, 0.1))
     hv = F.col("clv") >= med
     hr = F.col("churn_prob") >= risk_cut
-    quad = (F.when(hv & hr, "URGENT").when(hv, "CHAMPION").when(hr, "BORDERLINE").otherwise("MONITOR"))
+    urgent, champion, borderline, monitor = C.QUADRANT_LABELS
+    quad = F.when(hv & hr, urgent).when(hv, champion).when(hr, borderline).otherwise(monitor)
     return cust.groupBy(quad.alias("quadrant")).agg(
         F.count(F.lit(1)).alias("customers"),
         F.first(med).alias("clv_median"),

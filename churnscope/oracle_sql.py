@@ -311,7 +311,8 @@ ORACLES["A17_cohort_pivot"] = (
     f"WITH {cohort_ctes('orders')}, lab AS (SELECT {_month_label('cohort')} AS cohort_month, cohort_index, "
     "round_even(round_even(CAST(customers AS DOUBLE) / CAST(size AS DOUBLE), 3) * 100, 1) AS pct FROM ret) "
     "SELECT cohort_month, "
-    + ", ".join(f"{r6(f'max(CASE WHEN cohort_index = {i} THEN pct END)')} AS \"Month {i}\"" for i in range(12))
+    + ", ".join(f"{r6(f'max(CASE WHEN cohort_index = {i} THEN pct END)')} AS \"{C.COHORT_COLUMN_PREFIX}{i}\""
+                for i in range(12))
     + " FROM lab GROUP BY cohort_month")
 
 
@@ -513,8 +514,8 @@ ORACLES["A10_decision_counts_events"] = (f"WITH {scored_ctes('events')} SELECT d
                                          "FROM scored GROUP BY decision")
 ORACLES["A11_roi_by_decision"] = (f"WITH {_S} SELECT decision, {r6('(CAST(sum(CAST(net_roi AS DECIMAL(38,6))) AS DOUBLE) / CAST(count(net_roi) AS DOUBLE))')} AS avg_net_roi "
                                   "FROM scored GROUP BY decision")
-_cuts = " ".join(f"WHEN bin = {int(t * 50 + 1e-9)} THEN '{n}'" for n, t in (
-    ("Low", C.TIER_LOW), ("Medium", C.TIER_MEDIUM), ("High", C.TIER_HIGH), ("Critical", C.TIER_CRITICAL)))
+_cuts = " ".join(f"WHEN bin = {int(t * 50 + 1e-9)} THEN '{n}'" for n, t in zip(
+    C.TIER_CUT_LABELS, (C.TIER_LOW, C.TIER_MEDIUM, C.TIER_HIGH, C.TIER_CRITICAL)))
 ORACLES["A12_probability_histogram"] = f"""
 WITH {_S}, h AS (SELECT CAST(least(floor(churn_prob * 50), 49) AS INTEGER) AS bin, count(*) AS customers
                  FROM scored GROUP BY 1)
@@ -524,8 +525,9 @@ FROM h"""
 ORACLES["A13_value_risk_quadrants"] = f"""
 WITH {_S}, q AS (SELECT quantile_cont(clv, 0.5) AS med, quantile_cont(clv, 0.9) AS q90,
                         quantile_cont(clv, 0.1) AS q10 FROM scored)
-SELECT CASE WHEN clv >= q.med AND churn_prob >= 0.5 THEN 'URGENT' WHEN clv >= q.med THEN 'CHAMPION'
-            WHEN churn_prob >= 0.5 THEN 'BORDERLINE' ELSE 'MONITOR' END AS quadrant,
+SELECT CASE WHEN clv >= q.med AND churn_prob >= 0.5 THEN '{C.QUADRANT_LABELS[0]}'
+            WHEN clv >= q.med THEN '{C.QUADRANT_LABELS[1]}'
+            WHEN churn_prob >= 0.5 THEN '{C.QUADRANT_LABELS[2]}' ELSE '{C.QUADRANT_LABELS[3]}' END AS quadrant,
        count(*) AS customers, {r6('any_value(q.med)')} AS clv_median, {r6('any_value(q.q90)')} AS clv_q90,
        {r6('any_value(q.q10)')} AS clv_q10
 FROM scored, q GROUP BY 1"""
@@ -543,12 +545,13 @@ ORACLES["P10_at_risk"] = (f"WITH {_S} SELECT customer_id, risk_tier, {r6('churn_
 _PAGE = (f"customer_id, risk_tier, {r6('churn_prob')} AS churn_prob, {r6('clv')} AS clv, decision, recency, "
          f"frequency, {r6('monetary')} AS monetary, segment")
 ORACLES["P12_select_existing"] = f"WITH {_S} SELECT {_PAGE} FROM scored"
+_SD = C.STRESS_DISPLAY_NAMES
 ORACLES["P13_C8_display_stress"] = f"""
 WITH st AS ({_stress("orders")})
-SELECT scenario AS "Scenario", '×' || format('{{:.2f}}', churn_multiplier) AS "Churn Shock",
-       '×' || format('{{:.2f}}', clv_multiplier) AS "CLV Impact", {_money('expected_loss')} AS "Expected Loss",
-       high_risk_customers AS "High Risk Customers",
-       format('{{:+.1f}}', loss_delta_pct) || '%' AS "Loss vs Baseline"
+SELECT scenario AS "{_SD[0]}", '×' || format('{{:.2f}}', churn_multiplier) AS "{_SD[1]}",
+       '×' || format('{{:.2f}}', clv_multiplier) AS "{_SD[2]}", {_money('expected_loss')} AS "{_SD[3]}",
+       high_risk_customers AS "{_SD[4]}",
+       format('{{:+.1f}}', loss_delta_pct) || '%' AS "{_SD[5]}"
 FROM st"""
 ORACLES["W6_page_customers"] = (f"WITH {_S} SELECT {_PAGE}, (SELECT count(*) FROM scored) AS total FROM scored "
                                 "ORDER BY churn_prob DESC, customer_id LIMIT 20 OFFSET 20")
@@ -638,8 +641,8 @@ _n = f"({_s0} + {_s1})"
 ORACLES["M11_class_report"] = f"""
 WITH {metric_ctes('orders')},
 rows(label, precision, recall, f1_score, support) AS (
-  SELECT 'Active', {_p0}, {_r0}, {_f0}, {_s0} FROM cm UNION ALL
-  SELECT 'Churned', {_p1}, {_r1}, {_f1}, {_s1} FROM cm UNION ALL
+  SELECT '{C.CLASS_NAMES[0]}', {_p0}, {_r0}, {_f0}, {_s0} FROM cm UNION ALL
+  SELECT '{C.CLASS_NAMES[1]}', {_p1}, {_r1}, {_f1}, {_s1} FROM cm UNION ALL
   SELECT 'accuracy', NULL, NULL, {_d0('tp + tn', 'tp + tn + fp + fn')}, {_n} FROM cm UNION ALL
   SELECT 'macro avg', ({_p0} + {_p1}) / 2, ({_r0} + {_r1}) / 2, ({_f0} + {_f1}) / 2, {_n} FROM cm UNION ALL
   SELECT 'weighted avg', {_d0(f'{_p0} * {_s0} + {_p1} * {_s1}', _n)}, {_d0(f'{_r0} * {_s0} + {_r1} * {_s1}', _n)},
