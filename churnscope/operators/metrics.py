@@ -15,11 +15,19 @@ from pyspark.sql import functions as F
 from churnscope import config as C
 
 
-def prefix_sums(df: DataFrame, order_col: str, cols, n_buckets: int = 64,
+def default_buckets(spark) -> int:
+    """Range buckets for running sums: the shuffle parallelism, within [64, 256]
+    (each row is compared with every split point, so the count stays small)."""
+    return min(256, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def prefix_sums(df: DataFrame, order_col: str, cols, n_buckets: int = None,
                 accuracy: int = 10000) -> DataFrame:
     """Inclusive running sums of ``cols`` in ascending ``order_col`` order,
     added as ``cum_<col>``, and grand totals as ``tot_<col>``.
     ``order_col`` values must be distinct."""
+    if n_buckets is None:
+        n_buckets = default_buckets(df.sparkSession)
     if n_buckets > 1:
         # Split points from a bounded sketch (n_buckets - 1 numbers).
         qs = [i / n_buckets for i in range(1, n_buckets)]
@@ -51,7 +59,7 @@ def score_counts(scored: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     )
 
 
-def ranking_metrics(scored: DataFrame, y: str = "y", p: str = "p", n_buckets: int = 64) -> DataFrame:
+def ranking_metrics(scored: DataFrame, y: str = "y", p: str = "p", n_buckets: int = None) -> DataFrame:
     """ROC-AUC (Mann-Whitney, ties count one half) and average precision
     (step sum over distinct thresholds, highest first)."""
     sc = score_counts(scored, y, p).withColumn("cnt", F.col("pos") + F.col("neg"))
@@ -89,7 +97,7 @@ def _div0(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
 
 
-def binary_metrics(scored: DataFrame, y: str = "y", p: str = "p", n_buckets: int = 64,
+def binary_metrics(scored: DataFrame, y: str = "y", p: str = "p", n_buckets: int = None,
                    threshold: float = 0.5) -> DataFrame:
     """Auc, avg_precision, f1, precision, recall, brier_score (one row).
 
