@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from churnscope.functions.scalar import round6
 from churnscope.operators.clean import clean
 from churnscope.operators import features as FE
-from churnscope.session import write_table
+from churnscope.session import app_id, write_table
 from churnscope.sources.adapters import ADAPTERS
 
 REGISTRY: dict = {}
@@ -31,7 +31,7 @@ _TABLES: dict = {}
 
 def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
     """One written copy per session of a shared intermediate table."""
-    k = (spark.sparkContext.applicationId,) + key
+    k = (app_id(spark),) + key
     if k not in _TABLES:
         _TABLES[k] = write_table(build(), "_".join(str(x) for x in key[1:]))
     return _TABLES[k]
@@ -425,7 +425,7 @@ from churnscope.config import FAST  # noqa: E402
 def model_of(spark, sf_dir, source="orders"):
     """Calibrated ensemble trained on the non-test customers (FAST sizes)."""
     from churnscope.plans.model import fit_calibrated, split_flag
-    k = (spark.sparkContext.applicationId, "model", sf_dir, source)
+    k = (app_id(spark), "model", sf_dir, source)
     if k not in _TABLES:
         cust = split_flag(cust_of(spark, sf_dir, source), FAST)
         _TABLES[k] = fit_calibrated(cust.filter(~F.col("is_test")), FAST)
