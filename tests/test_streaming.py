@@ -35,3 +35,21 @@ def test_streaming_whatif_equals_batch(spark):
     for k in exp:
         assert got[k]["risk_tier"] == exp[k]["risk_tier"]
         assert got[k]["churn_probability"] == pytest.approx(exp[k]["churn_probability"])
+
+
+def test_model_meets_target_auc(spark):
+    """The original's stated target: hold-out ROC-AUC of at least 0.80."""
+    from churnscope.plans.model import model_metrics
+    s = Q.model_scored_of(spark, SF001).filter(F.col("is_test"))
+    m = model_metrics(s).first()
+    assert m["auc"] >= 0.80
+    assert 0.0 <= m["brier_score"] <= 0.25
+    assert m["cv_auc_mean"] is None
+
+
+def test_scale_conf_bounds():
+    from churnscope.session import scale_conf
+    c = scale_conf(100 * 10 ** 12, executor_cores_total=8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100_000
+    small = scale_conf(10 ** 6, executor_cores_total=16)
+    assert int(small["spark.sql.shuffle.partitions"]) == 32
