@@ -33,7 +33,11 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
          .join(pt, li.l_partkey == pt.p_partkey)
          .join(sp, li.l_suppkey == sp.s_suppkey)
          .join(na, sp.s_nationkey == na.n_nationkey))
-    order_id = F.col("o_orderkey").cast("string")
+    # The invoice is built from the line's own order key (equal to the order's
+    # under the join), so the cancelled-line predicate of ``clean`` refers to
+    # lineitem columns only and Catalyst filters returned lines before the
+    # lineitem/orders join and its shuffle.
+    order_id = F.col("l_orderkey").cast("string")
     return j.select(
         F.col("o_custkey").cast("string").alias("customer_id"),
         F.when(F.col("l_returnflag") == "R", F.concat(F.lit("C"), order_id))

@@ -91,3 +91,32 @@ def test_plan_check_flags_raw_customer_shuffle(spark):
         assert _shuffles_on_raw_customer_rows(bad._jdf.queryExecution().executedPlan()) != []
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_returned_lines_filtered_before_order_join(spark):
+    """The cancelled-line predicate is evaluated on lineitem rows before they
+    meet orders (and before any exchange), never as a join condition."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = clean(from_orders(spark, SF001))._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    found = {"join_residual": [], "below_exchange": False}
+
+    def walk(node, under_exchange):
+        name = node.nodeName()
+        text = node.verboseString(1000)
+        if "Join" in name and "StartsWith" in text:
+            found["join_residual"].append(name)
+        if name == "Filter" and "StartsWith" in text and under_exchange:
+            found["below_exchange"] = True
+        here = under_exchange or name == "Exchange"
+        ch = node.children()
+        for i in range(ch.size()):
+            walk(ch.apply(i), here)
+
+    walk(plan, False)
+    assert found["join_residual"] == []
+    assert found["below_exchange"]
