@@ -202,6 +202,23 @@ def load_any(path: str) -> ChurnModel:
     return ChurnModel(tuple(manifest["feature_cols"]), scaler, folds, cals)
 
 
+def fit_isotonic(scored: DataFrame, score: str, label: str,
+                 prediction: str = "_cal") -> IsotonicRegressionModel:
+    """Increasing isotonic map from ``score`` to the rate of ``label``.
+
+    The fit reads one row per distinct score (mean label, weight = rows).
+    Spark ML pools equal scores into this weighted mean anyway, but it would
+    first range-partition and sort the raw rows in memory, so a score shared
+    by a large share of customers would sit in one task. Grouping first is
+    partially aggregated before its shuffle.
+    """
+    pooled = scored.groupBy(score).agg(
+        F.avg(F.col(label).cast("double")).alias(label),
+        F.count(F.lit(1)).cast("double").alias("_w"))
+    return IsotonicRegression(featuresCol=score, labelCol=label, weightCol="_w",
+                              predictionCol=prediction, isotonic=True).fit(pooled)
+
+
 ROWS_PER_TRAINING_PARTITION = 100_000
 
 
@@ -246,8 +263,7 @@ def fit_calibrated(train: DataFrame, cfg: RiskConfig = DEFAULT, folds: int = Non
 
     def fit_iso(f):
         held = soft_vote(data.filter(F.col("_cf") == f), fold_members[f], "_vote")
-        return IsotonicRegression(featuresCol="_vote", labelCol="label", predictionCol="_cal",
-                                  isotonic=True).fit(held)
+        return fit_isotonic(held, "_vote", "label", "_cal")
 
     with _pool(k) as ex:
         isos = list(ex.map(fit_iso, range(k)))

@@ -144,3 +144,20 @@ def test_contributions_add_up_to_margin(spark):
         assert phi[k] + base == pytest.approx(marg[k], abs=1e-9)
     top = X.top_contributions(contrib, 8)
     assert top.groupBy("customer_id").count().agg(F.max("count")).first()[0] == 8
+
+
+def test_pooled_isotonic_equals_raw_fit(spark):
+    """The isotonic fit on one row per distinct score equals Spark ML's fit on
+    the raw rows, with a score value shared by a third of the rows."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    from churnscope.plans.model import fit_isotonic
+    rows = [(0.5, i % 3 == 0) for i in range(3000)]  # hot tie: 3000 rows at 0.5
+    rows += [((i % 97) / 97.0, (i * 7) % 5 < 2) for i in range(6000)]
+    df = spark.createDataFrame([(s, int(y)) for s, y in rows], "s double, y int").repartition(4)
+    raw = IsotonicRegression(featuresCol="s", labelCol="y", isotonic=True).fit(
+        df.withColumn("y", F.col("y").cast("double")))
+    pooled = fit_isotonic(df, "s", "y")
+    assert list(raw.boundaries.toArray()) == list(pooled.boundaries.toArray())
+    for a, b in zip(raw.predictions.toArray(), pooled.predictions.toArray()):
+        assert abs(a - b) < 1e-12
