@@ -9,16 +9,23 @@ added back. No step puts all scores in one task.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope import config as C
 
 
+MAX_BUCKETS = 4096
+
+
 def default_buckets(spark) -> int:
-    """Range buckets for running sums: the shuffle parallelism, within [64, 256]
-    (each row is compared with every split point, so the count stays small)."""
-    return min(256, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Range buckets for running sums: the shuffle parallelism, within
+    [64, MAX_BUCKETS]. A row finds its bucket by binary search over the split
+    points, and the per-bucket offsets are one row per bucket."""
+    return min(MAX_BUCKETS, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def prefix_sums(df: DataFrame, order_col: str, cols, n_buckets: int = None,
@@ -28,15 +35,23 @@ def prefix_sums(df: DataFrame, order_col: str, cols, n_buckets: int = None,
     ``order_col`` values must be distinct."""
     if n_buckets is None:
         n_buckets = default_buckets(df.sparkSession)
+    splits = []
     if n_buckets > 1:
-        # Split points from a bounded sketch (n_buckets - 1 numbers).
+        # Split points from a bounded sketch (n_buckets - 1 numbers), fine
+        # enough that buckets hold similar numbers of rows.
         qs = [i / n_buckets for i in range(1, n_buckets)]
-        splits = sorted(set(df.stat.approxQuantile(order_col, qs, 1.0 / accuracy)))
-        arr = F.array(*[F.lit(float(s)) for s in splits]) if splits else F.array().cast("array<double>")
-        bucket = F.size(F.filter(arr, lambda s: s < F.col(order_col)))
+        rel = min(1.0 / accuracy, 0.25 / n_buckets)
+        splits = sorted({float(v) for v in df.stat.approxQuantile(order_col, qs, rel)
+                         if v is not None and math.isfinite(v)})
+    if splits:
+        # Binary search in the JVM; NaN goes to a last bucket (NaN sorts
+        # last), null to bucket 0 (nulls sort first).
+        b = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=order_col,
+                       outputCol="_bucket_d", handleInvalid="keep").transform(df)
+        b = b.withColumn("_bucket", F.coalesce(F.col("_bucket_d").cast("int"), F.lit(0))) \
+             .drop("_bucket_d")
     else:
-        bucket = F.lit(0)
-    b = df.withColumn("_bucket", bucket)
+        b = df.withColumn("_bucket", F.lit(0))
     # One row per bucket: exclusive running totals of earlier buckets.
     tot = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -70,7 +70,7 @@ def _np_ap(y, p):
     return ap
 
 
-@pytest.mark.parametrize("buckets", [1, 7])
+@pytest.mark.parametrize("buckets", [1, 7, 300])
 def test_ranking_metrics_match_numpy(spark, buckets):
     rng = np.random.default_rng(11)
     p = np.round(rng.random(3000), 2)
@@ -161,3 +161,14 @@ def test_pooled_isotonic_equals_raw_fit(spark):
     assert list(raw.boundaries.toArray()) == list(pooled.boundaries.toArray())
     for a, b in zip(raw.predictions.toArray(), pooled.predictions.toArray()):
         assert abs(a - b) < 1e-12
+
+
+def test_ranking_metrics_unique_scores_many_buckets(spark):
+    """Near-unique scores cut into many range buckets give the exact AUC/AP."""
+    rng = np.random.default_rng(5)
+    p = rng.random(4000)
+    y = (rng.random(4000) < p).astype(int)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y int, p double").repartition(6)
+    r = ME.binary_metrics(df, "y", "p", n_buckets=512).first()
+    assert r["auc"] == pytest.approx(_np_auc(y, p), abs=1e-12)
+    assert r["avg_precision"] == pytest.approx(_np_ap(y, p), abs=1e-12)
