@@ -56,14 +56,13 @@ def cohort_retention(tx: DataFrame, cust: DataFrame = None, k: int = 12) -> Data
     by_cohort = Window.partitionBy("cohort")
     cc = cc.withColumn("size", F.max(F.when(F.col("cohort_index") == 0, F.col("customers")))
                        .over(by_cohort))
-    # Rank the distinct cohorts and offsets. Both lists hold at most one
-    # row per calendar month in the data, so they are broadcast safely.
-    cr = cc.select("cohort").distinct().withColumn(
-        "cohort_rank", F.dense_rank().over(Window.orderBy("cohort")))
-    ir = cc.select("cohort_index").distinct().withColumn(
-        "index_rank", F.dense_rank().over(Window.orderBy("cohort_index")))
-    top = (cc.join(F.broadcast(cr.filter(F.col("cohort_rank") <= k)), "cohort")
-           .join(F.broadcast(ir.filter(F.col("index_rank") <= k)), "cohort_index"))
+    # Dense ranks of the cohorts and offsets present, taken over the
+    # cohort x index rows themselves (at most (months in data)^2 rows, so one
+    # window partition holds them). The customer-month pairs are aggregated
+    # once; no second branch re-reads them to list the keys.
+    top = (cc.withColumn("cohort_rank", F.dense_rank().over(Window.orderBy("cohort")))
+           .withColumn("index_rank", F.dense_rank().over(Window.orderBy("cohort_index")))
+           .filter((F.col("cohort_rank") <= k) & (F.col("index_rank") <= k)))
     rate = F.bround(F.col("customers").cast("double") / F.col("size").cast("double"), 3)
     return top.select(
         month_label(F.col("cohort")).alias("cohort_month"),
