@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope import config as C
+from churnscope.session import write_table
 
 
 MAX_BUCKETS = 4096
@@ -37,6 +38,10 @@ def prefix_sums(df: DataFrame, order_col: str, cols, n_buckets: int = None,
         n_buckets = default_buckets(df.sparkSession)
     splits = []
     if n_buckets > 1:
+        # The split points need their own job; write the input once (one row
+        # per distinct order value) so the rows it aggregates, e.g. model
+        # scores, are computed once for the sketch and the sums.
+        df = write_table(df, "prefix_sums_input")
         # Split points from a bounded sketch (n_buckets - 1 numbers), fine
         # enough that buckets hold similar numbers of rows.
         qs = [i / n_buckets for i in range(1, n_buckets)]
