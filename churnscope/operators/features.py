@@ -91,7 +91,13 @@ def daily_totals(tx: DataFrame, ref: Column = None) -> DataFrame:
 def line_totals(tx: DataFrame, ref: Column, daily: DataFrame = None) -> DataFrame:
     """F1, F3, F6, F10, F11, F13, F14 from the daily totals."""
     d = daily_totals(tx, ref) if daily is None else daily
-    agg = d.groupBy("customer_id").agg(
+    return d.groupBy("customer_id").agg(*_total_aggs()).select("customer_id", *_total_cols(ref))
+
+
+def _total_aggs() -> list:
+    """Sums, minima and maxima of (customer, day or month) rows that give the
+    line totals; they reduce exactly through any finer level."""
+    return [
         F.max("last_ts").alias("last_ts"),
         F.min("first_ts").alias("first_ts"),
         F.sum("spend").alias("monetary_dec"),
@@ -100,18 +106,20 @@ def line_totals(tx: DataFrame, ref: Column, daily: DataFrame = None) -> DataFram
         F.sum("weekend_lines").alias("weekend_lines"),
         F.sum("s30").alias("spend_last30_dec"),
         F.sum("s3090").alias("spend_30_90_dec"),
-    )
-    return agg.select(
-        "customer_id",
+    ]
+
+
+def _total_cols(ref: Column) -> list:
+    return [
         days_between(F.col("last_ts"), ref).cast("bigint").alias("recency"),
         days_between(F.col("first_ts"), ref).cast("bigint").alias("tenure"),
         _dbl(F.col("monetary_dec")).alias("monetary"),
-        "total_quantity",
-        "n_lines",
+        F.col("total_quantity"),
+        F.col("n_lines"),
         _ratio(F.col("weekend_lines"), F.col("n_lines")).alias("weekend_ratio"),
         _dbl(F.col("spend_last30_dec")).alias("spend_last30"),
         _dbl(F.col("spend_30_90_dec")).alias("spend_30_90"),
-    )
+    ]
 
 
 def invoice_totals(tx: DataFrame) -> DataFrame:
@@ -159,20 +167,28 @@ def spending_trend(monthly: DataFrame) -> DataFrame:
     sums over present months: x = month - first month, n = months in span,
     Sx = n(n-1)/2, Sxx = (n-1)n(2n-1)/6. Fewer than 3 months gives 0.
     """
-    agg = monthly.groupBy("customer_id").agg(
+    agg = monthly.groupBy("customer_id").agg(*_trend_aggs())
+    return agg.select("customer_id", _trend_slope().alias("spending_trend"))
+
+
+def _trend_aggs() -> list:
+    """Closed-form sums over (customer, month) rows with ``month`` and ``spend``."""
+    return [
         F.min("month").alias("m0"),
         F.max("month").alias("m1"),
         F.sum("spend").alias("sy"),
         F.sum(F.col("spend") * F.col("month").cast("decimal(10,0)")).alias("smy"),
-    )
+    ]
+
+
+def _trend_slope() -> Column:
     n = _dbl(F.col("m1") - F.col("m0") + 1)
     sy = _dbl(F.col("sy"))
     sxy = _dbl(F.col("smy") - F.col("sy") * F.col("m0").cast("decimal(10,0)"))
     sx = n * (n - 1) / 2
     sxx = (n - 1) * n * (2 * n - 1) / 6
     slope = (n * sxy - sx * sy) / (n * sxx - sx * sx)
-    return agg.select("customer_id",
-                      F.when(n < 3, F.lit(0.0)).otherwise(slope).alias("spending_trend"))
+    return F.when(n < 3, F.lit(0.0)).otherwise(slope)
 
 
 def purchase_gaps(tx: DataFrame, daily: DataFrame = None) -> DataFrame:
@@ -192,9 +208,39 @@ def purchase_gaps(tx: DataFrame, daily: DataFrame = None) -> DataFrame:
         "gap", days_between(F.lag("last_ts").over(w), F.col("first_ts")))
     agg = gaps.groupBy("customer_id").agg(
         F.sum("gap").alias("gap_days"), F.sum("lines").alias("lines"))
-    avg = F.when(F.col("lines") < 2, F.lit(None).cast("double")).otherwise(
-        _dbl(F.coalesce(F.col("gap_days"), F.lit(0))) / _dbl(F.col("lines") - 1))
-    return agg.select("customer_id", avg.alias("avg_days_between_purchases"))
+    return agg.select("customer_id", _gap_mean("gap_days", "lines").alias("avg_days_between_purchases"))
+
+
+def _gap_mean(gap_days: str, lines: str) -> Column:
+    return F.when(F.col(lines) < 2, F.lit(None).cast("double")).otherwise(
+        _dbl(F.coalesce(F.col(gap_days), F.lit(0))) / _dbl(F.col(lines) - 1))
+
+
+def day_level_features(daily: DataFrame, ref: Column) -> DataFrame:
+    """Line totals (F1, F3, F6, F10, F11, F13, F14), purchase gaps (F15) and
+    the spending trend (F16) from the (customer, day) rows with one exchange.
+
+    The gap window needs the day rows hash-partitioned by customer. That
+    partitioning also satisfies the (customer, month) and customer group-bys,
+    so the month level and the customer level aggregate in the same tasks.
+    Every total is a sum, minimum or maximum, so it reduces exactly through the
+    month level. A large customer contributes one row per active day.
+    """
+    w = Window.partitionBy("customer_id").orderBy("day")
+    days = (daily.withColumn("gap", days_between(F.lag("last_ts").over(w), F.col("first_ts")))
+            .withColumn("month", month_index(F.col("day"))))
+    months = days.groupBy("customer_id", "month").agg(
+        F.max("last_ts").alias("last_ts"), F.min("first_ts").alias("first_ts"),
+        F.sum("spend").alias("spend"), F.sum("qty").alias("qty"), F.sum("lines").alias("lines"),
+        F.sum("weekend_lines").alias("weekend_lines"),
+        F.sum("s30").alias("s30"), F.sum("s3090").alias("s3090"),
+        F.sum("gap").alias("gap_days"))
+    agg = months.groupBy("customer_id").agg(
+        *_total_aggs(), *_trend_aggs(), F.sum("gap_days").alias("gap_days"))
+    return agg.select(
+        "customer_id", *_total_cols(ref),
+        _gap_mean("gap_days", "n_lines").alias("avg_days_between_purchases"),
+        _trend_slope().alias("spending_trend"))
 
 
 # --------------------------------------------------------------------------
@@ -225,20 +271,15 @@ FEATURE_ORDER = (
 def customer_features(tx: DataFrame, cfg: RiskConfig = DEFAULT, ref: Column = None) -> DataFrame:
     """the per-customer feature table (before the churn label and CLV)."""
     ref = reference_date(tx) if ref is None else ref
-    # Written once to the shared checkpoint folder: three branches read it
-    # (column-pruned), so the lines are shuffled once for all three. Left
-    # lazy, Catalyst would prune each consumer's copy differently and run
-    # three line-level aggregations.
+    # The (customer, day) aggregate is written once to the shared checkpoint
+    # folder (lineage cut, survives executor loss), then shuffled once by
+    # customer for the totals, gaps and trend together.
     daily = write_table(daily_totals(tx, ref), "daily_totals")
-    base = line_totals(tx, ref, daily)
+    base = day_level_features(daily, ref)
     inv = invoice_stats(tx)
     prod = distinct_count(tx, "stock_code", "product_diversity")
-    trend = spending_trend(monthly_spend(tx, daily))
-    gaps = purchase_gaps(tx, daily)
     j = (base.join(inv, "customer_id", "left")
-         .join(prod, "customer_id", "left")
-         .join(trend, "customer_id", "left")
-         .join(gaps, "customer_id", "left"))
+         .join(prod, "customer_id", "left"))
     if "country" in tx.columns:
         j = j.join(distinct_count(tx, "country", "geo_spread"), "customer_id", "left")
         geo = F.col("geo_spread")

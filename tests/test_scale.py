@@ -120,3 +120,26 @@ def test_returned_lines_filtered_before_order_join(spark):
     walk(plan, False)
     assert found["join_residual"] == []
     assert found["below_exchange"]
+
+
+def test_daily_aggregate_read_once(spark):
+    """Totals, gaps and trend share one scan and one exchange of the written
+    (customer, day) aggregate."""
+    from churnscope import queries as Q
+    tx = Q.tx_of(spark, SF001)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = FE.customer_features(tx)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    scans = []
+
+    def walk(node):
+        if "Scan" in node.nodeName() and "daily_totals" in node.toString():
+            scans.append(node)
+        ch = node.children()
+        for i in range(ch.size()):
+            walk(ch.apply(i))
+
+    walk(plan)
+    assert len(scans) == 1
