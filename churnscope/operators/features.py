@@ -366,28 +366,41 @@ def baseline_trend(monthly: DataFrame) -> DataFrame:
     An empty month inside the span makes a later change infinite, so the
     trend is 0 whenever the span has a gap; one month gives no change (0).
     """
+    agg = _with_month_change(monthly).groupBy("customer_id").agg(*_baseline_trend_aggs())
+    return agg.select("customer_id", _baseline_trend_value().alias("trend"))
+
+
+def _with_month_change(monthly: DataFrame) -> DataFrame:
     w = Window.partitionBy("customer_id").orderBy("month")
-    pct = _dbl(F.col("spend")) / _dbl(F.lag("spend").over(w)) - 1
-    chg = monthly.withColumn("chg", pct)
-    agg = chg.groupBy("customer_id").agg(
-        F.min("month").alias("m0"), F.max("month").alias("m1"),
-        F.count(F.lit(1)).alias("n_months"), F.avg("chg").alias("avg_chg"))
+    return monthly.withColumn("chg", _dbl(F.col("spend")) / _dbl(F.lag("spend").over(w)) - 1)
+
+
+def _baseline_trend_aggs() -> list:
+    return [F.min("month").alias("m0"), F.max("month").alias("m1"),
+            F.count(F.lit(1)).alias("n_months"), F.avg("chg").alias("avg_chg")]
+
+
+def _baseline_trend_value() -> Column:
     span = F.col("m1") - F.col("m0") + 1
-    trend = F.when((F.col("n_months") < span) | (F.col("n_months") < 2), F.lit(0.0)) \
+    return F.when((F.col("n_months") < span) | (F.col("n_months") < 2), F.lit(0.0)) \
         .otherwise(F.col("avg_chg"))
-    return agg.select("customer_id", trend.alias("trend"))
 
 
 def baseline_features(tx: DataFrame, cfg: RiskConfig = DEFAULT) -> DataFrame:
     """recency, frequency, monetary, avg order value, trend, churn (fixed window)."""
     ref = reference_date(tx)
     daily = write_table(daily_totals(tx), "daily_totals")
-    base = daily.groupBy("customer_id").agg(
-        F.max("last_ts").alias("last_ts"), F.sum("spend").alias("m"))
+    # One exchange of the day rows by customer: the month level, the lag
+    # window over months and the customer totals all run on that partitioning.
+    by_customer = daily.select("customer_id", "day", "last_ts", "spend").repartition("customer_id")
+    months = by_customer.groupBy("customer_id", month_index(F.col("day")).alias("month")).agg(
+        F.max("last_ts").alias("last_ts"), F.sum("spend").alias("spend"))
+    base = _with_month_change(months).groupBy("customer_id").agg(
+        F.max("last_ts").alias("last_ts"), F.sum("spend").alias("m"), *_baseline_trend_aggs()) \
+        .withColumn("trend", _baseline_trend_value())
     inv = (invoice_totals(tx).groupBy("customer_id")
            .agg(F.count(F.lit(1)).alias("frequency")))
-    trend = baseline_trend(monthly_spend(tx, daily))
-    j = base.join(inv, "customer_id", "left").join(trend, "customer_id", "left")
+    j = base.join(inv, "customer_id", "left")
     freq = F.coalesce(F.col("frequency"), F.lit(0)).cast("bigint")
     # Only the trend's infinities were replaced in the older pipeline; a
     # customer without invoices keeps an infinite order value.
