@@ -268,13 +268,16 @@ FEATURE_ORDER = (
 )
 
 
-def customer_features(tx: DataFrame, cfg: RiskConfig = DEFAULT, ref: Column = None) -> DataFrame:
-    """the per-customer feature table (before the churn label and CLV)."""
+def customer_features(tx: DataFrame, cfg: RiskConfig = DEFAULT, ref: Column = None,
+                      daily: DataFrame = None) -> DataFrame:
+    """the per-customer feature table (before the churn label and CLV).
+    ``daily``: the written ``daily_totals(tx, ref)``, when the caller has it."""
     ref = reference_date(tx) if ref is None else ref
     # The (customer, day) aggregate is written once to the shared checkpoint
     # folder (lineage cut, survives executor loss), then shuffled once by
     # customer for the totals, gaps and trend together.
-    daily = write_table(daily_totals(tx, ref), "daily_totals")
+    if daily is None:
+        daily = write_table(daily_totals(tx, ref), "daily_totals")
     base = day_level_features(daily, ref)
     inv = invoice_stats(tx)
     prod = distinct_count(tx, "stock_code", "product_diversity")
@@ -344,12 +347,13 @@ def labelled_features(tx: DataFrame, cfg: RiskConfig = DEFAULT, calibrate: bool
     """Features + churn label (auto-calibrated window) + CLV, column order of
     the customer_features table."""
     ref = reference_date(tx)
-    cust = customer_features(tx, cfg, ref)
+    daily = write_table(daily_totals(tx, ref), "daily_totals")
+    cust = customer_features(tx, cfg, ref, daily)
     if calibrate:
-        # The threshold needs recency only: take it from the line-totals
-        # branch (same customers, same values), so the subquery does not
-        # re-run the whole feature job.
-        t = churn_threshold(line_totals(tx, ref).select("recency"), cfg)
+        # The threshold needs recency only: take it from the written daily
+        # aggregate (same customers, same values), so the subquery neither
+        # re-runs the feature job nor re-reads the lines.
+        t = churn_threshold(line_totals(tx, ref, daily).select("recency"), cfg)
         cust = churn_label(cust, t, cfg)
     else:
         cust = churn_label(cust, cfg=cfg)
