@@ -7,13 +7,15 @@ Shape of the plan (``customer_features``):
   map-side partial aggregation shrinks the data before each shuffle and a
   customer holding a large share of all lines is spread over many tasks
   instead of landing in one;
-* the (customer, day) aggregate is written once and feeds the line totals,
-  the monthly spend and the purchase gaps, so the lines are shuffled four
-  times in all (day, invoice, product, country);
+* the (customer, day) aggregate is written once and shuffled once by
+  customer; on that partitioning the purchase-gap window, the month level
+  (spending trend) and the line totals run without further exchange, so the
+  lines are shuffled four times in all (day, invoice, product, country);
 * each branch ends in an aggregation by ``customer_id``, so all branch
   outputs are hash-partitioned on the same key and the left joins that put
   them together are sort-merge joins with no further exchange;
-* the reference date (last purchase + 1 day) is a scalar subquery.
+* the reference date (last purchase + 1 day) is computed once and embedded
+  as a literal.
 
 Days are whole 24-hour periods (``timestampdiff(DAY, a, b)``).
 """
