@@ -3,14 +3,16 @@
 Shape of the plan (``customer_features``):
 
 * every branch is a ``groupBy`` on ``customer_id`` or on a finer key
-  (customer+day, customer+invoice, customer+product, customer+country), so
+  (customer+day, customer+invoice, customer+column+value), so
   map-side partial aggregation shrinks the data before each shuffle and a
   customer holding a large share of all lines is spread over many tasks
   instead of landing in one;
 * the (customer, day) aggregate is written once and shuffled once by
   customer; on that partitioning the purchase-gap window, the month level
-  (spending trend) and the line totals run without further exchange, so the
-  lines are shuffled four times in all (day, invoice, product, country);
+  (spending trend) and the line totals run without further exchange;
+* distinct products and countries are counted in one pass over values
+  tagged by column, so the lines are shuffled three times in all (day,
+  invoice, tagged product/country);
 * each branch ends in an aggregation by ``customer_id``, so all branch
   outputs are hash-partitioned on the same key and the left joins that put
   them together are sort-merge joins with no further exchange;
@@ -146,6 +148,21 @@ def invoice_stats(tx: DataFrame) -> DataFrame:
                       hhi.alias("revenue_concentration"))
 
 
+def distinct_counts(tx: DataFrame, cols: dict) -> DataFrame:
+    """F5 and F7 together: distinct non-null values per customer of each
+    column in ``cols`` ({column: alias}). Values are tagged with their column,
+    so one partial distinct keyed by (customer, column, value) and one count
+    by customer serve all of them (one scan of the lines, one join)."""
+    tagged = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("kind"), F.col(c).cast("string").alias("v"))
+        for i, c in enumerate(cols)])).alias("e")
+    pairs = (tx.select("customer_id", tagged).select("customer_id", "e.kind", "e.v")
+             .filter(F.col("v").isNotNull()).distinct())
+    return pairs.groupBy("customer_id").agg(*[
+        F.count(F.when(F.col("kind") == i, 1)).alias(alias)
+        for i, alias in enumerate(cols.values())])
+
+
 def distinct_count(tx: DataFrame, col: str, alias: str) -> DataFrame:
     """distinct values per customer as two group-bys (no Expand)."""
     return (tx.select("customer_id", col).filter(F.col(col).isNotNull())
@@ -282,14 +299,14 @@ def customer_features(tx: DataFrame, cfg: RiskConfig = DEFAULT, ref: Column = No
         daily = write_table(daily_totals(tx, ref), "daily_totals")
     base = day_level_features(daily, ref)
     inv = invoice_stats(tx)
-    prod = distinct_count(tx, "stock_code", "product_diversity")
-    j = (base.join(inv, "customer_id", "left")
-         .join(prod, "customer_id", "left"))
     if "country" in tx.columns:
-        j = j.join(distinct_count(tx, "country", "geo_spread"), "customer_id", "left")
+        counts = distinct_counts(tx, {"stock_code": "product_diversity", "country": "geo_spread"})
         geo = F.col("geo_spread")
     else:
+        counts = distinct_count(tx, "stock_code", "product_diversity")
         geo = F.lit(1)
+    j = (base.join(inv, "customer_id", "left")
+         .join(counts, "customer_id", "left"))
     accel = (F.col("spend_last30") + 1) / (F.col("spend_30_90") + 1)
     out = j.select(
         "customer_id", "recency",
