@@ -192,10 +192,12 @@ def header_kpis(cust: DataFrame) -> DataFrame:
 
 def portfolio_summary(cust: DataFrame, stats: DataFrame, metrics: DataFrame) -> DataFrame:
     """Portfolio KPIs with the loss statistics and model metrics (1-row inputs)."""
-    var = stats.select("var_95").scalar()
-    cvar = stats.select("cvar_95").scalar()
-    auc = metrics.select("auc").scalar()
-    f1 = metrics.select("f1").scalar()
+    # One scalar subquery per input (a struct of its fields), so each 1-row
+    # input plan runs once.
+    st = stats.select(F.struct("var_95", "cvar_95")).scalar()
+    mt = metrics.select(F.struct("auc", "f1")).scalar()
+    var, cvar = st.getField("var_95"), st.getField("cvar_95")
+    auc, f1 = mt.getField("auc"), mt.getField("f1")
     return cust.agg(
         F.count(F.lit(1)).alias("total_customers"),
         F.sum(F.when(F.col("risk_tier").isin(*C.AT_RISK_TIERS), 1).otherwise(0)).cast("bigint")

@@ -309,9 +309,9 @@ def model_metrics(scored_test: DataFrame, cv: DataFrame = None, label: str = "ch
     if cv is None:
         return m.withColumns({"cv_auc_mean": F.lit(None).cast("double"),
                               "cv_auc_std": F.lit(None).cast("double")})
-    s = cv_summary(cv)
-    return m.select("*", s.select("cv_auc_mean").scalar().alias("cv_auc_mean"),
-                    s.select("cv_auc_std").scalar().alias("cv_auc_std"))
+    s = cv_summary(cv).select(F.struct("cv_auc_mean", "cv_auc_std")).scalar()
+    return m.select("*", s.getField("cv_auc_mean").alias("cv_auc_mean"),
+                    s.getField("cv_auc_std").alias("cv_auc_std"))
 
 
 def load_model(path: str) -> ChurnModel:
