@@ -561,13 +561,23 @@ def monthly_pct_change(monthly: DataFrame) -> DataFrame:
     for the first month and where both months are empty, +infinity after an
     empty month, -1 into an empty month.
     """
-    span = monthly.groupBy("customer_id").agg(F.min("month").alias("m0"), F.max("month").alias("m1"))
-    dense = span.select("customer_id", F.explode(F.sequence("m0", "m1")).alias("month"))
-    d = dense.join(monthly, ["customer_id", "month"], "left").select(
-        "customer_id", "month", F.coalesce(_dbl(F.col("spend")), F.lit(0.0)).alias("spend"))
+    # One window over the months present (one exchange by customer): each
+    # present month also emits the empty months since the previous present
+    # month, and knows the spend of the month before each emitted one.
     w = Window.partitionBy("customer_id").orderBy("month")
-    prev = F.lag("spend").over(w)
-    pct = (F.when(prev.isNull(), F.lit(None).cast("double"))
-           .when(prev == 0, F.when(F.col("spend") > 0, F.lit(float("inf"))).otherwise(F.lit(None).cast("double")))
-           .otherwise(F.col("spend") / prev - 1))
-    return d.withColumn("pct_change", pct)
+    present = monthly.select("customer_id", "month", _dbl(F.col("spend")).alias("s"))
+    present = present.withColumns({"pm": F.lag("month").over(w), "ps": F.lag("s").over(w)})
+    rows = present.select(
+        "customer_id", "s", "pm", "ps",
+        F.col("month").alias("m"),
+        F.explode(F.sequence(F.coalesce(F.col("pm") + 1, F.col("month")), F.col("month"))).alias("month"))
+    is_present = F.col("month") == F.col("m")
+    spend = F.when(is_present, F.col("s")).otherwise(F.lit(0.0))
+    none = F.lit(None).cast("double")
+    prev = (F.when(F.col("pm").isNull(), none)
+            .when(F.col("month") == F.col("pm") + 1, F.col("ps"))
+            .otherwise(F.lit(0.0)))
+    pct = (F.when(prev.isNull(), none)
+           .when(prev == 0, F.when(spend > 0, F.lit(float("inf"))).otherwise(none))
+           .otherwise(spend / prev - 1))
+    return rows.select("customer_id", "month", spend.alias("spend"), pct.alias("pct_change"))
