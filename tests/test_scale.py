@@ -143,3 +143,18 @@ def test_daily_aggregate_read_once(spark):
 
     walk(plan)
     assert len(scans) == 1
+
+
+def test_cohort_pairs_aggregated_once(spark):
+    """Retention ranks cohorts and offsets over the aggregated cohort table:
+    the per-customer cohort window over customer-month pairs runs once."""
+    from churnscope import queries as Q
+    from churnscope.operators import cohorts as CO
+    tx, cust = Q.tx_of(spark, SF001), Q.cust_of(spark, SF001)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = CO.cohort_retention(tx, cust)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("min(month") == 1
+    assert "ReusedExchange" not in plan
