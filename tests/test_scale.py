@@ -158,3 +158,13 @@ def test_cohort_pairs_aggregated_once(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("min(month") == 1
     assert "ReusedExchange" not in plan
+
+
+def test_month_change_span_without_join(spark):
+    """W2 builds the zero-filled month span inside one window: no join."""
+    from churnscope import queries as Q
+    tx = Q.tx_of(spark, SF001)
+    df = FE.monthly_pct_change(FE.monthly_spend(tx))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert plan.count("Window [") == 1
