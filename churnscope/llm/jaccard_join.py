@@ -47,6 +47,8 @@ WIDTH, PERCENT = 4, 85
 FREQUENT, CHUNK = 1 << 18, 4_000_000
 #: Members that one copy of a pivot's set serves.
 PIVOT_SHARE = 2000
+#: Bits of the array that picks documents, at most (16 MB).
+SIEVE_BITS = 1 << 27
 #: Word hashes kept per process.
 WORDS_KEPT = 500_000
 _WORDS: Bounded | None = None
@@ -171,15 +173,19 @@ def prefixes(docs: DataFrame, values: np.ndarray, rank: np.ndarray, width: int,
     return write_table(rows.mapInArrow(run, "doc_id long, n long, cid long, gid long, prefix array<bigint>, n_rare int"), "prefixes")
 
 
-def index(rows: DataFrame) -> DataFrame:
+def index(rows: DataFrame, percent: int) -> DataFrame:
     """Stored: (key, gid, n, pos) of shingles that prefixes of different groups share; a group of several classes also has itself as a key.
 
-    Rare shingles are looked at key by key (each has few rows by the bound above); frequent ones are known to be
+    A row whose neighbours by size on its key are too small and too large has no partner there and goes. Rare shingles are looked at key by key (each has few rows by the bound above); frequent ones are known to be
     shared and only lose their repetitions, before the shuffle."""
     places = rows.filter(F.col("prefix").isNotNull()).select("gid", "n", "n_rare", F.posexplode("prefix").alias("pos", "key"))
     rare = places.filter(F.col("pos") < F.col("n_rare")).select("key", "gid", (F.col("n") * F.lit(1 << 32) + F.col("pos")).alias("at"))
-    key = Window.partitionBy("key")
-    rare = rare.withColumn("_a", F.min("gid").over(key)).withColumn("_b", F.max("gid").over(key)).filter(F.col("_a") != F.col("_b")).select("key", "gid", "at").distinct()
+    key = Window.partitionBy("key").orderBy("at")
+    every = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    size = F.shiftright("at", 32)
+    fits = (100 * F.shiftright(F.lag("at").over(key), 32) >= percent * size) | (100 * size >= percent * F.shiftright(F.lead("at").over(key), 32))
+    rare = rare.withColumn("_a", F.min("gid").over(every)).withColumn("_b", F.max("gid").over(every)).withColumn("_fits", fits)
+    rare = rare.filter((F.col("_a") != F.col("_b")) & F.col("_fits")).select("key", "gid", "at").distinct()
     often = places.filter(F.col("pos") >= F.col("n_rare")).select("key", "gid", (F.col("n") * F.lit(1 << 32) + F.col("pos")).alias("at")).distinct()
     several = rows.filter(F.col("n") > 0).groupBy("gid").agg(F.min("cid").alias("a"), F.max("cid").alias("b"), F.max("n").alias("n")).filter(F.col("a") != F.col("b"))
     own = several.select(F.col("gid").alias("key"), "gid", (F.col("n") * F.lit(1 << 32)).alias("at"))
@@ -194,11 +200,12 @@ def may_link(percent: int, a: str = "", b: str = "p_"):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ia, nb - ib) >= need)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Stored: the pairs (a, b) of classes whose sets reach the threshold.
 
     Each set travels to its pivots b, a popular pivot's own set to several tasks with a share of the members each."""
     pairs = write_table(pairs.distinct(), "candidates")
+    sets = class_sets(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), width)
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / PIVOT_SHARE).cast("int").alias("shares"))
     members = pairs.join(shares, "b").select(F.col("a").alias("cid"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"))
     pivots = shares.select(F.col("b").alias("cid"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"))
@@ -223,11 +230,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return write_table(sent.select("cid", "b", "share", "role", "shingles").mapInArrow(run, "a long, b long"), "links")
 
 
+def sieve(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """A bit array of hashed ids (``_id`` long), of SIEVE_BITS at most; two words a row reach the driver."""
+    bits = min(SIEVE_BITS, 1 << max(10, (16 * ids.count()).bit_length()))
+    spot = ids.select(F.pmod(F.xxhash64("_id"), F.lit(bits)).alias("p"))
+    word = spot.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[word.column("w").to_numpy()] = word.column("v").to_numpy()
+    return bits, out
+
+
 def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Stored: (cid, shingles) of the wanted classes, from the whole text of one document of each."""
+    """Stored: (cid, shingles) of the wanted classes, from the whole text of one document of each.
+
+    A bit array of bounded size keeps most other documents out of the shuffle; the join after it is exact, and does
+    all the work where there are too many for the bits."""
     of = rows.filter(F.col("n") > 0).groupBy("cid").agg(F.min("doc_id").alias("_id")).join(wanted, "cid", "left_semi")
+    of = write_table(of.select("_id").distinct(), "wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(sieve(of))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, word = shared.value
+        for batch in batches:
+            spot = batch.column("h").to_numpy() % bits
+            keep = (word[spot >> 6] >> (spot & 63)) & 1 == 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(of.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    texts = texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(some, "doc_id long, text binary")
+    texts = texts.join(of, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +306,7 @@ def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, mo
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     values, rank = frequent(docs, width, most)
     rows = prefixes(docs, values, rank, width, percent)
-    shared = index(rows)
+    shared = index(rows, percent)
     members = write_table(rows.filter(F.col("n") > 0).groupBy("gid", "cid").agg(F.count("*").alias("docs")).join(shared.select("gid").distinct(), "gid", "left_semi"), "members")
 
     # first round: every group on a key against the key's pivot, every member of a group against its first
@@ -283,19 +314,14 @@ def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, mo
     groups = members.groupBy("gid").agg(F.min("cid").alias("head"), F.sum("docs").alias("docs"))
     share = F.col("keys") / (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
     weight = held.select("gid", share.alias("share")).join(groups.select("gid", "docs"), "gid")
-    weighed = shared.join(weight, "gid")
+    weighed = write_table(shared.join(weight, "gid"), "weighed")
     pivot = weighed.groupBy("key").agg(F.max(F.struct("share", "docs", "gid", "n", "pos")).alias("p"))
     near = weighed.join(pivot.select("key", F.col("p.gid").alias("p_gid"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos")), "key")
     near = near.filter((F.col("gid") != F.col("p_gid")) & may_link(percent)).select("gid", "p_gid").distinct()
     heads = groups.select(F.col("gid").alias("p_gid"), F.col("head").alias("b"))
     first = members.join(near, "gid").join(heads, "p_gid").select(F.col("cid").alias("a"), "b")
     own = members.join(heads, F.col("gid") == F.col("p_gid")).filter(F.col("cid") != F.col("b")).select(F.col("cid").alias("a"), "b")
-    first = write_table(first.unionByName(own).distinct(), "first-pairs")
-
-    # sets of all classes that the filters leave on some shared key with another group
-    wanted = members.select("cid").distinct()
-    sets = class_sets(docs, rows, wanted, width)
-    links = verified(first, sets, percent)
+    links = verified(first.unionByName(own), docs, rows, width, percent)
     labels = spread(links, 2)
 
     # second round: what meets on a key and is not known to be connected
@@ -312,7 +338,7 @@ def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, mo
     met = met.select("gid", "label", "p_gid", "p_label").distinct()
     p_placed = placed.select(F.col("gid").alias("p_gid"), F.col("label").alias("p_label"), F.col("cid").alias("b"))
     second = met.join(placed, ["gid", "label"]).join(p_placed, ["p_gid", "p_label"]).select(F.col("cid").alias("a"), "b")
-    links = links.unionByName(verified(second, sets, percent))
+    links = links.unionByName(verified(second, docs, rows, width, percent))
 
     # classes to components, and the smallest id of each
     found = components(links).select(F.col("node").alias("cid"), "label")
