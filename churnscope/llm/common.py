@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnscope.session import checkpoint_dir, write_table
 
-__all__ = ["WORD", "drop_clashing", "new_folder", "read", "shuffle_width", "word_count", "write_table"]
+__all__ = ["WORD", "drop_clashing", "new_folder", "read", "shuffles_released", "shuffle_width", "word_count", "write_table"]
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,3 +39,15 @@ def shuffle_width(spark: SparkSession) -> int:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark removes a query's shuffle files when the query ends, for jobs whose steps are all stored tables."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)

@@ -32,7 +32,7 @@ ignored. Hashes of 64 bits stand for shingles and sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnscope.llm.bpe import Bounded, slices
-from churnscope.llm.common import read, shuffle_width, write_table
+from churnscope.llm.common import read, shuffle_width, shuffles_released, write_table
 
 WIDTH, PERCENT = 4, 85
 #: Bound of the frequent shingles, and shingles a task counts at once.
@@ -200,34 +200,63 @@ def may_link(percent: int, a: str = "", b: str = "p_"):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ia, nb - ib) >= need)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Stored: the pairs (a, b) of classes whose sets reach the threshold.
+def compared(pairs: DataFrame, arrays: DataFrame, passes: Callable[[np.ndarray, int, np.ndarray, int], bool]) -> DataFrame:
+    """Stored: the pairs (a, b) whose arrays (id, n, values) pass.
 
-    Each set travels to its pivots b, a popular pivot's own set to several tasks with a share of the members each."""
-    pairs = write_table(pairs.distinct(), "candidates")
-    sets = class_sets(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), width)
+    Each array travels to its pivots b, a popular pivot's own array to several tasks with a share of the members each."""
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / PIVOT_SHARE).cast("int").alias("shares"))
-    members = pairs.join(shares, "b").select(F.col("a").alias("cid"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"))
-    pivots = shares.select(F.col("b").alias("cid"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"))
-    sent = members.unionByName(pivots).join(sets, "cid").repartition(shuffle_width(pairs.sparkSession), "b", "share").sortWithinPartitions("b", "share", "role")
+    members = pairs.join(shares, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"))
+    pivots = shares.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"))
+    sent = members.unionByName(pivots).join(arrays, "id").repartition(shuffle_width(pairs.sparkSession), "b", "share").sortWithinPartitions("b", "share", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, here = None, None
         for batch in batches:
             found: tuple[list, list] = ([], [])
-            for cid, b, share, role, raw in zip(*(batch.column(c).to_pylist() for c in ("cid", "b", "share", "role", "shingles"))):
-                values = np.frombuffer(raw, np.int64)
+            column = batch.column("values")
+            for i, (a, b, share, role, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "b", "share", "role", "n")))):
+                values = column[i].values.to_numpy()
                 if role == 0:
-                    pivot, here = values, (b, share)
-                elif here == (b, share):
-                    both = len(np.intersect1d(values, pivot, assume_unique=True))
-                    if 100 * both >= percent * (len(values) + len(pivot) - both):
-                        found[0].append(cid)
-                        found[1].append(b)
+                    pivot, here = (values, n), (b, share)
+                elif here == (b, share) and passes(values, n, *pivot):
+                    found[0].append(a)
+                    found[1].append(b)
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    return write_table(sent.select("cid", "b", "share", "role", "shingles").mapInArrow(run, "a long, b long"), "links")
+    return write_table(sent.select("id", "b", "share", "role", "n", "values").mapInArrow(run, "a long, b long"), "compared").distinct()
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def near_prefixes(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs of groups (a, b) whose prefixes share enough.
+
+    What the prefix that ends first shares with the other set is in the other's prefix, so the two sets share no more
+    than their prefixes do and the larger rest behind a prefix holds."""
+
+    def passes(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
+        rest = max(nx - len(x), ny - len(y))
+        return common(x, y) + rest >= -(-percent * (nx + ny) // (100 + percent))
+
+    pairs = write_table(pairs.distinct(), "group-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
+    held = rows.filter(F.col("prefix").isNotNull()).select("gid", "n", "prefix").join(asked, "gid", "left_semi").dropDuplicates(["gid"])
+    return compared(pairs, held.select(F.col("gid").alias("id"), "n", F.col("prefix").alias("values")), passes)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets reach the threshold."""
+
+    def passes(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
+        both = common(x, y)
+        return 100 * both >= percent * (nx + ny - both)
+
+    pairs = write_table(pairs.distinct(), "class-pairs")
+    sets = class_sets(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), width)
+    return compared(pairs, sets, passes)
 
 
 def sieve(ids: DataFrame) -> tuple[int, np.ndarray]:
@@ -241,7 +270,7 @@ def sieve(ids: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Stored: (cid, shingles) of the wanted classes, from the whole text of one document of each.
+    """Stored: (id, n, values) of the wanted classes, from the whole text of one document of each.
 
     A bit array of bounded size keeps most other documents out of the shuffle; the join after it is exact, and does
     all the work where there are too many for the bits."""
@@ -265,9 +294,9 @@ def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int)
             for part in slices(batch.column(0)):
                 found = [s for s in (shingles(t, width) for t in part) if len(s)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "n", "values"])
 
-    return write_table(texts.mapInArrow(run, "cid long, shingles binary"), "class-sets")
+    return write_table(texts.mapInArrow(run, "id long, n long, values array<bigint>"), "class-sets")
 
 
 def spread(edges: DataFrame, rounds: int) -> DataFrame:
@@ -304,6 +333,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    with shuffles_released(docs.sparkSession):
+        rows, named = labelled(docs, width, percent, most)
+    out = rows.select("doc_id", "n", "cid").join(named, F.col("cid") == F.col("_cid"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def labelled(docs: DataFrame, width: int, percent: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Stored: the documents' sets and classes, and for each class (_cid) its component_id."""
     values, rank = frequent(docs, width, most)
     rows = prefixes(docs, values, rank, width, percent)
     shared = index(rows, percent)
@@ -317,9 +354,10 @@ def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, mo
     weighed = write_table(shared.join(weight, "gid"), "weighed")
     pivot = weighed.groupBy("key").agg(F.max(F.struct("share", "docs", "gid", "n", "pos")).alias("p"))
     near = weighed.join(pivot.select("key", F.col("p.gid").alias("p_gid"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos")), "key")
-    near = near.filter((F.col("gid") != F.col("p_gid")) & may_link(percent)).select("gid", "p_gid").distinct()
+    near = near.filter((F.col("gid") != F.col("p_gid")) & may_link(percent)).select(F.col("gid").alias("a"), F.col("p_gid").alias("b"))
+    near = near_prefixes(near, rows, percent).withColumnRenamed("b", "near_b")
     heads = groups.select(F.col("gid").alias("p_gid"), F.col("head").alias("b"))
-    first = members.join(near, "gid").join(heads, "p_gid").select(F.col("cid").alias("a"), "b")
+    first = members.join(near, F.col("gid") == F.col("a")).join(heads, F.col("p_gid") == F.col("near_b")).select(F.col("cid").alias("a"), "b")
     own = members.join(heads, F.col("gid") == F.col("p_gid")).filter(F.col("cid") != F.col("b")).select(F.col("cid").alias("a"), "b")
     links = verified(first.unionByName(own), docs, rows, width, percent)
     labels = spread(links, 2)
@@ -335,7 +373,12 @@ def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, mo
     some = open_rows.join(top, "key").filter(F.col("label") != F.col("top"))
     others = open_rows.select("key", *(F.col(c).alias(f"p_{c}") for c in ("gid", "n", "pos", "label")))
     met = some.join(others, "key").filter((F.col("label") != F.col("p_label")) & ((F.col("p_label") == F.col("top")) | (F.col("label") < F.col("p_label"))) & may_link(percent))
-    met = met.select("gid", "label", "p_gid", "p_label").distinct()
+    turned = F.col("gid") > F.col("p_gid")
+    met = met.select(*(F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("gid", "p_gid"), ("label", "p_label"), ("p_gid", "gid"), ("p_label", "label")))).distinct()
+    met = write_table(met, "open-pairs")
+    apart = met.filter("gid <> p_gid")
+    close = near_prefixes(apart.select(F.col("gid").alias("a"), F.col("p_gid").alias("b")), rows, percent)
+    met = apart.join(close, (F.col("gid") == F.col("a")) & (F.col("p_gid") == F.col("b"))).drop("a", "b").unionByName(met.filter("gid = p_gid"))
     p_placed = placed.select(F.col("gid").alias("p_gid"), F.col("label").alias("p_label"), F.col("cid").alias("b"))
     second = met.join(placed, ["gid", "label"]).join(p_placed, ["p_gid", "p_label"]).select(F.col("cid").alias("a"), "b")
     links = links.unionByName(verified(second, docs, rows, width, percent))
@@ -344,9 +387,7 @@ def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, mo
     found = components(links).select(F.col("node").alias("cid"), "label")
     classes = rows.filter(F.col("n") > 0).groupBy("cid").agg(F.min("doc_id").alias("least")).join(found, "cid", "left").select("cid", "least", F.coalesce("label", "cid").alias("label"))
     names = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = classes.join(names, "label").select(F.col("cid").alias("_cid"), "component_id")
-    out = rows.select("doc_id", "n", "cid").join(named, F.col("cid") == F.col("_cid"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows, write_table(classes.join(names, "label").select(F.col("cid").alias("_cid"), "component_id"), "components")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
