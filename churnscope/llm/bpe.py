@@ -35,7 +35,7 @@ from churnscope.llm.common import drop_clashing, read
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries kept per process: chunks of text, and single matches.
-CHUNKS_KEPT, PIECES_KEPT = 400_000, 600_000
+CHUNKS_KEPT, PIECES_KEPT = 200_000, 300_000
 #: Bytes of text encoded before an output batch is handed on.
 SLICE_BYTES = 4 << 20
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from churnscope.session import checkpoint_dir, write_table
 
-__all__ = ["WORD", "drop_clashing", "new_folder", "read", "shuffles_released", "shuffle_width", "word_count", "write_table"]
+__all__ = ["WORD", "drop_clashing", "new_folder", "read", "shuffle_width", "stored_steps", "word_count", "write_table"]
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,12 +42,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Within it Spark removes a query's shuffle files when the query ends, for jobs whose steps are all stored tables."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def stored_steps(spark: SparkSession) -> Iterator[None]:
+    """Settings for jobs whose steps are all stored tables: Spark removes a query's shuffle files when the query ends,
+    and hands texts to Python in small batches."""
+    ours = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

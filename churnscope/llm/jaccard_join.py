@@ -40,17 +40,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnscope.llm.bpe import Bounded, slices
-from churnscope.llm.common import read, shuffle_width, shuffles_released, write_table
+from churnscope.llm.common import read, shuffle_width, stored_steps, write_table
 
 WIDTH, PERCENT = 4, 85
 #: Bound of the frequent shingles, and shingles a task counts at once.
-FREQUENT, CHUNK = 1 << 18, 4_000_000
+FREQUENT, CHUNK = 1 << 18, 2_000_000
 #: Members that one copy of a pivot's set serves.
 PIVOT_SHARE = 2000
 #: Bits of the array that picks documents, at most (16 MB).
 SIEVE_BITS = 1 << 27
 #: Word hashes kept per process.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 _WORDS: Bounded | None = None
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -333,7 +333,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    with shuffles_released(docs.sparkSession):
+    with stored_steps(docs.sparkSession):
         rows, named = labelled(docs, width, percent, most)
     out = rows.select("doc_id", "n", "cid").join(named, F.col("cid") == F.col("_cid"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
