@@ -44,7 +44,7 @@ from churnscope.llm.common import read, shuffle_width, stored_steps, write_table
 
 WIDTH, PERCENT = 4, 85
 #: Bound of the frequent shingles, and shingles a task counts at once.
-FREQUENT, CHUNK = 1 << 18, 2_000_000
+FREQUENT, CHUNK = 1 << 20, 2_000_000
 #: Members that one copy of a pivot's set serves.
 PIVOT_SHARE = 2000
 #: Bits of the array that picks documents, at most (16 MB).
