@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 
 # Date layouts tried in order when the invoice date arrives as text.
 DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]",
     "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
     "yyyy-MM-dd",
     "M/d/yyyy H:mm",
     "M/d/yyyy H:mm:ss",
@@ -78,7 +80,19 @@ def clean(raw: DataFrame) -> DataFrame:
         & F.col("ts").isNotNull()
     )
     if isinstance(p_type, T.DecimalType):
-        amount = (F.col("quantity").cast("decimal(10,0)") * F.col("price")).cast("decimal(18,2)")
+        kind = "decimal(18,2)" if p_type.scale <= 2 else f"decimal(28,{p_type.scale})"
+        amount = (F.col("quantity").cast("decimal(10,0)") * F.col("price")).cast(kind)
     else:
         amount = (F.col("quantity") * F.col("price")).cast("double")
     return df.withColumn("amount", amount)
+
+
+def dropped_lines(raw: DataFrame) -> DataFrame:
+    """Lines that ``clean`` leaves out, counted by the first reason that applies."""
+    ts = parse_ts(raw)
+    reason = (F.when(F.col("customer_id").isNull(), "no customer")
+              .when(is_cancelled(F.col("invoice").cast("string")), "cancelled")
+              .when(~F.coalesce(positive(F.col("quantity"), raw.schema["quantity"].dataType), F.lit(False)), "quantity")
+              .when(~F.coalesce(positive(F.col("price"), raw.schema["price"].dataType), F.lit(False)), "price")
+              .when(ts.isNull(), "date"))
+    return raw.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("lines")).filter("reason is not null")

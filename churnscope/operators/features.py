@@ -443,6 +443,12 @@ def baseline_features(tx: DataFrame, cfg: RiskConfig = DEFAULT) -> DataFrame:
 # One operator per feature (F1-F16): each runs only the branch it needs.
 # --------------------------------------------------------------------------
 
+def _all_customers(tx: DataFrame, df: DataFrame, col: str) -> DataFrame:
+    """``df`` with a row for every customer, 0 where it has none."""
+    base = tx.select("customer_id").distinct()
+    return zero_fill(base.join(df.select("customer_id", col), "customer_id", "left"), [col])
+
+
 def _pick(df: DataFrame, col: str, fill=True) -> DataFrame:
     out = df.select("customer_id", col)
     return zero_fill(out, [col]) if fill else out
@@ -455,9 +461,7 @@ def recency(tx: DataFrame) -> DataFrame:
 
 def frequency(tx: DataFrame) -> DataFrame:
     """distinct invoices (0 when a customer has only missing invoices)."""
-    base = tx.select("customer_id").distinct()
-    return zero_fill(base.join(invoice_stats(tx).select("customer_id", "frequency"), "customer_id", "left"),
-                     ["frequency"])
+    return _all_customers(tx, invoice_stats(tx), "frequency")
 
 
 def monetary(tx: DataFrame) -> DataFrame:
@@ -472,7 +476,7 @@ def avg_order_value(tx: DataFrame) -> DataFrame:
 
 def product_diversity(tx: DataFrame) -> DataFrame:
     """distinct stock codes."""
-    return distinct_count(tx, "stock_code", "product_diversity")
+    return _all_customers(tx, distinct_count(tx, "stock_code", "product_diversity"), "product_diversity")
 
 
 def total_quantity(tx: DataFrame) -> DataFrame:
@@ -483,18 +487,18 @@ def total_quantity(tx: DataFrame) -> DataFrame:
 def geo_spread(tx: DataFrame) -> DataFrame:
     """distinct countries, or 1 when the source has no country."""
     if "country" in tx.columns:
-        return distinct_count(tx, "country", "geo_spread")
+        return _all_customers(tx, distinct_count(tx, "country", "geo_spread"), "geo_spread")
     return tx.select("customer_id").distinct().withColumn("geo_spread", F.lit(1).cast("bigint"))
 
 
 def purchase_volatility(tx: DataFrame) -> DataFrame:
     """F8: sample sd of invoice totals (0 for fewer than two invoices)."""
-    return _pick(invoice_stats(tx), "purchase_volatility")
+    return _all_customers(tx, invoice_stats(tx), "purchase_volatility")
 
 
 def revenue_concentration(tx: DataFrame) -> DataFrame:
     """Herfindahl index of invoice shares."""
-    return _pick(invoice_stats(tx), "revenue_concentration")
+    return _all_customers(tx, invoice_stats(tx), "revenue_concentration")
 
 
 def spend_last_30(tx: DataFrame) -> DataFrame:

@@ -231,9 +231,11 @@ def roi_by_decision(cust: DataFrame) -> DataFrame:
 
 def probability_histogram(cust: DataFrame, bins: int = 50, cfg: RiskConfig = DEFAULT) -> DataFrame:
     """Customers per equal-width probability bin on [0, 1] (bin edges
-    included) with the tier threshold that starts inside each bin, if any."""
+    and empty bins included) with the tier threshold that starts inside each bin, if any."""
     b = F.least(F.floor(F.col("churn_prob") * bins), F.lit(bins - 1)).cast("int")
     h = cust.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("customers"))
+    every = cust.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    h = every.join(h, "bin", "left").select("bin", F.coalesce("customers", F.lit(0).cast("long")).alias("customers"))
     lo = F.col("bin") / F.lit(float(bins))
     hi = (F.col("bin") + 1) / F.lit(float(bins))
     cut = F.lit(None).cast("string")

@@ -519,9 +519,9 @@ _cuts = " ".join(f"WHEN bin = {int(t * 50 + 1e-9)} THEN '{n}'" for n, t in zip(
 ORACLES["A12_probability_histogram"] = f"""
 WITH {_S}, h AS (SELECT CAST(least(floor(churn_prob * 50), 49) AS INTEGER) AS bin, count(*) AS customers
                  FROM scored GROUP BY 1)
-SELECT bin, {r6('bin / 50.0')} AS bin_start, {r6('(bin + 1) / 50.0')} AS bin_end, customers,
+SELECT bin, {r6('bin / 50.0')} AS bin_start, {r6('(bin + 1) / 50.0')} AS bin_end, coalesce(customers, 0) AS customers,
        CASE {_cuts} ELSE NULL END AS tier_cut
-FROM h"""
+FROM (SELECT CAST(unnest(range(50)) AS INTEGER) AS bin) LEFT JOIN h USING (bin)"""
 ORACLES["A13_value_risk_quadrants"] = f"""
 WITH {_S}, q AS (SELECT quantile_cont(clv, 0.5) AS med, quantile_cont(clv, 0.9) AS q90,
                         quantile_cont(clv, 0.1) AS q10 FROM scored)

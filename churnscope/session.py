@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,21 +35,25 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+_SCRATCH: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment to a shared file system. Only
-    when it is unset (local tests) do we create a scratch folder.
+    On a cluster the deployment must name it. Only a local session without it
+    gets a scratch folder, one a process and removed when the process ends.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="churnscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - no direct context access (e.g. remote session)
-        pass
-    return d
+    if d:
+        return d
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _SCRATCH:
+        _SCRATCH.append(tempfile.mkdtemp(prefix="churnscope-ckpt-"))
+        atexit.register(shutil.rmtree, _SCRATCH[0], ignore_errors=True)
+    return _SCRATCH[0]
 
 
 def app_id(spark: SparkSession) -> str:
@@ -57,15 +64,6 @@ def app_id(spark: SparkSession) -> str:
         return spark.conf.get("spark.app.id", "app")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
-
-    The result survives executor loss (unlike a local checkpoint or cache).
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table under the shared checkpoint folder and
     read it back: lineage is cut, the data survives executor loss, and later

@@ -2,40 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
 
-# Result tables written by the pipeline.
-RESULT_TABLES = (
-    "customer_risk_scores", "model_metrics", "loss_stats", "stress_tests",
-    "cohort_retention", "contributions", "feature_cols",
-)
+from pyspark.sql import SparkSession
+from pyspark.sql import types as T
+
+# Names and schemas of the tables written to a result folder.
+MANIFEST = "_tables"
 
 
 def write_results(results: dict, out_dir: str, fmt: str = "parquet") -> dict:
-    """S3: write each named DataFrame to ``out_dir/<name>`` (overwrite)."""
-    paths = {}
+    """S3: write each named DataFrame to ``out_dir/<name>`` (overwrite), and the tables' names and schemas."""
+    paths, spark = {}, None
     for name, df in results.items():
-        path = f"{out_dir}/{name}"
+        path, spark = f"{out_dir}/{name}", df.sparkSession
         w = df.write.mode("overwrite")
         if fmt == "csv":
             w.option("header", True).csv(path)
         else:
             w.format(fmt).save(path)
         paths[name] = path
+    if spark:
+        rows = [(name, df.schema.json()) for name, df in results.items()]
+        spark.createDataFrame(rows, "name string, schema string").coalesce(1).write.mode("overwrite").json(f"{out_dir}/{MANIFEST}")
     return paths
 
 
-def read_results(spark: SparkSession, out_dir: str, names=RESULT_TABLES,
-                 fmt: str = "parquet") -> dict:
-    """Read result tables back (schema from the parquet footers)."""
+def read_results(spark: SparkSession, out_dir: str, names=None, fmt: str = "parquet") -> dict:
+    """Read result tables back, all that were written or those named.
+
+    The schemas are the ones written, so CSV needs no inference and ids keep their leading zeros."""
+    written = {r["name"]: T.StructType.fromJson(json.loads(r["schema"]))
+               for r in spark.read.schema("name string, schema string").json(f"{out_dir}/{MANIFEST}").collect()}
     out = {}
-    for name in names:
-        r = spark.read
-        if fmt == "csv":
-            r = r.option("header", True).option("inferSchema", True)
-            out[name] = r.csv(f"{out_dir}/{name}")
-        else:
-            out[name] = r.format(fmt).load(f"{out_dir}/{name}")
+    for name in names or written:
+        r = spark.read.schema(written[name])
+        out[name] = r.option("header", True).csv(f"{out_dir}/{name}") if fmt == "csv" else r.format(fmt).load(f"{out_dir}/{name}")
     return out
 
 

@@ -11,7 +11,7 @@ RAW_SCHEMA = T.StructType([
     T.StructField("invoice", T.StringType(), True),
     T.StructField("stock_code", T.StringType(), True),
     T.StructField("quantity", T.IntegerType(), True),
-    T.StructField("price", T.DecimalType(12, 2), True),
+    T.StructField("price", T.DecimalType(18, 6), True),
     T.StructField("invoice_date", T.StringType(), True),
     T.StructField("country", T.StringType(), True),
 ])
@@ -34,14 +34,16 @@ CSV_NULL_TOKENS = ("", "NA", "N/A", "nan", "NaN", "null", "NULL", "None", "<NA>"
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read transaction lines from CSV (with the export's header names) or parquet.
 
-    CSV is read with an explicit all-string schema, so no inference pass runs;
-    ``clean`` parses and types the columns.
+    No inference pass runs: all CSV columns arrive as strings, a doubled quote
+    inside a quoted field is a quote, and prices keep six decimals. ``clean``
+    parses and types the columns. A line break inside a quoted field is not
+    supported, since it would stop Spark from splitting files.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
         return df.withColumnsRenamed({k: v for k, v in CSV_HEADER.items() if k in df.columns})
     df = (spark.read.option("header", True).option("encoding", "UTF-8")
-          .option("multiLine", False).csv(path))
+          .option("multiLine", False).option("escape", '"').csv(path))
     renamed = df.withColumnsRenamed({k: v for k, v in CSV_HEADER.items() if k in df.columns})
     from pyspark.sql import functions as F
     cols = []
@@ -51,8 +53,9 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
             if f.name == "customer_id":
                 c = F.when(F.trim(c).isin(*CSV_NULL_TOKENS), None).otherwise(c)
             elif f.name == "quantity":
-                c = F.expr("try_cast(quantity as int)")
+                c = F.expr("CASE WHEN try_cast(quantity as decimal(20,6)) = floor(try_cast(quantity as decimal(20,6)))"
+                           " THEN try_cast(try_cast(quantity as decimal(20,6)) as int) END")
             elif f.name == "price":
-                c = F.expr("try_cast(price as decimal(12,2))")
+                c = F.expr("try_cast(price as decimal(18,6))")
             cols.append(c.alias(f.name))
     return renamed.select(*cols)
