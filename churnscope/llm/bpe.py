@@ -183,7 +183,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
 
 def decode_text(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """As ``decode``, with ``decoded`` as a string: bytes that make no whole character become U+FFFD."""
-    return decode(encoded, path, pattern, ids).withColumn("decoded", F.make_valid_utf8(F.decode("decoded", "UTF-8")))
+    return decode(encoded, path, pattern, ids).withColumn("decoded", F.make_valid_utf8(F.col("decoded").cast("string")))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
