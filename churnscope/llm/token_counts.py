@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnscope.llm.bpe import codec, slices
-from churnscope.llm.common import read
+from churnscope.llm.common import read, write_table
 
 #: Lengths per block of the suffix sums.
 BLOCK = 1024
@@ -40,7 +40,8 @@ def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def histogram(lengths: DataFrame) -> DataFrame:
     """Per distinct length: documents and tokens of it, of it and beyond, and the total when all are cut at it."""
-    counts = lengths.groupBy("length").agg(F.count("*").alias("n_docs")).withColumn("n_tokens", F.col("n_docs") * F.col("length")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    counts = write_table(lengths.groupBy("length").agg(F.count("*").alias("n_docs")), "length-counts")  # read twice
+    counts = counts.withColumn("n_tokens", F.col("n_docs") * F.col("length")).withColumn("block", F.floor(F.col("length") / BLOCK))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     blocks = blocks.select("block", *(F.coalesce(F.sum(c).over(later), F.lit(0)).alias(f"later_{c}") for c in "dt"), F.sum("t").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before_t"))
