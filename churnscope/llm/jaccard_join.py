@@ -15,7 +15,8 @@ shingle, is compared with one pivot (the group that shares most of its prefix),
 a number of pairs in proportion to the index however large a group of near
 copies is. In a second round only pairs from different classes of the first
 meet on a shingle: the rows outside the shingle's most common class against
-the others. No similar pair is lost: it is verified, or connected already.
+the others, where their places and the parities of their sets allow a link. No
+similar pair is lost: it is verified, or connected already.
 
 Frequent shingles: each task counts its shingles exactly and passes on those
 above a share of 1/``FREQUENT`` of what it holds, so every shingle above twice
@@ -47,6 +48,8 @@ WIDTH, PERCENT = 4, 85
 FREQUENT, CHUNK = 1 << 20, 2_000_000
 #: Members that one copy of a pivot's set serves.
 PIVOT_SHARE = 2000
+#: Words of 64 parity bits that summarise a set.
+PARITY = 8
 #: Bits of the array that picks documents, at most (16 MB).
 SIEVE_BITS = 1 << 27
 #: Word hashes kept per process.
@@ -98,6 +101,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parity(values: np.ndarray) -> list[int]:
+    """For each of 64 * PARITY classes of hashes, whether a set has an odd number of shingles in it, as words."""
+    odd = np.bincount(values.view(np.uint64) % np.uint64(64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def frequent(docs: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The frequent shingles, ascending, and the rank of each by count."""
 
@@ -134,7 +143,7 @@ def frequent(docs: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.nda
 
 
 def prefixes(docs: DataFrame, values: np.ndarray, rank: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Stored, per document: doc_id, n (set size), cid (class), gid (group) and the group's prefix with its first frequent place.
+    """Stored, per document: doc_id, n (set size), cid (class), gid (group), the set's parities and the group's prefix with its first frequent place.
 
     A task writes a group's prefix once; equal prefixes of other tasks collapse in the index."""
     shared = docs.sparkSession.sparkContext.broadcast((values, rank))
@@ -144,12 +153,12 @@ def prefixes(docs: DataFrame, values: np.ndarray, rank: np.ndarray, width: int,
         for batch in batches:
             at = 0
             for texts in slices(batch.column("text")):
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for t in texts:
                     s = shingles(t, width)
                     n = len(s)
                     if not n:
-                        for column, x in zip(out, (0, None, None, None, None)):
+                        for column, x in zip(out, (0, None, None, None, None, None)):
                             column.append(x)
                         continue
                     place = np.searchsorted(values, s) if len(values) else np.zeros(n, np.int64)
@@ -163,14 +172,14 @@ def prefixes(docs: DataFrame, values: np.ndarray, rank: np.ndarray, width: int,
                     gid = digest(np.append(head, n))
                     first = gid not in seen
                     seen[gid]
-                    for column, x in zip(out, (n, digest(s), gid, head if first else None, min(len(rare), length) if first else None)):
+                    for column, x in zip(out, (n, digest(s), gid, head if first else None, min(len(rare), length) if first else None, parity(s))):
                         column.append(x)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), *(pa.array(x, t) for x, t in zip(out, types))], names=["doc_id", "n", "cid", "gid", "prefix", "n_rare"])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), *(pa.array(x, t) for x, t in zip(out, types))], names=["doc_id", "n", "cid", "gid", "prefix", "n_rare", "parity"])
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return write_table(rows.mapInArrow(run, "doc_id long, n long, cid long, gid long, prefix array<bigint>, n_rare int"), "prefixes")
+    return write_table(rows.mapInArrow(run, "doc_id long, n long, cid long, gid long, prefix array<bigint>, n_rare int, parity array<bigint>"), "prefixes")
 
 
 def index(rows: DataFrame, percent: int) -> DataFrame:
@@ -200,6 +209,17 @@ def may_link(percent: int, a: str = "", b: str = "p_"):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - ia, nb - ib) >= need)
 
 
+def may_differ(percent: int, a: str = "", b: str = "p_"):
+    """Whether what two sets are known to differ in still allows a link.
+
+    Before the first shingle they share all are in one set only, so a pair that links passes on that key at the latest.
+    Every parity that differs stands for a shingle in one set only; groups of several sets have no parities and pass."""
+    na, nb, ia, ib = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
+    most = na + nb - 2 * F.floor(least_overlap(na, nb, percent))
+    unlike = sum((F.bit_count(F.col(f"{a}w{k}").bitwiseXOR(F.col(f"{b}w{k}"))) for k in range(1, PARITY)), F.bit_count(F.col(f"{a}w0").bitwiseXOR(F.col(f"{b}w0"))))
+    return (ia + ib <= most) & F.coalesce(unlike <= most, F.lit(True))
+
+
 def compared(pairs: DataFrame, arrays: DataFrame, passes: Callable[[np.ndarray, int, np.ndarray, int], bool]) -> DataFrame:
     """Stored: the pairs (a, b) whose arrays (id, n, values) pass.
 
@@ -344,7 +364,7 @@ def labelled(docs: DataFrame, width: int, percent: int, most: int) -> tuple[Data
     values, rank = frequent(docs, width, most)
     rows = prefixes(docs, values, rank, width, percent)
     shared = index(rows, percent)
-    members = write_table(rows.filter(F.col("n") > 0).groupBy("gid", "cid").agg(F.count("*").alias("docs")).join(shared.select("gid").distinct(), "gid", "left_semi"), "members")
+    members = write_table(rows.filter(F.col("n") > 0).groupBy("gid", "cid").agg(F.count("*").alias("docs"), *(F.min(F.col("parity")[k]).alias(f"w{k}") for k in range(PARITY))).join(shared.select("gid").distinct(), "gid", "left_semi"), "members")
 
     # first round: every group on a key against the key's pivot, every member of a group against its first
     held = shared.groupBy("gid").agg(F.count("*").alias("keys"), F.max("n").alias("n"))
@@ -363,16 +383,17 @@ def labelled(docs: DataFrame, width: int, percent: int, most: int) -> tuple[Data
     labels = spread(links, 2)
 
     # second round: what meets on a key and is not known to be connected
-    placed = members.join(labels, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("label", "cid").alias("label"))
+    words = [f"w{k}" for k in range(PARITY)]
+    placed = members.join(labels, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("label", "cid").alias("label"), *words)
     placed = write_table(placed, "placed")
-    units = placed.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    open_keys = shared.join(units, "gid").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
-    open_rows = shared.join(open_keys, "key", "left_semi").join(placed.select("gid", "label").distinct(), "gid")
-    open_rows = write_table(open_rows, "open-keys")
+    units = placed.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *(F.when(F.min("cid") == F.max("cid"), F.min(w)).alias(w) for w in words))
+    open_keys = shared.join(units.select("gid", "lo", "hi"), "gid").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
+    labels = placed.select("gid", "label").distinct().join(units.select("gid", *words), "gid")
+    open_rows = write_table(shared.join(open_keys, "key", "left_semi").join(labels, "gid"), "open-keys")
     top = open_rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("top"))
     some = open_rows.join(top, "key").filter(F.col("label") != F.col("top"))
-    others = open_rows.select("key", *(F.col(c).alias(f"p_{c}") for c in ("gid", "n", "pos", "label")))
-    met = some.join(others, "key").filter((F.col("label") != F.col("p_label")) & ((F.col("p_label") == F.col("top")) | (F.col("label") < F.col("p_label"))) & may_link(percent))
+    others = open_rows.select("key", *(F.col(c).alias(f"p_{c}") for c in ("gid", "n", "pos", "label", *words)))
+    met = some.join(others, "key").filter((F.col("label") != F.col("p_label")) & ((F.col("p_label") == F.col("top")) | (F.col("label") < F.col("p_label"))) & may_link(percent) & may_differ(percent))
     turned = F.col("gid") > F.col("p_gid")
     met = met.select(*(F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("gid", "p_gid"), ("label", "p_label"), ("p_gid", "gid"), ("p_label", "label")))).distinct()
     met = write_table(met, "open-pairs")
