@@ -215,9 +215,23 @@ def may_differ(percent: int, a: str = "", b: str = "p_"):
     Before the first shingle they share all are in one set only, so a pair that links passes on that key at the latest.
     Every parity that differs stands for a shingle in one set only; groups of several sets have no parities and pass."""
     na, nb, ia, ib = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
-    most = na + nb - 2 * F.floor(least_overlap(na, nb, percent))
-    unlike = sum((F.bit_count(F.col(f"{a}w{k}").bitwiseXOR(F.col(f"{b}w{k}"))) for k in range(1, PARITY)), F.bit_count(F.col(f"{a}w0").bitwiseXOR(F.col(f"{b}w0"))))
-    return (ia + ib <= most) & F.coalesce(unlike <= most, F.lit(True))
+    return (ia + ib <= na + nb - 2 * F.floor(least_overlap(na, nb, percent))) & alike(percent, a, b)
+
+
+def alike(percent: int, a: str = "", b: str = "p_"):
+    """Whether the parities of two sets allow a link."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    unlike = F.lit(0)
+    for k in range(PARITY):
+        unlike += F.bit_count(F.col(f"{a}w{k}").bitwiseXOR(F.col(f"{b}w{k}")))
+    return F.coalesce(unlike <= na + nb - 2 * F.floor(least_overlap(na, nb, percent)), F.lit(True))
+
+
+def alike_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) whose sizes and parities, of ``known`` (id, n, w0, ...), allow a link."""
+    of = [known.select(*(F.col(c).alias(f"{p}{c}") for c in known.columns)) for p in ("a_", "b_")]
+    out = pairs.distinct().join(of[0], F.col("a") == F.col("a_id")).join(of[1], F.col("b") == F.col("b_id"))
+    return out.filter(alike(percent, "a_", "b_")).select("a", "b")
 
 
 def compared(pairs: DataFrame, arrays: DataFrame, passes: Callable[[np.ndarray, int, np.ndarray, int], bool]) -> DataFrame:
@@ -364,7 +378,11 @@ def labelled(docs: DataFrame, width: int, percent: int, most: int) -> tuple[Data
     values, rank = frequent(docs, width, most)
     rows = prefixes(docs, values, rank, width, percent)
     shared = index(rows, percent)
-    members = write_table(rows.filter(F.col("n") > 0).groupBy("gid", "cid").agg(F.count("*").alias("docs"), *(F.min(F.col("parity")[k]).alias(f"w{k}") for k in range(PARITY))).join(shared.select("gid").distinct(), "gid", "left_semi"), "members")
+    members = write_table(rows.filter(F.col("n") > 0).groupBy("gid", "cid").agg(F.count("*").alias("docs"), F.min("n").alias("n"), *(F.min(F.col("parity")[k]).alias(f"w{k}") for k in range(PARITY))).join(shared.select("gid").distinct(), "gid", "left_semi"), "members")
+
+    words = [f"w{k}" for k in range(PARITY)]
+    known_classes = members.select(F.col("cid").alias("id"), "n", *words)
+    known_groups = members.groupBy(F.col("gid").alias("id")).agg(F.min("n").alias("n"), *(F.when(F.count("*") == 1, F.min(w)).alias(w) for w in words))
 
     # first round: every group on a key against the key's pivot, every member of a group against its first
     held = shared.groupBy("gid").agg(F.count("*").alias("keys"), F.max("n").alias("n"))
@@ -375,20 +393,19 @@ def labelled(docs: DataFrame, width: int, percent: int, most: int) -> tuple[Data
     pivot = weighed.groupBy("key").agg(F.max(F.struct("share", "docs", "gid", "n", "pos")).alias("p"))
     near = weighed.join(pivot.select("key", F.col("p.gid").alias("p_gid"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos")), "key")
     near = near.filter((F.col("gid") != F.col("p_gid")) & may_link(percent)).select(F.col("gid").alias("a"), F.col("p_gid").alias("b"))
-    near = near_prefixes(near, rows, percent).withColumnRenamed("b", "near_b")
+    near = near_prefixes(alike_pairs(near, known_groups, percent), rows, percent).withColumnRenamed("b", "near_b")
     heads = groups.select(F.col("gid").alias("p_gid"), F.col("head").alias("b"))
     first = members.join(near, F.col("gid") == F.col("a")).join(heads, F.col("p_gid") == F.col("near_b")).select(F.col("cid").alias("a"), "b")
     own = members.join(heads, F.col("gid") == F.col("p_gid")).filter(F.col("cid") != F.col("b")).select(F.col("cid").alias("a"), "b")
-    links = verified(first.unionByName(own), docs, rows, width, percent)
+    links = verified(alike_pairs(first.unionByName(own), known_classes, percent), docs, rows, width, percent)
     labels = spread(links, 2)
 
     # second round: what meets on a key and is not known to be connected
-    words = [f"w{k}" for k in range(PARITY)]
-    placed = members.join(labels, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("label", "cid").alias("label"), *words)
+    placed = members.join(labels, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("label", "cid").alias("label"))
     placed = write_table(placed, "placed")
-    units = placed.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *(F.when(F.min("cid") == F.max("cid"), F.min(w)).alias(w) for w in words))
-    open_keys = shared.join(units.select("gid", "lo", "hi"), "gid").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
-    labels = placed.select("gid", "label").distinct().join(units.select("gid", *words), "gid")
+    units = placed.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    open_keys = shared.join(units, "gid").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
+    labels = placed.select("gid", "label").distinct().join(known_groups.select(F.col("id").alias("gid"), *words), "gid")
     open_rows = write_table(shared.join(open_keys, "key", "left_semi").join(labels, "gid"), "open-keys")
     top = open_rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label"))["label"].alias("top"))
     some = open_rows.join(top, "key").filter(F.col("label") != F.col("top"))
@@ -402,7 +419,7 @@ def labelled(docs: DataFrame, width: int, percent: int, most: int) -> tuple[Data
     met = apart.join(close, (F.col("gid") == F.col("a")) & (F.col("p_gid") == F.col("b"))).drop("a", "b").unionByName(met.filter("gid = p_gid"))
     p_placed = placed.select(F.col("gid").alias("p_gid"), F.col("label").alias("p_label"), F.col("cid").alias("b"))
     second = met.join(placed, ["gid", "label"]).join(p_placed, ["p_gid", "p_label"]).select(F.col("cid").alias("a"), "b")
-    links = links.unionByName(verified(second, docs, rows, width, percent))
+    links = links.unionByName(verified(alike_pairs(second, known_classes, percent), docs, rows, width, percent))
 
     # classes to components, and the smallest id of each
     found = components(links).select(F.col("node").alias("cid"), "label")

@@ -134,6 +134,17 @@ def test_jaccard_join(spark, docs):
     assert jaccard_join.link_classes(df.limit(0)).count() == 0
 
 
+def test_parities_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 40, 3000):
+        both = rng.integers(-(2**63), 2**63 - 1, size)
+        for more in (0, 1, 30, 900):
+            x, y = (np.union1d(both, rng.integers(-(2**63), 2**63 - 1, more)) for _ in range(2))
+            unlike = sum(((a ^ b) % 2**64).bit_count() for a, b in zip(jaccard_join.parity(x), jaccard_join.parity(y)))
+            assert unlike <= len(np.setxor1d(x, y))
+            assert more < 30 or unlike > 0
+
+
 def test_sharding(spark, stored):
     full, empty = stored
     table = spark.read.parquet(full + "/documents.parquet").withColumn("Slot", F.lit(1))
