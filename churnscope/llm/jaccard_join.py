@@ -276,9 +276,9 @@ def near_prefixes(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         return common(x, y) + rest >= -(-percent * (nx + ny) // (100 + percent))
 
     pairs = write_table(pairs.distinct(), "group-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
-    held = rows.filter(F.col("prefix").isNotNull()).select("gid", "n", "prefix").join(asked, "gid", "left_semi").dropDuplicates(["gid"])
-    return compared(pairs, held.select(F.col("gid").alias("id"), "n", F.col("prefix").alias("values")), passes)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    held = sifted(rows.filter(F.col("prefix").isNotNull()).select(F.col("gid").alias("id"), "n", F.col("prefix").alias("values")), "id", asked)
+    return compared(pairs, held.join(asked, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"]), passes)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -303,24 +303,29 @@ def sieve(ids: DataFrame) -> tuple[int, np.ndarray]:
     return bits, out
 
 
-def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Stored: (id, n, values) of the wanted classes, from the whole text of one document of each.
+def sifted(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose ``column`` may be one of ``ids`` (``_id`` long); an exact join is to follow.
 
-    A bit array of bounded size keeps most other documents out of the shuffle; the join after it is exact, and does
-    all the work where there are too many for the bits."""
-    of = rows.filter(F.col("n") > 0).groupBy("cid").agg(F.min("doc_id").alias("_id")).join(wanted, "cid", "left_semi")
-    of = write_table(of.select("_id").distinct(), "wanted")
-    shared = docs.sparkSession.sparkContext.broadcast(sieve(of))
+    A bit array of bounded size keeps most other rows out of that join's shuffle; where there are too many ids for the
+    bits, the join does all the work."""
+    shared, names = rows.sparkSession.sparkContext.broadcast(sieve(ids)), rows.columns
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, word = shared.value
         for batch in batches:
-            spot = batch.column("h").to_numpy() % bits
+            spot = batch.column("_h").to_numpy() % bits
             keep = (word[spot >> 6] >> (spot & 63)) & 1 == 1
-            yield batch.select(["doc_id", "text"]).filter(pa.array(keep))
+            yield batch.select(names).filter(pa.array(keep))
+
+    return rows.withColumn("_h", F.xxhash64(column)).mapInArrow(some, rows.schema)
 
+
+def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Stored: (id, n, values) of the wanted classes, from the whole text of one document of each."""
+    of = rows.filter(F.col("n") > 0).groupBy("cid").agg(F.min("doc_id").alias("_id")).join(wanted, "cid", "left_semi")
+    of = write_table(of.select("_id").distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = texts.withColumn("h", F.xxhash64("doc_id")).mapInArrow(some, "doc_id long, text binary")
+    texts = sifted(texts, "doc_id", of)
     texts = texts.join(of, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
