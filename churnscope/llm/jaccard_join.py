@@ -15,8 +15,10 @@ shingle, is compared with one pivot (the group that shares most of its prefix),
 a number of pairs in proportion to the index however large a group of near
 copies is. In a second round only pairs from different classes of the first
 meet on a shingle: the rows outside the shingle's most common class against
-the others, where their places and the parities of their sets allow a link. No
-similar pair is lost: it is verified, or connected already.
+the others, where their places and the parities of their sets allow a link.
+Large sets carry more parities, in proportion to their size, and pairs of them
+are held against these before prefixes and whole sets travel. No similar pair
+is lost: it is verified, or connected already.
 
 Frequent shingles: each task counts its shingles exactly and passes on those
 above a share of 1/``FREQUENT`` of what it holds, so every shingle above twice
@@ -50,6 +52,8 @@ FREQUENT, CHUNK = 1 << 20, 2_000_000
 PIVOT_SHARE = 2000
 #: Words of 64 parity bits that summarise a set.
 PARITY = 8
+#: Sets of more shingles than this also have a wide parity, of a bit a shingle at least.
+WIDE_FROM = 1024
 #: Bits of the array that picks documents, at most (16 MB).
 SIEVE_BITS = 1 << 27
 #: Word hashes kept per process.
@@ -101,12 +105,25 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def parity(values: np.ndarray) -> list[int]:
-    """For each of 64 * PARITY classes of hashes, whether a set has an odd number of shingles in it, as words."""
-    odd = np.bincount(values.view(np.uint64) % np.uint64(64 * PARITY), minlength=64 * PARITY) & 1
+def parity(values: np.ndarray, words: int = PARITY) -> list[int]:
+    """For each of 64 * words classes of hashes, whether a set has an odd number of shingles in it, as words."""
+    odd = np.bincount((values.view(np.uint64) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def wide_parity(values: np.ndarray) -> list[int] | None:
+    """The parity of a large set, of a power of two words; None for others."""
+    return parity(values, 1 << (len(values) - 1).bit_length() - 6) if len(values) > WIDE_FROM else None
+
+
+def wide_unlike(x: np.ndarray, y: np.ndarray) -> int:
+    """Parities two sets differ in; the longer array is folded to the classes of the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)))
+    return int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+
+
 def frequent(docs: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The frequent shingles, ascending, and the rank of each by count."""
 
@@ -153,12 +170,12 @@ def prefixes(docs: DataFrame, values: np.ndarray, rank: np.ndarray, width: int,
         for batch in batches:
             at = 0
             for texts in slices(batch.column("text")):
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], []]
                 for t in texts:
                     s = shingles(t, width)
                     n = len(s)
                     if not n:
-                        for column, x in zip(out, (0, None, None, None, None, None)):
+                        for column, x in zip(out, (0, None, None, None, None, None, None)):
                             column.append(x)
                         continue
                     place = np.searchsorted(values, s) if len(values) else np.zeros(n, np.int64)
@@ -172,14 +189,14 @@ def prefixes(docs: DataFrame, values: np.ndarray, rank: np.ndarray, width: int,
                     gid = digest(np.append(head, n))
                     first = gid not in seen
                     seen[gid]
-                    for column, x in zip(out, (n, digest(s), gid, head if first else None, min(len(rare), length) if first else None, parity(s))):
+                    for column, x in zip(out, (n, digest(s), gid, head if first else None, min(len(rare), length) if first else None, parity(s), wide_parity(s) if first else None)):
                         column.append(x)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), *(pa.array(x, t) for x, t in zip(out, types))], names=["doc_id", "n", "cid", "gid", "prefix", "n_rare", "parity"])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), *(pa.array(x, t) for x, t in zip(out, types))], names=["doc_id", "n", "cid", "gid", "prefix", "n_rare", "parity", "wide"])
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return write_table(rows.mapInArrow(run, "doc_id long, n long, cid long, gid long, prefix array<bigint>, n_rare int, parity array<bigint>"), "prefixes")
+    return write_table(rows.mapInArrow(run, "doc_id long, n long, cid long, gid long, prefix array<bigint>, n_rare int, parity array<bigint>, wide array<bigint>"), "prefixes")
 
 
 def index(rows: DataFrame, percent: int) -> DataFrame:
@@ -265,8 +282,29 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return len(np.intersect1d(x, y, assume_unique=True))
 
 
-def near_prefixes(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs of groups (a, b) whose prefixes share enough.
+def held_by(rows: DataFrame, pairs: DataFrame, values: str) -> DataFrame:
+    """(id, n, values) of the groups in pairs (a, b) that have these values."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    held = sifted(rows.filter(F.col(values).isNotNull()).select(F.col("gid").alias("id"), "n", F.col(values).alias("values")), "id", asked)
+    return held.join(asked, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"])
+
+
+def wide_alike(pairs: DataFrame, known: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs of groups (a, b) whose wide parities allow a link, and those where a group is small or has several sets."""
+
+    def passes(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
+        return wide_unlike(x, y) <= nx + ny - 2 * -(-percent * (nx + ny) // (100 + percent))
+
+    large = known.filter(F.col("w0").isNotNull() & (F.col("n") > WIDE_FROM))
+    for c in ("a", "b"):
+        pairs = pairs.join(large.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_wide")), c, "left")
+    pairs = write_table(pairs.select("a", "b", (F.col("a_wide") & F.col("b_wide")).alias("wide")), "sized-pairs")
+    wide = pairs.filter("wide").select("a", "b")
+    return pairs.filter("wide is null").select("a", "b").unionByName(compared(wide, held_by(rows, wide, "wide"), passes))
+
+
+def near_prefixes(pairs: DataFrame, known: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs of groups (a, b) whose wide parities and prefixes allow a link.
 
     What the prefix that ends first shares with the other set is in the other's prefix, so the two sets share no more
     than their prefixes do and the larger rest behind a prefix holds."""
@@ -275,10 +313,8 @@ def near_prefixes(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         rest = max(nx - len(x), ny - len(y))
         return common(x, y) + rest >= -(-percent * (nx + ny) // (100 + percent))
 
-    pairs = write_table(pairs.distinct(), "group-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    held = sifted(rows.filter(F.col("prefix").isNotNull()).select(F.col("gid").alias("id"), "n", F.col("prefix").alias("values")), "id", asked)
-    return compared(pairs, held.join(asked, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"]), passes)
+    pairs = write_table(wide_alike(pairs.distinct(), known, rows, percent), "group-pairs")
+    return compared(pairs, held_by(rows, pairs, "prefix"), passes)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -398,7 +434,7 @@ def labelled(docs: DataFrame, width: int, percent: int, most: int) -> tuple[Data
     pivot = weighed.groupBy("key").agg(F.max(F.struct("share", "docs", "gid", "n", "pos")).alias("p"))
     near = weighed.join(pivot.select("key", F.col("p.gid").alias("p_gid"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos")), "key")
     near = near.filter((F.col("gid") != F.col("p_gid")) & may_link(percent)).select(F.col("gid").alias("a"), F.col("p_gid").alias("b"))
-    near = near_prefixes(alike_pairs(near, known_groups, percent), rows, percent).withColumnRenamed("b", "near_b")
+    near = near_prefixes(alike_pairs(near, known_groups, percent), known_groups, rows, percent).withColumnRenamed("b", "near_b")
     heads = groups.select(F.col("gid").alias("p_gid"), F.col("head").alias("b"))
     first = members.join(near, F.col("gid") == F.col("a")).join(heads, F.col("p_gid") == F.col("near_b")).select(F.col("cid").alias("a"), "b")
     own = members.join(heads, F.col("gid") == F.col("p_gid")).filter(F.col("cid") != F.col("b")).select(F.col("cid").alias("a"), "b")
@@ -420,7 +456,7 @@ def labelled(docs: DataFrame, width: int, percent: int, most: int) -> tuple[Data
     met = met.select(*(F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("gid", "p_gid"), ("label", "p_label"), ("p_gid", "gid"), ("p_label", "label")))).distinct()
     met = write_table(met, "open-pairs")
     apart = met.filter("gid <> p_gid")
-    close = near_prefixes(apart.select(F.col("gid").alias("a"), F.col("p_gid").alias("b")), rows, percent)
+    close = near_prefixes(apart.select(F.col("gid").alias("a"), F.col("p_gid").alias("b")), known_groups, rows, percent)
     met = apart.join(close, (F.col("gid") == F.col("a")) & (F.col("p_gid") == F.col("b"))).drop("a", "b").unionByName(met.filter("gid = p_gid"))
     p_placed = placed.select(F.col("gid").alias("p_gid"), F.col("label").alias("p_label"), F.col("cid").alias("b"))
     second = met.join(placed, ["gid", "label"]).join(p_placed, ["p_gid", "p_label"]).select(F.col("cid").alias("a"), "b")
