@@ -145,6 +145,35 @@ def test_parities_differ_in_no_more_than_the_sets():
             assert more < 30 or unlike > 0
 
 
+def test_wide_parities_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    assert jaccard_join.wide_parity(np.arange(jaccard_join.WIDE_FROM)) is None
+    for size in (1025, 2040, 4090, 9000):
+        both = rng.integers(-(2**63), 2**63 - 1, size)
+        for more in (0, 1, 30, 900):
+            x, y = (np.union1d(both, rng.integers(-(2**63), 2**63 - 1, k)) for k in (more, 2 * more))
+            wide = [np.array(jaccard_join.wide_parity(s), np.int64) for s in (x, y)]
+            assert all(64 * len(w) >= len(s) for w, s in zip(wide, (x, y)))
+            unlike = jaccard_join.wide_unlike(*wide)
+            assert unlike == jaccard_join.wide_unlike(*wide[::-1]) <= len(np.setxor1d(x, y))
+            assert more < 30 or unlike > 0
+
+
+def test_jaccard_join_of_large_sets(spark):
+    """Long texts, near copies on both sides of the threshold and sets on both sides of WIDE_FROM."""
+    rng = random.Random(9)
+    rows = []
+    for size in (1000, 1100, 2100, 3000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for k, changed in enumerate((0, size // 60, size // 40, size // 20, size // 8)):
+            copy = list(base)
+            for at in rng.sample(range(size), changed):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((10 * size + k, " ".join(copy)))
+    got = jaccard_join.link_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == brute_components(rows)
+
+
 def test_sharding(spark, stored):
     full, empty = stored
     table = spark.read.parquet(full + "/documents.parquet").withColumn("Slot", F.lit(1))
