@@ -15,6 +15,8 @@ from churnscope.llm import bpe, host_rules, jaccard_join, mixing, pseudonyms
 from churnscope.llm.common import read, word_count, write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share this percentage of their shingles of so many words; op4's query keeps its own values.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each class of linked documents the one with the smallest id stays."""
-    linked = jaccard_join.link_classes(docs)
+    linked = jaccard_join.link_classes(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
     first = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.select(COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])  # the join has dealt them by id already
