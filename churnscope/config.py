@@ -146,8 +146,8 @@ class RiskConfig:
 
 DEFAULT = RiskConfig()
 
-# Small training sizes for tests, registered queries and the bench (the full
-# sizes above take minutes per fit; see README).
+# Small training sizes for tests (the full sizes above take minutes per fit;
+# see README).
 FAST = RiskConfig(
     boost=BoostParams(max_iter=10),
     baseline_boost=BoostParams(max_iter=10, max_depth=5, step_size=0.1, subsampling_rate=1.0,

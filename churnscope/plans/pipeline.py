@@ -24,9 +24,13 @@ from churnscope.sources.results import write_results
 
 
 def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT, out_dir: str = None,
-                 cross_validation: bool = True, explain: bool = True, fmt: str = "parquet") -> dict:
+                 cross_validation: bool = True, explain: bool = True, fmt: str = "parquet",
+                 fits: dict = None) -> dict:
     """Clean -> features -> label -> segments -> cohorts -> model -> scores ->
-    losses -> stress -> contributions; returns the result DataFrames."""
+    losses -> stress -> contributions; returns the result DataFrames. ``fits``
+    may hold the ``model``, ``cv`` table and ``explainer`` of the same customers
+    and config; what it lacks is fitted here."""
+    fits = fits or {}
     from churnscope.plans import explain as X
     from churnscope.plans.model import cross_validate, fit_calibrated, model_dir, model_metrics, split_flag
     from churnscope.plans.segments import segment
@@ -38,9 +42,9 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT,
 
     data = split_flag(seg, cfg)
     train = data.filter(~F.col("is_test"))
-    model = fit_calibrated(train, cfg)
+    model = fits.get("model") or fit_calibrated(train, cfg)
     test_scored = model.transform(data.filter(F.col("is_test")))
-    cv = cross_validate(cust, cfg) if cross_validation else None
+    cv = (fits["cv"] if "cv" in fits else cross_validate(cust, cfg)) if cross_validation else None
     metrics = model_metrics(test_scored, cv)
     report = ME.class_report(test_scored, "churn", "churn_prob")
 
@@ -60,7 +64,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT,
         "feature_cols": spark.createDataFrame([(c,) for c in C.FEATURE_COLS], "feature string"),
     }
     if explain:
-        scaler, gbt = X.fit_explainer(train, cfg)
+        scaler, gbt = fits.get("explainer") or X.fit_explainer(train, cfg)
         bg = X.background(train, scaler, cfg)
         results["contributions"] = X.contributions(data.filter(F.col("is_test")), scaler, gbt, bg)
     if out_dir:

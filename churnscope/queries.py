@@ -419,19 +419,25 @@ def q_class_report(spark, sf_dir):
 
 # ---------------------------------------------------------------- models
 
-from churnscope.config import FAST  # noqa: E402
+from churnscope.config import DEFAULT  # noqa: E402
 
 
 def model_of(spark, sf_dir, source="orders"):
-    """Calibrated ensemble trained on the non-test customers (FAST sizes)."""
+    """Calibrated ensemble trained on the non-test customers (full sizes)."""
     from churnscope.plans.model import fit_calibrated, split_flag
     k = (app_id(spark), "model", sf_dir, source)
     if k not in _TABLES:
-        cust = split_flag(cust_of(spark, sf_dir, source), FAST)
-        _TABLES[k] = fit_calibrated(cust.filter(~F.col("is_test")), FAST)
+        cust = split_flag(cust_of(spark, sf_dir, source), DEFAULT)
+        _TABLES[k] = fit_calibrated(cust.filter(~F.col("is_test")), DEFAULT)
     return _TABLES[k]
 
 
+def cv_of(spark, sf_dir, source="orders"):
+    """(fold, auc) of the cross-validation, written once per session."""
+    from churnscope.plans import model as M
+    return _memo(spark, ("cv", sf_dir, source), lambda: M.cross_validate(cust_of(spark, sf_dir, source), DEFAULT))
+
+
 def model_scored_of(spark, sf_dir, source="orders"):
     """Risk score table on the model probability and K-means segments."""
     from churnscope.plans.model import split_flag
@@ -439,9 +445,9 @@ def model_scored_of(spark, sf_dir, source="orders"):
 
     def build():
         cust = cust_of(spark, sf_dir, source)
-        seg = segment(cust, FAST)
+        seg = segment(cust, DEFAULT)
         scored = model_of(spark, sf_dir, source).transform(seg)
-        return split_flag(SC.score_table(scored, FAST), FAST)
+        return split_flag(SC.score_table(scored, DEFAULT), DEFAULT)
     return _memo(spark, ("model_scored", sf_dir, source), build)
 
 
@@ -465,7 +471,7 @@ def q_model_scores(spark, sf_dir):
 def q_model_metrics(spark, sf_dir):
     from churnscope.plans.model import model_metrics
     s = model_scored_of(spark, sf_dir).filter(F.col("is_test"))
-    return out(model_metrics(s))
+    return out(model_metrics(s, cv_of(spark, sf_dir)))
 
 
 @query("M11_model_class_report")
@@ -476,8 +482,7 @@ def q_model_class_report(spark, sf_dir):
 
 @query("M9_cross_validate")
 def q_cv(spark, sf_dir):
-    from churnscope.plans.model import cross_validate
-    return out(cross_validate(cust_of(spark, sf_dir, "orders"), FAST))
+    return out(cv_of(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- what-if
@@ -493,21 +498,32 @@ def q_whatif_features(spark, sf_dir):
 def q_whatif_scores(spark, sf_dir):
     from churnscope.plans.whatif import requests_from_customers, whatif_scores
     cust = cust_of(spark, sf_dir, "orders")
-    return out(whatif_scores(requests_from_customers(cust), cust, model_of(spark, sf_dir, "orders"), FAST))
+    return out(whatif_scores(requests_from_customers(cust), cust, model_of(spark, sf_dir, "orders"), DEFAULT))
 
 
 # ---------------------------------------------------------------- explanations
 
+def explainer_of(spark, sf_dir, source="orders"):
+    """(scaler, boosted trees) fitted on the non-test customers, once per session."""
+    from churnscope.plans import explain as X
+    from churnscope.plans.model import split_flag
+    k = (app_id(spark), "explainer", sf_dir, source)
+    if k not in _TABLES:
+        cust = split_flag(cust_of(spark, sf_dir, source), DEFAULT)
+        _TABLES[k] = X.fit_explainer(cust.filter(~F.col("is_test")), DEFAULT)
+    return _TABLES[k]
+
+
 def explained_of(spark, sf_dir, source="orders"):
     """Contributions of the boosted-tree explainer for the test customers."""
     from churnscope.plans import explain as X
     from churnscope.plans.model import split_flag
 
     def build():
-        cust = split_flag(cust_of(spark, sf_dir, source), FAST)
+        cust = split_flag(cust_of(spark, sf_dir, source), DEFAULT)
         train, test = cust.filter(~F.col("is_test")), cust.filter(F.col("is_test"))
-        scaler, gbt = X.fit_explainer(train, FAST)
-        bg = X.background(train, scaler, FAST)
+        scaler, gbt = explainer_of(spark, sf_dir, source)
+        bg = X.background(train, scaler, DEFAULT)
         return X.contributions(test, scaler, gbt, bg)
     return _memo(spark, ("contrib", sf_dir, source), build)
 
@@ -586,16 +602,18 @@ def q_model_roundtrip(spark, sf_dir):
 
 @query("M15_pipeline_scores")
 def q_pipeline(spark, sf_dir):
-    """The whole pipeline (small model sizes, no CV) on the orders adapter."""
+    """The whole pipeline on the orders adapter, all its results written; the
+    fits are the ones that the other model queries use."""
     from churnscope.plans.pipeline import run_pipeline
-    res = run_pipeline(spark, ADAPTERS["orders"](spark, sf_dir), FAST, cross_validation=False, explain=False)
+    fits = {"model": model_of(spark, sf_dir), "cv": cv_of(spark, sf_dir), "explainer": explainer_of(spark, sf_dir)}
+    res = run_pipeline(spark, ADAPTERS["orders"](spark, sf_dir), DEFAULT, out_dir=_scratch(spark, "pipeline"), fits=fits)
     return out(res["customer_risk_scores"])
 
 
 @query("M15_baseline_pipeline")
 def q_baseline_pipeline(spark, sf_dir):
     from churnscope.plans.pipeline import run_baseline
-    res = run_baseline(spark, ADAPTERS["orders"](spark, sf_dir), FAST)
+    res = run_baseline(spark, ADAPTERS["orders"](spark, sf_dir), DEFAULT)
     return out(res["baseline_decisions"])
 
 
