@@ -63,12 +63,13 @@ def fit_explainer(train: DataFrame, cfg: RiskConfig = DEFAULT, label: str = "chu
     """A single boosted-tree model on standardised features (the model explained)."""
     b = cfg.boost
     from churnscope.plans.model import _training_frame
-    scaler = fit_scaler(train, cols)
-    d = _training_frame(assemble(train, scaler, cols), label)
+    rows = _training_frame(train, label)
+    scaler = fit_scaler(rows, cols)
+    d = assemble(rows, scaler, cols)
     gbt = GBTClassifier(maxIter=b.max_iter, maxDepth=b.max_depth, stepSize=b.step_size,
                         subsamplingRate=b.subsampling_rate, featureSubsetStrategy=b.feature_subset,
                         seed=cfg.seed).fit(d)
-    d.unpersist()
+    rows.unpersist()
     return scaler, gbt
 
 

@@ -14,7 +14,8 @@
 * M12: scoring of all customers.
 
 Folds and the train/test split come from a per-customer hash (no global sort,
-stable under retries). Independent fits (folds, ensemble members, K-means
+stable under retries). Training rows are placed by customer hash, one partition
+per 100k rows, so row samples do not depend on session settings. Independent fits (folds, ensemble members, K-means
 starts) are submitted from a thread pool so their Spark jobs run
 concurrently, as ``CrossValidator(parallelism=...)`` does. Training data is
 persisted (memory and disk); everything else stays lazy.
@@ -222,20 +223,26 @@ def fit_isotonic(scored: DataFrame, score: str, label: str,
 ROWS_PER_TRAINING_PARTITION = 100_000
 
 
-def training_partitions(n_rows: int, spark) -> int:
-    """Partitions for an iterative fit: about 100k rows each, at most the
-    configured shuffle parallelism. Every optimiser iteration is a job over
-    all partitions, so tiny inputs train fastest in one partition (while
-    independent fits run side by side) and large ones spread out."""
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(cap, -(-n_rows // ROWS_PER_TRAINING_PARTITION)))
+def training_partitions(n_rows: int) -> int:
+    """Partitions for an iterative fit: one per 100k rows, whatever the session.
+    Every optimiser iteration is a job over all partitions, so tiny inputs train
+    fastest in one partition (while independent fits run side by side) and
+    large ones spread out."""
+    return max(1, -(-n_rows // ROWS_PER_TRAINING_PARTITION))
 
 
-def _training_frame(df: DataFrame, label: str, partitions: int = None) -> DataFrame:
-    d = df.withColumn("label", F.col(label).cast("double"))
+def placed(df: DataFrame, partitions: int = None) -> DataFrame:
+    """Rows dealt by hash of the customer and ordered within each partition, persisted.
+
+    Spark ML draws row samples and K-means starts by partition and position, so
+    these follow from the customers and the seed only."""
     if partitions is None:
-        partitions = training_partitions(df.count(), df.sparkSession)
-    return d.repartition(partitions).persist(StorageLevel.MEMORY_AND_DISK)
+        partitions = training_partitions(df.count())
+    return df.repartition(partitions, "customer_id").sortWithinPartitions("customer_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _training_frame(df: DataFrame, label: str, partitions: int = None) -> DataFrame:
+    return placed(df.withColumn("label", F.col(label).cast("double")), partitions)
 
 
 def fit_calibrated(train: DataFrame, cfg: RiskConfig = DEFAULT, folds: int = None,
@@ -244,9 +251,9 @@ def fit_calibrated(train: DataFrame, cfg: RiskConfig = DEFAULT, folds: int = Non
     """M8: scaler on ``train``, then per calibration fold an ensemble on the
     other folds and an isotonic map (clipped) on the held-out fold."""
     k = cfg.calibration_folds if folds is None else folds
-    scaler = fit_scaler(train, cols)
-    data = _training_frame(fold_column(assemble(train, scaler, cols), k, CAL_STREAM, cfg, "_cf"),
-                           label, partitions)
+    rows = _training_frame(fold_column(train, k, CAL_STREAM, cfg, "_cf"), label, partitions)
+    scaler = fit_scaler(rows, cols)
+    data = assemble(rows, scaler, cols)
     specs = member_specs(cfg, with_logistic)
     counts = {r["_cf"]: r["count"] for r in data.groupBy("_cf").count().collect()}
     n_total = sum(counts.values())
@@ -267,7 +274,7 @@ def fit_calibrated(train: DataFrame, cfg: RiskConfig = DEFAULT, folds: int = Non
 
     with _pool(k) as ex:
         isos = list(ex.map(fit_iso, range(k)))
-    data.unpersist()
+    rows.unpersist()
     return ChurnModel(tuple(cols), scaler, fold_members, isos)
 
 

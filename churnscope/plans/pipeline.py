@@ -84,7 +84,7 @@ def run_baseline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT,
     from pyspark.ml.functions import vector_to_array
 
     from churnscope.functions.scalar import baseline_decision
-    from churnscope.plans.model import split_flag
+    from churnscope.plans.model import placed, split_flag
 
     tx = write_table(clean(raw), "tx_baseline")
     feats = write_table(FE.baseline_features(tx, cfg), "baseline_features")
@@ -96,9 +96,11 @@ def run_baseline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT,
     va = VectorAssembler(inputCols=cols, outputCol="features")
     d = split_flag(va.transform(model_in).withColumn("label", F.col("churn").cast("double")), cfg)
     bb = cfg.baseline_boost
+    train = placed(d.filter(~F.col("is_test")))
     gbt = GBTClassifier(maxIter=bb.max_iter, maxDepth=bb.max_depth, stepSize=bb.step_size,
                         subsamplingRate=bb.subsampling_rate, featureSubsetStrategy=bb.feature_subset,
-                        seed=cfg.seed).fit(d.filter(~F.col("is_test")))
+                        seed=cfg.seed).fit(train)
+    train.unpersist()
     scored = gbt.transform(d).withColumn("churn_prob", vector_to_array("probability")[1])
     clv = F.col("monetary") * F.lit(cfg.margin)
     gain = clv * F.lit(1 - cfg.discount)

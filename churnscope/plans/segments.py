@@ -8,7 +8,6 @@ ids are then named by mean CLV rank (``operators.scoring.label_segments``).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from churnscope import config as C
 from churnscope.config import DEFAULT, RiskConfig
 from churnscope.operators.scoring import label_segments
-from churnscope.plans.model import _pool
+from churnscope.plans.model import _pool, placed
 
 
 def fit_segments(cust: DataFrame, cfg: RiskConfig = DEFAULT, k: int = None, starts: int = None,
@@ -25,9 +24,10 @@ def fit_segments(cust: DataFrame, cfg: RiskConfig = DEFAULT, k: int = None, star
     """Fit scaler + best-of-``starts`` K-means; returns (scaler, kmeans model)."""
     k = cfg.n_segments if k is None else k
     starts = cfg.kmeans_starts if starts is None else starts
-    raw = VectorAssembler(inputCols=list(cols), outputCol="seg_raw").transform(cust)
+    rows = placed(cust.select("customer_id", *cols))
+    raw = VectorAssembler(inputCols=list(cols), outputCol="seg_raw").transform(rows)
     scaler = StandardScaler(inputCol="seg_raw", outputCol="seg_features", withMean=True, withStd=True).fit(raw)
-    data = scaler.transform(raw).select("seg_features").persist(StorageLevel.MEMORY_AND_DISK)
+    data = scaler.transform(raw).select("seg_features")
 
     def run(i):
         return KMeans(k=k, seed=cfg.seed + i, featuresCol="seg_features", predictionCol="segment_id",
@@ -35,7 +35,7 @@ def fit_segments(cust: DataFrame, cfg: RiskConfig = DEFAULT, k: int = None, star
 
     with _pool(starts) as ex:
         models = list(ex.map(run, range(starts)))
-    data.unpersist()
+    rows.unpersist()
     best = min(models, key=lambda m: m.summary.trainingCost)
     return scaler, best
 
