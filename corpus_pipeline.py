@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnscope.llm import bpe, host_rules, jaccard_join, mixing, pseudonyms
-from churnscope.llm.common import read, word_count, write_table
+from churnscope.llm.common import WORD, read, word_count, write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies share this percentage of their shingles of so many words; op4's query keeps its own values.
@@ -30,12 +30,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each class of linked documents the one with the smallest id stays."""
-    linked = jaccard_join.link_classes(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
-    first = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select(COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])  # the join has dealt them by id already
-    return named.unionByName(kept.filter("doc_id is null").dropDuplicates(["text"]))
+    """N-gram Jaccard join: of each class of linked documents one row stays, that with the smallest id.
+
+    A row's key is a hash of its id and text, so rows of one id and different texts are told apart; keys decide among
+    rows of one id, and null ids come last. Rows without words link with nothing and all stay."""
+    docs = docs.select(COLUMNS)
+    worded = docs.filter(F.col("text").rlike(WORD)).withColumn("_key", F.xxhash64("doc_id", "text"))
+    linked = jaccard_join.link_classes(worded.select(F.col("_key").alias("doc_id"), "text"), width=NEAR_WIDTH, percent=NEAR_PERCENT)
+    classes = linked.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_class")).distinct()
+    ids = worded.select("_key", "doc_id").distinct().join(classes, "_key")
+    first = ids.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key")).select("_key").distinct()
+    kept = worded.join(first, "_key", "left_semi").dropDuplicates(["_key", "doc_id"])  # the join has dealt them by key already
+    return kept.select(COLUMNS).unionByName(docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

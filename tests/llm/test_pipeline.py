@@ -1,5 +1,7 @@
 """The pipeline's stages against plain Python."""
 
+from collections import Counter
+
 import corpus_pipeline
 from churnscope.llm import jaccard_join
 from tests.llm.conftest import DOCS
@@ -19,3 +21,18 @@ def test_near_duplicates_take_five_words_and_80_percent(spark):
     assert len(range(20, 300, 40)) == 7 and len(range(10, 300, 37)) == 8
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3, 4, 5, 7, 8}
     assert all(r["doc_id"] == r["component_id"] for r in jaccard_join.link_classes(docs).collect())  # op4 keeps four words and 85 percent
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    one, two = edited(80, range(0), "e"), edited(80, range(0), "f")
+    rows = [
+        (1, one), (1, two), (1, two), (2, one), (2, edited(80, range(0), "g")),  # one id, unlike texts; 2's first text is a copy of 1's
+        (None, edited(200, range(0), "h")), (None, edited(200, range(100, 101), "h")), (None, two), (9, edited(200, range(50, 51), "h")),
+        (None, edited(90, range(0), "i")), (None, edited(90, range(40, 41), "i")), (None, edited(90, range(0), "i")),
+        (5, ""), (5, ""), (6, None), (None, " \t"), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    unnamed = [k for k in got if k[0] is None and k[1] and k[1].startswith("i")]
+    assert len(unnamed) == 1 and unnamed[0] in rows
+    assert got == Counter([(1, one), (1, two), rows[4], rows[8], unnamed[0], *rows[12:]])
