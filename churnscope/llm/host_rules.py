@@ -1,8 +1,9 @@
 """Host-level quality rules (operator 9).
 
 Each document gets base figures in one pass and fails when it is too short or
-mostly repeats itself. Failures of every rule are added up by host (partial
-sums before the shuffle, so a hot host is one row per task). A host's rate is
+mostly repeats itself. Failed documents, whichever rule failed, are counted by
+host (partial sums before the shuffle, so a hot host is one row per task); the
+other figures are reported and decide nothing. A host's rate is
 shrunk towards the rate of all hosts by a beta prior whose mean and strength
 are fitted to the hosts' own rates by the method of moments: a host with few
 documents stays near the common rate, a large one near its own. Hosts whose
