@@ -40,6 +40,7 @@ import functools
 import hashlib
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -64,8 +65,8 @@ RANGE = 1 << 14
 KEPT_LENGTH, KEPT_BYTES = 64, 48 << 20
 #: Pairs a task adds up at once, and the most rows of a broadcast pair table (16 bytes each).
 PAIRS_HELD, BROADCAST_PAIRS = 1_000_000, 2_000_000
-#: Bytes of text that one output batch stands for.
-BATCH_BYTES = 2 << 20
+#: Characters of text whose stretches are looked up, and encoded where they are new, together.
+SLICE = 1 << 19
 #: Places where no token crosses: a space after a character that is none, before a visible one.
 CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 LOOSE = re.compile(r" (?:\s|\Z)")
@@ -104,16 +105,29 @@ class Fragment:
     tail: tuple[Tokens, Tokens] = field(default_factory=lambda: (Tokens(), Tokens()))
 
 
-def links(a: Tokens, b: Tokens) -> list[int]:
-    """The overlapping token pairs of streams over the same bytes: one between every two neighbouring ends of either."""
-    ends_a, ends_b = np.cumsum(a.lengths), np.cumsum(b.lengths)
-    ends = np.union1d(ends_a, ends_b)
-    ids_a, ids_b = np.array(a.ids, np.int64)[np.searchsorted(ends_a, ends)], np.array(b.ids, np.int64)[np.searchsorted(ends_b, ends)]
-    return (ids_a << 32 | ids_b).tolist()
-
-
-def group_text(a: Tokens, b: Tokens) -> bytes:
-    return (",".join(map(str, a.ids)) + "|" + ",".join(map(str, b.ids))).encode()
+def closed(a: Tokens, b: Tokens) -> tuple[list[bytes], list[int]]:
+    """Group texts and links of two streams over the same bytes, walked once: a link between every two neighbouring
+    ends of either, a group up to every end of both."""
+    ids_a, ids_b, lengths_a, lengths_b = a.ids, b.ids, a.lengths, b.lengths
+    groups, pairs, n = [], [], len(ids_a)
+    i = j = from_a = from_b = ahead = 0  # ``ahead``: by how many bytes A's end lies behind B's
+    if n:
+        ahead = lengths_a[0] - lengths_b[0]
+    while i < n:
+        pairs.append(ids_a[i] << 32 | ids_b[j])
+        if ahead < 0:
+            i += 1
+            ahead += lengths_a[i]
+        elif ahead > 0:
+            j += 1
+            ahead -= lengths_b[j]
+        else:
+            i, j = i + 1, j + 1
+            groups.append((",".join(map(str, ids_a[from_a:i])) + "|" + ",".join(map(str, ids_b[from_b:j]))).encode())
+            from_a, from_b = i, j
+            if i < n:
+                ahead = lengths_a[i] - lengths_b[j]
+    return groups, pairs
 
 
 def compose(parts: list[Fragment]) -> Fragment:
@@ -130,9 +144,10 @@ def compose(parts: list[Fragment]) -> Fragment:
         if not out.cut:
             out.cut, out.head = True, mid
         elif mid[0].ids or mid[1].ids:  # else a common end meets itself
-            out.groups.append(group_text(*mid))
-            out.n_groups += 1
-            for p in links(*mid):
+            groups, pairs = closed(*mid)
+            out.groups += groups
+            out.n_groups += len(groups)
+            for p in pairs:
                 out.pairs[p] = out.pairs.get(p, 0) + 1
         out.groups += x.groups
         out.n_groups += x.n_groups
@@ -158,12 +173,8 @@ def stretch(a: Tokens, b: Tokens, before: tuple[int, int] = (0, 0)) -> Fragment:
     if not at_a:
         return Fragment(len(a.ids), len(b.ids), False, (a, b))
     out = Fragment(len(a.ids), len(b.ids), True, (a.slice(0, at_a[0]), b.slice(0, at_b[0])))
-    for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:]):
-        group = (a.slice(i, j), b.slice(k, m))
-        out.groups.append(group_text(*group))
-        for p in links(*group):
-            out.pairs[p] = out.pairs.get(p, 0) + 1
-    out.n_groups = len(out.groups)
+    out.groups, pairs = closed(a.slice(at_a[0], at_a[-1]), b.slice(at_b[0], at_b[-1]))
+    out.n_groups, out.pairs = len(out.groups), dict(Counter(pairs))
     out.tail = (a.slice(at_a[-1], None), b.slice(at_b[-1], None))
     return out
 
@@ -183,16 +194,6 @@ def byte_ranges(a: Tokens, b: Tokens, size: int = RANGE) -> list[Fragment]:
 # ---------------------------------------------------------------- the two tokenizers
 
 
-class Word:
-    """What a kept stretch adds to a document whose streams both end where it starts."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "pairs", "counts")
-
-    def __init__(self, whole: Fragment):
-        self.n_a, self.n_b, self.n_groups, self.text = whole.n_a, whole.n_b, whole.n_groups, b";".join(whole.groups)
-        self.pairs, self.counts = np.array([*whole.pairs], np.int64), np.array([*whole.pairs.values()], np.int64)
-
-
 @dataclass
 class Document:
     """A text from one common end to another: a fragment without anything open."""
@@ -219,8 +220,13 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.kept: dict[str, Word | None] = {}
-        self.size = 0
+        self.clear()
+
+    def clear(self) -> None:
+        """Empties the table of stretches: their numbers, and by number counts, texts and a run of pairs in one array."""
+        self.kept: dict[str, int] = {}
+        self.texts: list[bytes] = []
+        self.n_a, self.n_b, self.n_groups, self.starts, self.pairs, self.size = array("q"), array("q"), array("q"), array("q", [0]), array("q"), 0
 
     def streams(self, text: str) -> tuple[Tokens, Tokens] | None:
         """Tokens of a space and ``text``; None where joined tokens differ from it."""
@@ -242,14 +248,27 @@ class Aligner:
         long = sum(found[0].lengths) > RANGE
         return compose([START, *(byte_ranges(*found) if long else [stretch(*found)])])
 
-    def word(self, text: str) -> Word | None:
-        """A short stretch, from the table; the table starts anew beyond its bytes."""
-        if self.size > KEPT_BYTES:
-            self.kept, self.size = {}, 0
-        whole = self.whole(text)
-        out = self.kept[text] = None if whole is None else Word(whole)
-        self.size += 400 + 4 * len(text) + (len(out.text) + 16 * len(out.pairs) if out else 0)
-        return out
+    def learn(self, texts: list[str]) -> None:
+        """Short stretches into the table, encoded together; those whose bytes differ have a negative number."""
+        if not texts:
+            return
+        tokens, pieces = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1)
+        for text, found, ids_b in zip(texts, tokens, pieces):
+            ids_a, want = found.ids, b" " + text.encode()
+            of_a, of_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
+            self.size += 250 + 4 * len(text)
+            if b"".join(of_a) != want or b"".join(of_b) != want:
+                self.kept[text] = -1
+                continue
+            groups, pairs = closed(Tokens(ids_a, list(map(len, of_a))), Tokens(ids_b, list(map(len, of_b))))
+            self.kept[text] = len(self.texts)
+            self.texts.append(b";".join(groups))
+            self.n_a.append(len(ids_a))
+            self.n_b.append(len(ids_b))
+            self.n_groups.append(len(groups))
+            self.pairs.extend(pairs)
+            self.starts.append(len(self.pairs))
+            self.size += len(self.texts[-1]) + 8 * len(pairs)
 
     def stretches(self, text: str) -> list[str]:
         """``text`` cut where no token crosses, without the spaces at the cuts."""
@@ -260,28 +279,41 @@ class Aligner:
         first, *rest = CUT.split(" " + text)
         return [first[1:], *rest]
 
-    def align(self, text: str) -> Document | None:
-        """The closed fragment of ``text``, which starts and ends at common ends; None where bytes differ."""
-        parts = self.stretches(text)
-        seen, texts, pairs, counts = Counter(parts), {}, [], []
-        n_a = n_b = n_groups = 0
+    def align_all(self, texts: list[str | None]) -> list[Document | None]:
+        """The closed fragments of texts, which start and end at common ends; None where bytes differ or none are."""
+        if self.size > KEPT_BYTES:
+            self.clear()
+        cut = [self.stretches(t) if t else None for t in texts]
+        self.learn([*dict.fromkeys(p for parts in cut for p in parts or () if len(p) <= KEPT_LENGTH and p not in self.kept)])
+        table = [np.array(x) for x in (self.n_a, self.n_b, self.n_groups, self.starts, self.pairs)]
+        return [self.document(parts, *table) if parts else None for parts in cut]
+
+    def document(self, parts: list[str], n_a, n_b, n_groups, starts, pool) -> Document | None:
+        """A document of its stretches, each distinct one looked up once."""
+        seen, texts, numbers, times, long = Counter(parts), {}, [], [], Fragment(cut=True)
         for part, n in seen.items():
             if len(part) <= KEPT_LENGTH:
-                word = self.kept[part] if part in self.kept else self.word(part)
+                number = self.kept[part]
+                if number < 0:
+                    return None
+                texts[part] = self.texts[number]
+                numbers.append(number)
+                times.append(n)
             else:
                 whole = self.whole(part)
-                word = whole and Word(whole)
-            if word is None:
-                return None
-            n_a += n * word.n_a
-            n_b += n * word.n_b
-            n_groups += n * word.n_groups
-            texts[part] = word.text
-            pairs.append(word.pairs)
-            counts.append(word.counts if n == 1 else word.counts * n)
-        held, turn = np.unique(np.concatenate(pairs), return_inverse=True)
-        counts = np.bincount(turn, np.concatenate(counts), len(held)).astype(np.int64)  # sums far below 2 ** 53
-        return Document(n_a, n_b, n_groups, b";".join([texts[p] for p in parts]), held, counts)
+                if whole is None:
+                    return None
+                texts[part] = b";".join(whole.groups)
+                long = compose([long, *[whole] * n])
+        at, n = np.array(numbers, np.int64), np.array(times, np.int64)
+        runs = starts[at + 1] - starts[at]
+        ends = np.cumsum(runs)
+        pairs = pool[np.repeat(starts[at] - ends + runs, runs) + np.arange(ends[-1] if len(ends) else 0)]
+        pairs, weights = np.concatenate([pairs, np.array([*long.pairs], np.int64)]), np.concatenate([np.repeat(n, runs), np.array([*long.pairs.values()], np.int64)])
+        pairs, turn = np.unique(pairs, return_inverse=True)
+        counts = np.bincount(turn, weights, len(pairs)).astype(np.int64)  # sums far below 2 ** 53
+        total = [int(c[at] @ n) for c in (n_a, n_b, n_groups)]
+        return Document(total[0] + long.n_a, total[1] + long.n_b, total[2] + long.n_groups, b";".join([texts[p] for p in parts]), pairs, counts)
 
 
 @functools.lru_cache(maxsize=1)
@@ -332,25 +364,26 @@ def done_row(doc_id: int | None, x: Document | None) -> tuple:
     return (doc_id, x.n_a, x.n_b, x.n_groups, hashlib.sha256(x.groups).hexdigest(), x.pairs, x.counts)
 
 
-def in_slices(rows: Iterator[tuple], size: Iterator[int], names: list[str], types: list) -> Iterator[pa.RecordBatch]:
-    held, total = [], 0
-    for row, n in zip(rows, size):
-        held.append(row)
-        total += n
-        if total >= BATCH_BYTES:
-            yield batch_of(names, types, held)
-            held, total = [], 0
+def slices_of(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[list[tuple], list[str | None]]]:
+    """Keys and texts of a batch, about ``SLICE`` characters at a time."""
+    held, texts, size = [], [], 0
+    for *key, text in zip(*(batch.column(c).to_pylist() for c in keys), batch.column("text")):
+        held.append(tuple(key))
+        texts.append(text.as_py())
+        size += len(texts[-1] or "")
+        if size >= SLICE:
+            yield held, texts
+            held, texts, size = [], [], 0
     if held:
-        yield batch_of(names, types, held)
+        yield held, texts
 
 
 def short_documents(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = aligner(path_a, path_b)
         for batch in batches:
-            texts = batch.column("text")
-            rows = (done_row(d, at.align(t.as_py()) if t.as_py() else None) for d, t in zip(batch.column("doc_id").to_pylist(), texts))
-            yield from in_slices(rows, (len(t.as_py() or "") for t in texts), DONE_NAMES, DONE_TYPES)
+            for keys, texts in slices_of(batch, ["doc_id"]):
+                yield batch_of(DONE_NAMES, DONE_TYPES, [done_row(*k, x) for k, x in zip(keys, at.align_all(texts))])
 
     return rows.mapInArrow(run, DONE)
 
@@ -380,9 +413,8 @@ def long_documents(rows: DataFrame, path_a: str, path_b: str, size: int) -> Data
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = aligner(path_a, path_b)
         for batch in batches:
-            texts = batch.column("text")
-            keys = zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "chunk")))
-            yield from in_slices(((*k, *fragment_row(at.align(t.as_py()))) for k, t in zip(keys, texts)), (len(t.as_py()) for t in texts), ["row", "doc_id", "chunk", *FRAGMENT_NAMES], [pa.int64()] * 3 + FRAGMENT_TYPES)
+            for keys, texts in slices_of(batch, ["row", "doc_id", "chunk"]):
+                yield batch_of(["row", "doc_id", "chunk", *FRAGMENT_NAMES], [pa.int64()] * 3 + FRAGMENT_TYPES, [(*k, *fragment_row(x)) for k, x in zip(keys, at.align_all(texts))])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []

@@ -142,7 +142,7 @@ def test_table_of_stretches_is_bounded(monkeypatch):
     monkeypatch.setattr(alignment, "KEPT_BYTES", 100_000)
     at = alignment.Aligner(A, B)
     for k in range(3000):
-        at.align(f"w{k} 漢{k}字 common")
+        at.align_all([f"w{k} 漢{k}字 common"])
         assert len(at.kept) < 300 and at.size < 110_000
-    at.align("漢字" * 5000)
+    at.align_all(["漢字" * 5000])
     assert all(len(k) <= alignment.KEPT_LENGTH for k in at.kept)
