@@ -50,8 +50,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm.bpe import byte_chars
-from churnscope.llm.common import read, shuffle_width, stored_steps, write_table
+from churnscope.llm.bpe import Bounded, byte_chars
+from churnscope.llm.common import read, released, shuffle_width, stored_steps, write_table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -317,10 +317,16 @@ class Aligner:
 
 
 @functools.lru_cache(maxsize=1)
-def aligner(path_a: str, path_b: str) -> Aligner:
+def loaded(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
+def aligner(path_a: str, path_b: str) -> Aligner:
+    """The process's tokenizers; tables of other operators are emptied."""
+    Bounded.turn("alignment")
+    return loaded(path_a, path_b)
+
+
 # ---------------------------------------------------------------- documents
 
 
@@ -385,7 +391,7 @@ def short_documents(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for keys, texts in slices_of(batch, ["doc_id"]):
                 yield batch_of(DONE_NAMES, DONE_TYPES, [done_row(*k, x) for k, x in zip(keys, at.align_all(texts))])
 
-    return rows.mapInArrow(run, DONE)
+    return rows.mapInArrow(released(run), DONE)
 
 
 def chunks_of(text: str, size: int) -> Iterator[str]:

@@ -22,6 +22,7 @@ import base64
 import functools
 import os
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnscope.llm.common import drop_clashing, read
+from churnscope.llm.common import drop_clashing, read, released
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries kept per process: chunks of text, and single matches.
-CHUNKS_KEPT, PIECES_KEPT = 200_000, 300_000
+#: Bytes of tables kept per process: chunks of text, and single matches.
+CHUNKS_KEPT, PIECES_KEPT = 40 << 20, 48 << 20
 #: Bytes of text encoded before an output batch is handed on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def byte_chars() -> list[str]:
@@ -58,18 +59,40 @@ def merge_rules(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 class Bounded(dict):
-    """A table that fills itself by ``make`` and starts anew beyond ``limit`` entries."""
+    """A table that fills itself by ``make`` and starts anew beyond ``limit`` bytes of keys, values and places.
 
-    def __init__(self, make, limit: int):
+    An entry of more than a thousandth of the limit is made anew each time. A table with an owner is emptied when
+    another operator has its ``turn`` in the process."""
+
+    tables: list[Bounded] = []
+
+    def __init__(self, make, limit: int, owner: str | None = None):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.owner, self.size = make, limit, owner, 0
+        if owner:
+            Bounded.tables.append(self)
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.make(key)
+        size = 100 + sys.getsizeof(key) + sys.getsizeof(value)
+        if 1000 * size > self.limit:
+            return value
+        if self.size + size > self.limit:
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
+        self.size += size
         return value
 
+    def clear(self):
+        super().clear()
+        self.size = 0
+
+    @staticmethod
+    def turn(owner: str) -> None:
+        for table in Bounded.tables:
+            if table.owner != owner:
+                table.clear()
+
 
 class ByteBpe:
     """Encoder and decoder of one rank file; ids travel as little-endian 32-bit integers."""
@@ -85,8 +108,8 @@ class ByteBpe:
         self.loose = re.compile(r" (?:\s|\Z)|\0")
         self.plain = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|<>()]+)?")
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.pieces = Bounded(self._piece, PIECES_KEPT)
-        self.chunks = Bounded(self._chunk, CHUNKS_KEPT)
+        self.pieces = Bounded(self._piece, PIECES_KEPT, "bpe")
+        self.chunks = Bounded(self._chunk, CHUNKS_KEPT, "bpe")
         self.packed = [i.to_bytes(4, "little") for i in range(max(ranks.values(), default=-1) + 1)]
 
     def _piece(self, piece: str) -> bytes:
@@ -119,10 +142,16 @@ class ByteBpe:
 
 
 @functools.lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> ByteBpe:
+def loaded(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+def codec(path: str, pattern: str) -> ByteBpe:
+    """The process's codec; tables of other operators are emptied."""
+    Bounded.turn("bpe")
+    return loaded(path, pattern)
+
+
 def slices(column: pa.Array) -> Iterator[list]:
     """The values of a text or binary column, a bounded number of bytes at a time (one value at least)."""
     values, size = [], 0
@@ -161,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out])
                 at += len(texts)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(released(run), out)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -178,7 +207,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
                 decoded = [bpe.decode(x.as_py() or []) for x in part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(decoded, pa.binary())], names=[f.name for f in out])
 
-    return encoded.mapInArrow(run, out)
+    return encoded.mapInArrow(released(run), out)
 
 
 def decode_text(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnscope.session import checkpoint_dir, write_table
 
-__all__ = ["WORD", "drop_clashing", "new_folder", "read", "shuffle_width", "stored_steps", "word_count", "write_table"]
+__all__ = ["WORD", "drop_clashing", "new_folder", "packed", "read", "released", "shuffle_width", "stored_steps", "unpacked", "word_count", "write_table"]
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +30,32 @@ def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` in one struct, ``_in``, so that an operator's own names cannot meet the caller's."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_in")
+
+
+def unpacked(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` out of the struct that ``packed`` made of them."""
+    return [F.col(f"_in.`{c}`").alias(c) for c in df.columns]
+
+
+def released(run: Callable) -> Callable:
+    """``run`` for mapInArrow, after which the worker gives the memory that it no longer uses back to the system."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # in the GNU library only
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -39,15 +39,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnscope.llm.bpe import Bounded, slices
-from churnscope.llm.common import read, shuffle_width, stored_steps, write_table
+from churnscope.llm.common import read, released, shuffle_width, stored_steps, write_table
 
 WIDTH, PERCENT = 4, 85
 #: Bound of the frequent shingles, and shingles a task counts at once.
-FREQUENT, CHUNK = 1 << 20, 2_000_000
+FREQUENT, CHUNK = 1 << 20, 1_000_000
 #: Members that one copy of a pivot's set serves.
 PIVOT_SHARE = 2000
 #: Words of 64 parity bits that summarise a set.
@@ -56,8 +57,8 @@ PARITY = 8
 WIDE_FROM = 1024
 #: Bits of the array that picks documents, at most (16 MB).
 SIEVE_BITS = 1 << 27
-#: Word hashes kept per process.
-WORDS_KEPT = 200_000
+#: Bytes of word hashes, and of the group ids a task has written, that are kept.
+WORDS_KEPT, GROUPS_KEPT = 24 << 20, 24 << 20
 _WORDS: Bounded | None = None
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -76,7 +77,7 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
 
     global _WORDS
     if _WORDS is None:
-        _WORDS = Bounded(xxhash.xxh3_64_intdigest, WORDS_KEPT)
+        _WORDS = Bounded(xxhash.xxh3_64_intdigest, WORDS_KEPT, "shingles")
     words = (text or b"").lower().split()  # on bytes both know ASCII only
     if not words:
         return np.empty(0, np.int64)
@@ -129,6 +130,7 @@ def frequent(docs: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        Bounded.turn("shingles")
 
         def counted():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -146,7 +148,7 @@ def frequent(docs: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.nda
         if size:
             yield from counted()
 
-    counts = docs.select(F.col("text").cast("binary")).mapInArrow(run, "shingle long, n long, total boolean").groupBy("shingle", "total").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col("text").cast("binary")).mapInArrow(released(run), "shingle long, n long, total boolean").groupBy("shingle", "total").agg(F.sum("n").alias("n"))
     counts = write_table(counts, "shingle-counts")
     total = counts.filter("total").agg(F.sum("n")).first()[0] or 0
     # counts add up to the total at most, so no more than `most` rows pass
@@ -166,7 +168,8 @@ def prefixes(docs: DataFrame, values: np.ndarray, rank: np.ndarray, width: int,
     shared = docs.sparkSession.sparkContext.broadcast((values, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (values, rank), seen = shared.value, Bounded(lambda g: 0, 200_000)
+        Bounded.turn("shingles")
+        (values, rank), seen = shared.value, Bounded(lambda g: 0, GROUPS_KEPT)
         for batch in batches:
             at = 0
             for texts in slices(batch.column("text")):
@@ -196,7 +199,9 @@ def prefixes(docs: DataFrame, values: np.ndarray, rank: np.ndarray, width: int,
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return write_table(rows.mapInArrow(run, "doc_id long, n long, cid long, gid long, prefix array<bigint>, n_rare int, parity array<bigint>, wide array<bigint>"), "prefixes")
+    out = write_table(rows.mapInArrow(released(run), "doc_id long, n long, cid long, gid long, prefix array<bigint>, n_rare int, parity array<bigint>, wide array<bigint>"), "prefixes")
+    shared.destroy()  # the step is stored
+    return out
 
 
 def index(rows: DataFrame, percent: int) -> DataFrame:
@@ -251,8 +256,8 @@ def alike_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return out.filter(alike(percent, "a_", "b_")).select("a", "b")
 
 
-def compared(pairs: DataFrame, arrays: DataFrame, passes: Callable[[np.ndarray, int, np.ndarray, int], bool]) -> DataFrame:
-    """Stored: the pairs (a, b) whose arrays (id, n, values) pass.
+def compared(pairs: DataFrame, arrays: DataFrame, passes: Callable[[np.ndarray, int, np.ndarray, int], bool], shared: list[Broadcast] | None = None) -> DataFrame:
+    """Stored: the pairs (a, b) whose arrays (id, n, values) pass; ``shared`` values, no longer used then, are destroyed.
 
     Each array travels to its pivots b, a popular pivot's own array to several tasks with a share of the members each."""
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / PIVOT_SHARE).cast("int").alias("shares"))
@@ -275,18 +280,21 @@ def compared(pairs: DataFrame, arrays: DataFrame, passes: Callable[[np.ndarray,
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    return write_table(sent.select("id", "b", "share", "role", "n", "values").mapInArrow(run, "a long, b long"), "compared").distinct()
+    out = write_table(sent.select("id", "b", "share", "role", "n", "values").mapInArrow(released(run), "a long, b long"), "compared")
+    for value in shared or []:
+        value.destroy()
+    return out.distinct()
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
     return len(np.intersect1d(x, y, assume_unique=True))
 
 
-def held_by(rows: DataFrame, pairs: DataFrame, values: str) -> DataFrame:
-    """(id, n, values) of the groups in pairs (a, b) that have these values."""
+def held_by(rows: DataFrame, pairs: DataFrame, values: str) -> tuple[DataFrame, list[Broadcast]]:
+    """(id, n, values) of the groups in pairs (a, b) that have these values, and what its plan shares."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    held = sifted(rows.filter(F.col(values).isNotNull()).select(F.col("gid").alias("id"), "n", F.col(values).alias("values")), "id", asked)
-    return held.join(asked, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"])
+    held, shared = sifted(rows.filter(F.col(values).isNotNull()).select(F.col("gid").alias("id"), "n", F.col(values).alias("values")), "id", asked)
+    return held.join(asked, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"]), [shared]
 
 
 def wide_alike(pairs: DataFrame, known: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -300,7 +308,8 @@ def wide_alike(pairs: DataFrame, known: DataFrame, rows: DataFrame, percent: int
         pairs = pairs.join(large.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_wide")), c, "left")
     pairs = write_table(pairs.select("a", "b", (F.col("a_wide") & F.col("b_wide")).alias("wide")), "sized-pairs")
     wide = pairs.filter("wide").select("a", "b")
-    return pairs.filter("wide is null").select("a", "b").unionByName(compared(wide, held_by(rows, wide, "wide"), passes))
+    held, shared = held_by(rows, wide, "wide")
+    return pairs.filter("wide is null").select("a", "b").unionByName(compared(wide, held, passes, shared))
 
 
 def near_prefixes(pairs: DataFrame, known: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -314,7 +323,8 @@ def near_prefixes(pairs: DataFrame, known: DataFrame, rows: DataFrame, percent:
         return common(x, y) + rest >= -(-percent * (nx + ny) // (100 + percent))
 
     pairs = write_table(wide_alike(pairs.distinct(), known, rows, percent), "group-pairs")
-    return compared(pairs, held_by(rows, pairs, "prefix"), passes)
+    held, shared = held_by(rows, pairs, "prefix")
+    return compared(pairs, held, passes, shared)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -339,8 +349,8 @@ def sieve(ids: DataFrame) -> tuple[int, np.ndarray]:
     return bits, out
 
 
-def sifted(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows whose ``column`` may be one of ``ids`` (``_id`` long); an exact join is to follow.
+def sifted(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """Rows whose ``column`` may be one of ``ids`` (``_id`` long), and the bits they share; an exact join is to follow.
 
     A bit array of bounded size keeps most other rows out of that join's shuffle; where there are too many ids for the
     bits, the join does all the work."""
@@ -353,7 +363,7 @@ def sifted(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
             keep = (word[spot >> 6] >> (spot & 63)) & 1 == 1
             yield batch.select(names).filter(pa.array(keep))
 
-    return rows.withColumn("_h", F.xxhash64(column)).mapInArrow(some, rows.schema)
+    return rows.withColumn("_h", F.xxhash64(column)).mapInArrow(released(some), rows.schema), shared
 
 
 def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -361,17 +371,20 @@ def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int)
     of = rows.filter(F.col("n") > 0).groupBy("cid").agg(F.min("doc_id").alias("_id")).join(wanted, "cid", "left_semi")
     of = write_table(of.select("_id").distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = sifted(texts, "doc_id", of)
+    texts, shared = sifted(texts, "doc_id", of)
     texts = texts.join(of, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Bounded.turn("shingles")
         for batch in batches:
             for part in slices(batch.column(0)):
                 found = [s for s in (shingles(t, width) for t in part) if len(s)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "n", "values"])
 
-    return write_table(texts.mapInArrow(run, "id long, n long, values array<bigint>"), "class-sets")
+    out = write_table(texts.mapInArrow(released(run), "id long, n long, values array<bigint>"), "class-sets")
+    shared.destroy()
+    return out
 
 
 def spread(edges: DataFrame, rounds: int) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnscope.llm.bpe import codec, slices
-from churnscope.llm.common import read, write_table
+from churnscope.llm.common import read, released, write_table
 
 #: Lengths per block of the suffix sums.
 BLOCK = 1024
@@ -35,7 +35,7 @@ def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             found = [len(bpe.encode(t or "")) // 4 for texts in slices(batch.column(0)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["length"])
 
-    return docs.select("text").mapInArrow(run, "length long")
+    return docs.select("text").mapInArrow(released(run), "length long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
