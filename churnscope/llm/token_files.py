@@ -11,9 +11,14 @@ files as a whole. An index row per document (file, first id in the file,
 number of ids) lets a reader fetch the frames that hold the wanted documents
 and no others; every frame it decompresses is checked.
 
-A file is written under a name of its own attempt and then moved to its final
-name, so a repeated or speculative task leaves one complete file with the same
-bytes. Folders are addressed by URI through Arrow's file systems.
+A file's name holds its task's attempt, and the index, which only attempts that
+Spark commits write, names the files that count. So a repeated or speculative
+task never writes over another's file, and nothing is renamed. Files of lost
+attempts are removed once the index stands. Folders are addressed by URI
+through Arrow's file systems.
+
+Strings of special tokens in a text become those tokens, as the library's plain
+call does; ``plain_specials`` takes them as ordinary text.
 
 Defined results: a null or empty text holds the end id alone; rows with a null
 ``doc_id`` come first; equal ids are ordered by text, null text first; every
@@ -36,14 +41,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnscope.llm.bpe import Bounded, byte_chars, slices
-from churnscope.llm.common import new_folder, read, shuffle_width, write_table
+from churnscope.llm.common import new_folder, read, released, shuffle_width, write_table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Ids per frame at most; a longer document spans frames.
 FRAME_IDS = 65_536
-#: Entries kept per process: words as they stand, and their letters.
-WORDS_KEPT, STEMS_KEPT = 400_000, 600_000
+#: Bytes of tables kept per process: words as they stand, and their letters.
+WORDS_KEPT, STEMS_KEPT = 80 << 20, 80 << 20
 #: Magic numbers and descriptor (checksums present) of the seekable format.
 SKIPPABLE, SEEKABLE, DESCRIPTOR = 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -54,16 +59,16 @@ class WordBpe:
     A word of Latin letters and plain punctuation is lower-cased, cut where the letters end and handed to the
     library's model; any other word goes through the whole tokenizer. ``tests`` hold both against whole texts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
         self.model, self.chars = self.tokenizer.model, byte_chars()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|<>()]+)?")
-        self.stems = Bounded(self._stem, STEMS_KEPT)
-        self.words = Bounded(self._word, WORDS_KEPT)
+        self.stems = Bounded(self._stem, STEMS_KEPT, "token files")
+        self.words = Bounded(self._word, WORDS_KEPT, "token files")
 
     def _stem(self, stem: str) -> bytes:
         shown = stem if stem.isascii() else "".join(map(self.chars.__getitem__, stem.encode()))
@@ -80,8 +85,14 @@ class WordBpe:
 
 
 @functools.lru_cache(maxsize=2)
-def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+def loaded(path: str, plain_specials: bool) -> WordBpe:
+    return WordBpe(path, plain_specials)
+
+
+def word_bpe(path: str, plain_specials: bool = False) -> WordBpe:
+    """The process's tokenizer; tables of other operators are emptied."""
+    Bounded.turn("token files")
+    return loaded(path, plain_specials)
 
 
 def file_system(uri: str):
@@ -91,15 +102,14 @@ def file_system(uri: str):
 
 
 class FrameWriter:
-    """Writes ids to one file; ``close`` adds the seek table and gives the file its final name."""
+    """Writes ids to one file; ``close`` adds the seek table."""
 
     def __init__(self, folder: str, name: str, level: int):
         import zstandard
 
         self.fs, path = file_system(folder)
         self.fs.create_dir(path, recursive=True)
-        self.part, self.final = f"{path}/.{name}-{uuid.uuid4().hex}", f"{path}/{name}"
-        self.out = self.fs.open_output_stream(self.part)
+        self.out = self.fs.open_output_stream(f"{path}/{name}", compression=None)
         self.zstd = zstandard.ZstdCompressor(level=level)
         self.pending, self.table, self.n_ids = bytearray(), [], 0
 
@@ -126,7 +136,6 @@ class FrameWriter:
         rows = b"".join(struct.pack("<III", *t) for t in self.table)
         self.out.write(struct.pack("<II", SKIPPABLE, len(rows) + 9) + rows + struct.pack("<IBI", len(self.table), DESCRIPTOR, SEEKABLE))
         self.out.close()
-        self.fs.move(self.part, self.final)
 
 
 class FrameReader:
@@ -173,7 +182,7 @@ class FrameReader:
         return b"".join(parts)
 
 
-def write_documents(docs: DataFrame, folder: str, path: str, end_id: int = 1, level: int = 3) -> DataFrame:
+def write_documents(docs: DataFrame, folder: str, path: str, end_id: int = 1, level: int = 3, plain_specials: bool = False) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) with the tokenizer file at ``path`` and writes the files to ``folder``.
 
     Returns the stored index: doc_id, file, pos (first id in the file), n_tokens (end id included)."""
@@ -182,7 +191,8 @@ def write_documents(docs: DataFrame, folder: str, path: str, end_id: int = 1, le
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, name, writer = word_bpe(path), f"part-{TaskContext.get().partitionId():06d}.zst", None
+        task = TaskContext.get()
+        bpe, name, writer = word_bpe(path, plain_specials), f"part-{task.partitionId():06d}-{task.taskAttemptId():x}-{uuid.uuid4().hex[:8]}.zst", None
         for batch in batches:
             writer, at = writer or FrameWriter(folder, name, level), 0
             for texts in slices(batch.column("text")):
@@ -195,7 +205,20 @@ def write_documents(docs: DataFrame, folder: str, path: str, end_id: int = 1, le
     width = shuffle_width(docs.sparkSession)
     text = F.col("text")
     ordered = docs.select(F.col("doc_id").cast("long"), text.cast("binary").alias("text")).repartitionByRange(width, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return write_table(ordered.mapInArrow(run, "doc_id long, file string, pos long, n_tokens long"), "token-index")
+    index = write_table(ordered.mapInArrow(released(run), "doc_id long, file string, pos long, n_tokens long"), "token-index")
+    remove_lost(index, folder)
+    return index
+
+
+def remove_lost(index: DataFrame, folder: str) -> None:
+    """Removes files that no index row names; there is at most one file a task and attempt."""
+    from pyarrow import fs
+
+    store, path = file_system(folder)
+    named = {r["file"] for r in index.select("file").distinct().collect()}
+    for found in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if found.is_file and found.base_name not in named:
+            store.delete_file(found.path)
 
 
 def read_documents(index: DataFrame, folder: str) -> DataFrame:
