@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.llm.bpe import slices
-from churnscope.llm.common import drop_clashing, read, write_table
+from churnscope.llm.common import drop_clashing, packed, read, released, unpacked, write_table
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A host is rejected from this shrunk share of failed documents on.
@@ -78,16 +78,17 @@ def figures(text: bytes) -> tuple[int, int, int, int, int]:
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text, with the base figures and ``base_failed``."""
     docs = drop_clashing(docs, [*FIGURES, "base_failed"])
-    keep = [c for c in docs.columns if c != text]
-    out = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in FIGURES)])
+    kept = docs.drop(text)
+    rows = docs.select(packed(kept), F.col(f"`{text}`").cast("binary").alias("_text"))
+    out = T.StructType([rows.schema["_in"], *(T.StructField(c, T.LongType()) for c in FIGURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [figures(t or b"") for texts in slices(batch.column(text)) for t in texts]
+            found = [figures(t or b"") for texts in slices(batch.column("_text")) for t in texts]
             if found:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in zip(*found))], names=[f.name for f in out])
+                yield pa.RecordBatch.from_arrays([batch.column("_in"), *(pa.array(x, pa.int64()) for x in zip(*found))], names=[f.name for f in out])
 
-    measured = docs.withColumn(text, F.col(text).cast("binary")).mapInArrow(run, out)
+    measured = rows.mapInArrow(released(run), out).select(*unpacked(kept), *FIGURES)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return measured.withColumn("base_failed", failed)
 
@@ -112,8 +113,9 @@ def judge(measured: DataFrame, host: str = "source") -> DataFrame:
     The verdicts hold rejected hosts only and are joined as Spark sees fit (a hot host is never dealt by its name
     where the few verdicts are broadcast by their measured size; AQE splits it otherwise)."""
     rejected = host_rates(measured, host).filter(F.col("shrunk_rate") >= HOST_LIMIT).select(F.col("host").alias("_host"), F.lit(True).alias("_rejected"))
-    joined = drop_clashing(measured, ["kept"]).join(rejected, F.col(host).eqNullSafe(F.col("_host")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("_rejected").isNull()).drop("_host", "_rejected")
+    rows = drop_clashing(measured, ["kept"])
+    joined = rows.select(packed(rows), F.col(f"`{host}`").alias("_of"), "base_failed").join(rejected, F.col("_of").eqNullSafe(F.col("_host")), "left")
+    return joined.select(*unpacked(rows), (~F.col("base_failed") & F.col("_rejected").isNull()).alias("kept"))
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

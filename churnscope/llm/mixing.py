@@ -15,9 +15,9 @@ Targets fill up by weight: a source's target stops at ``max_epochs`` times its
 size, and what it cannot take goes to the others by weight.
 
 Defined results: a null source is a source of its own, in last place; a null
-or empty text has size 0 and is never taken; a null id is hashed as text;
-equal keys are ordered by size and by the hash of the row, so reruns agree;
-identical rows are counted one by one; empty input gives an empty result;
+or empty text has size 0 and is never taken; the key
+hashes id, size and ``tie``, null as a word, so rows without ids spread like
+others; rows that agree in all three are counted one by one, in no order; empty input gives an empty result;
 input columns named like an output column are replaced.
 """
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from churnscope.llm.common import drop_clashing, read, word_count, write_table
+from churnscope.llm.common import drop_clashing, packed, read, unpacked, word_count, write_table
 
 #: Leading bits of the 60-bit key that name a bucket.
 KEY_BITS, BUCKET_BITS = 60, 12
@@ -55,11 +55,15 @@ def targets(sizes: DataFrame, weights: list[int], share: float, max_epochs: floa
 def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str = "doc_id", tie: str | None = None, weights: list[int] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = 7) -> DataFrame:
     """``docs`` with source_size, target, ``copies`` (how often the mix holds the row) and taken (copies times size).
 
-    ``tie`` names a column that orders rows of equal id and size."""
+    ``tie`` names a column that tells rows of equal id and size apart."""
     docs = drop_clashing(docs, ADDED)
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
+    names = {"source": source, "size": size, "doc_id": doc_id, "tie": tie}
+    rows = docs.select(packed(docs), *(F.col(f"`{c}`").alias(k) if c else F.lit("").alias(k) for k, c in names.items()))
+    source, size, doc_id = "source", "size", "doc_id"
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (doc_id, size, "tie")]
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), told[0], F.lit(":"), told[1], F.lit(":"), told[2]))
     key = F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
-    keyed = docs.withColumn("_key", key).withColumn("_bucket", F.shiftright("_key", KEY_BITS - BUCKET_BITS))
+    keyed = rows.withColumn("_key", key).withColumn("_bucket", F.shiftright("_key", KEY_BITS - BUCKET_BITS))
 
     sums = keyed.groupBy(F.col(source).alias("source"), "_bucket").agg(F.sum(size).alias("s"))
     goal = targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")), weights, share, max_epochs)
@@ -73,16 +77,16 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
         F.coalesce(F.max(F.when(cut, F.col("_bucket"))), F.lit(-1)).alias("_cut"),
         F.coalesce(F.max(F.when(cut, F.col("before"))), F.lit(0)).alias("_before"),
     )
-    plan = write_table(plan, "mix-plan")  # one row a source, read by both branches
+    plan = write_table(plan, "mix-plan").withColumnRenamed("source_size", "_source_size")  # one row a source, read by both branches
 
     joined = keyed.join(plan, F.col(source).eqNullSafe(F.col("_source")))
     clear = joined.filter(F.col("_bucket") != F.col("_cut")).withColumn("_more", (F.col("_bucket") <= F.col("_whole_to")).cast("long"))
-    order = Window.partitionBy("_source").orderBy("_key", doc_id, size, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("_source").orderBy("_key", doc_id, size, "tie").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("_before") + F.sum(size).over(order)  # a source's rows in one bucket: a 4096th part of it
     on_cut = joined.filter(F.col("_bucket") == F.col("_cut")).withColumn("_more", (2 * upto - F.col(size) <= 2 * F.col("rest")).cast("long"))
     copies = F.when(F.col(size) > 0, F.col("epochs") + F.col("_more")).otherwise(0).cast("long")
     out = clear.unionByName(on_cut).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col(size))
-    return out.select(*docs.columns, *ADDED)
+    return out.select(*unpacked(docs), F.col("_source_size").alias("source_size"), "target", "copies", "taken")
 
 
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -92,20 +96,21 @@ def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    slim = write_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "mix-sizes")
+    slim = write_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("tie")), "mix-sizes")
     return mix(slim, tie="tie").select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS k FROM documents),
+    ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) || ':' || coalesce(md5(text), 'null')), 1, 15))::BIGINT AS k,
+    coalesce(md5(text), 'null') AS tie FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS cap FROM d GROUP BY source),
 r AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 t AS (SELECT source, source_size, least(coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level * w <= cap) * w, cap), cap) AS target FROM l),
 p AS (SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs,
-    sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN 2 * upto - size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM p
 """

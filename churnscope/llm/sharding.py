@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnscope.llm.common import drop_clashing, read, shuffle_width
+from churnscope.llm.common import drop_clashing, packed, read, released, shuffle_width, unpacked
 
 #: Rows a block of a shard holds on average, at most.
 BLOCK_ROWS = 65_536
@@ -103,7 +103,8 @@ def shuffle_to_shards(docs: DataFrame, shards: int, seed: int = 11, block_rows:
     sizes = [counted.get(p, 0) for p in range(max(counted, default=-1) + 1)]
     starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     blocks = max(1, -(-int(starts[-1]) // (shards * block_rows)))
-    out = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in (("shard", T.IntegerType()), ("_block", T.IntegerType()), ("_key", T.LongType())))])
+    rows = docs.select(packed(docs))
+    out = T.StructType([*rows.schema.fields, *(T.StructField(c, t) for c, t in (("shard", T.IntegerType()), ("_block", T.IntegerType()), ("_key", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, at = TaskContext.get().partitionId(), 0
@@ -117,11 +118,11 @@ def shuffle_to_shards(docs: DataFrame, shards: int, seed: int = 11, block_rows:
         if at != len(dealt[0]):
             raise RuntimeError(f"partition {p} had {len(dealt[0])} rows when it was counted; the input must be a stored table")
 
-    exchanged = docs.mapInArrow(run, out).repartition(shuffle_width(spark), "shard", "_block")
+    exchanged = rows.mapInArrow(released(run), out).repartition(shuffle_width(spark), "shard", "_block")
     place = F.row_number().over(Window.partitionBy("shard", "_block").orderBy("_key")) - 1
     placed = exchanged.withColumn("_place", place.cast("long"))
     if blocks == 1:
-        return placed.select(*docs.columns, "shard", F.col("_place").alias("slot"))
+        return placed.select(*unpacked(docs), "shard", F.col("_place").alias("slot"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +136,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int, seed: int = 11, block_rows:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = cells.select(F.col("s").alias("_s"), F.col("b").alias("_b"), before.alias("_before"))
     joined = placed.join(offsets, (F.col("shard") == F.col("_s")) & (F.col("_block") == F.col("_b")))
-    return joined.select(*docs.columns, "shard", (F.col("_before") + F.col("_place")).alias("slot"))
+    return joined.select(*unpacked(docs), "shard", (F.col("_before") + F.col("_place")).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, folder: str) -> None:

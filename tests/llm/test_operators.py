@@ -72,7 +72,7 @@ def test_feistel_is_a_permutation():
 def test_token_files(spark, stored, tmp_path):
     full, empty = stored
     path, folder = P.path("word_bpe_49k.json"), f"file://{tmp_path}/ids"
-    index = token_files.with_start(token_files.write_documents(spark.read.parquet(full + "/documents.parquet"), folder, path))
+    index = token_files.with_start(token_files.write_documents(spark.read.parquet(full + "/documents.parquet"), folder, path, plain_specials=True))
     rows = token_files.read_documents(index, folder).collect()
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
