@@ -578,16 +578,23 @@ ORACLES["S5_export_view"] = (
 # Split and metrics
 # --------------------------------------------------------------------------
 
-def _split_expr() -> str:
-    return f"{sql_uniform(sql_key32(chr(39).join(['customer_id || ', '|', ' || ', str(C.RANDOM_STATE), ''])), '0')} < {C.TEST_SIZE}"
+def _stratified(source: str, stream: int) -> str:
+    """CTE ``ranked``: customers with their rank (from 0) in their class by hash key, and the class's size."""
+    key = f"CAST('0x' || substr(md5(customer_id || '|{C.RANDOM_STATE}|{stream}'), 1, 15) AS BIGINT)"
+    return (f"ranked AS (SELECT *, row_number() OVER (PARTITION BY churn ORDER BY {key}, customer_id) - 1 AS rnk, "
+            f"count(*) OVER (PARTITION BY churn) AS class_n FROM {source})")
+
+
+_IS_TEST = f"rnk < floor({C.TEST_SIZE} * class_n + 0.5)"
 
 
 def metric_ctes(source: str) -> str:
     k = sql_key32(f"customer_id || '|' || '{C.RANDOM_STATE}'")
     return scored_ctes(source) + f""",
+{_stratified('scored', 0)},
 mf AS (
   SELECT customer_id, churn AS y, floor((churn_prob + {sql_uniform(k, '1')}) * 50) / 100.0 AS p
-  FROM scored WHERE {sql_uniform(k, '0')} < {C.TEST_SIZE}
+  FROM ranked WHERE {_IS_TEST}
 ),
 sc AS (SELECT p AS score, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM mf GROUP BY p),
 cum AS (
@@ -622,12 +629,21 @@ for _name, _src in (("M10_binary_metrics", "orders"), ("M10_binary_metrics_event
         f"{r6(c)} AS {c}" for c in ("auc", "avg_precision", "f1", "precision", "recall", "brier_score"))
         + " FROM met")
 
-ORACLES["M3_split"] = (f"WITH {labelled_ctes('orders')} SELECT customer_id, churn, "
-                       f"{sql_uniform(sql_key32(chr(39) + '|' + chr(39)), '0')} < 0 AS is_test FROM cust")
-ORACLES["M3_split"] = (
-    f"WITH {labelled_ctes('orders')} SELECT customer_id, churn, "
-    f"{sql_uniform(sql_key32(f'customer_id || {chr(39)}|{C.RANDOM_STATE}{chr(39)}'), '0')} < {C.TEST_SIZE} "
-    "AS is_test FROM cust")
+ORACLES["M3_split"] = f"WITH {labelled_ctes('orders')}, {_stratified('cust', 0)} SELECT customer_id, churn, {_IS_TEST} AS is_test FROM ranked"
+
+
+def _fold_expr(k: int) -> str:
+    ends, done = [], 0.0
+    for _ in range(k - 1):
+        done += 1.0 / k
+        ends.append(f"(rnk >= floor(CAST({done!r} AS DOUBLE) * class_n + 0.5))::INT")
+    return " + ".join(ends)
+
+
+ORACLES["M9_folds"] = (f"WITH {labelled_ctes('orders')}, {_stratified('cust', 3)} "
+                       f"SELECT customer_id, churn, CAST({_fold_expr(C.CV_FOLDS)} AS INTEGER) AS fold FROM ranked")
+ORACLES["M2_segment_checks"] = (f"WITH {labelled_ctes('orders')} SELECT count(*) AS customers, CAST({C.N_SEGMENTS} AS BIGINT) AS segments, "
+                                "CAST(0 AS BIGINT) AS unnamed, CAST(0 AS BIGINT) AS out_of_order FROM cust")
 
 
 def _d0(a: str, b: str) -> str:
@@ -656,7 +672,7 @@ WITH {losses_ctes('orders').replace('scored AS (', 'scored AS (', 1)},
 v AS (SELECT quantile_cont(loss, {C.MC_CONFIDENCE}) AS var FROM losses),
 st AS (SELECT round_even((SELECT var FROM v), 2) AS var_95,
               round_even(avg(CASE WHEN loss >= (SELECT var FROM v) THEN loss END), 2) AS cvar_95 FROM losses),
-{metric_ctes('orders').split('mf AS (', 1)[1].join(['mf AS (', ''])}
+ranked AS ({metric_ctes('orders').split('ranked AS (', 1)[1]}
 SELECT count(*) AS total_customers,
        CAST(sum(CASE WHEN risk_tier IN ({_AT_RISK}) THEN 1 ELSE 0 END) AS BIGINT) AS at_risk_customers,
        {r6('round_even(sum(CAST(clv AS DECIMAL(38,4))), 2)')} AS total_clv,
@@ -722,3 +738,31 @@ SELECT customer_id, CAST(m AS INTEGER) AS month, {r6('y')} AS spend,
             WHEN prev = 0 THEN CASE WHEN y > 0 THEN CAST('inf' AS DOUBLE) ELSE NULL END
             ELSE {r6('y / prev - 1')} END AS pct_change
 FROM chg"""
+
+
+# --------------------------------------------------------------------------
+# The loss distribution without draws: its moments are plain sums
+# --------------------------------------------------------------------------
+
+def _loss_moments(source: str) -> str:
+    return f"""
+WITH {scored_ctes(source)},
+t AS (SELECT sum(churn_prob * clv) AS m, sqrt(sum(churn_prob * (1 - churn_prob) * clv * clv)) AS sd,
+        sum(churn_prob * (1 - churn_prob) * (1 - 2 * churn_prob) * clv * clv * clv) AS k3 FROM scored)
+SELECT round(m, 3) AS mean_loss, round(sd, 3) AS sd_loss, round(k3 / (sd * sd * sd), 5) AS skewness FROM t"""
+
+
+ORACLES["R2_loss_curve_moments"] = _loss_moments("orders")
+ORACLES["R2_loss_curve_moments_events"] = _loss_moments("events")
+
+ORACLES["W6_deep_page"] = (
+    f"WITH {_S}, o AS (SELECT *, row_number() OVER (ORDER BY churn_prob DESC, customer_id) - 1 AS rnk, count(*) OVER () AS total FROM scored) "
+    f"SELECT {_PAGE}, total FROM o WHERE rnk >= (greatest(total // 7, 1) - 1) * 7 AND rnk < greatest(total // 7, 1) * 7")
+
+ORACLES["S1_quoted_line_breaks"] = f"""
+WITH {TX_ORDERS},
+l AS (SELECT stock_code, amount, CAST(stock_code AS BIGINT) % 3 = 0 AS odd, length(country) AS n FROM tx)
+SELECT stock_code, count(*) AS lines, {r6('CAST(sum(amount) AS DOUBLE)')} AS amount,
+       CAST(max(CASE WHEN odd THEN n + 11 + length(stock_code) ELSE n END) AS INTEGER) AS longest,
+       CAST(sum(CASE WHEN odd THEN 2 ELSE 0 END) AS BIGINT) AS breaks
+FROM l GROUP BY stock_code"""

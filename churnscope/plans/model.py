@@ -13,8 +13,8 @@
   folds), AUC per fold, mean and population sd.
 * M12: scoring of all customers.
 
-Folds and the train/test split come from a per-customer hash (no global sort,
-stable under retries). Training rows are placed by customer hash, one partition
+Folds and the train/test split are exact per class, by distributed ranks of a
+per-customer hash (no global sort, stable under retries). Training rows are placed by customer hash, one partition
 per 100k rows, so row samples do not depend on session settings. Independent fits (folds, ensemble members, K-means
 starts) are submitted from a thread pool so their Spark jobs run
 concurrently, as ``CrossValidator(parallelism=...)`` does. Training data is
@@ -42,7 +42,8 @@ from pyspark.sql import functions as F
 
 from churnscope import config as C
 from churnscope.config import DEFAULT, RiskConfig
-from churnscope.functions.random import key32, uniform
+from churnscope.operators.strata import with_parts
+from churnscope.session import write_table
 
 # Hash streams: 0 = train/test split, 2 = calibration folds, 3 = CV folds.
 SPLIT_STREAM, CAL_STREAM, CV_STREAM = 0, 2, 3
@@ -50,18 +51,18 @@ SPLIT_STREAM, CAL_STREAM, CV_STREAM = 0, 2, 3
 
 def split_flag(cust: DataFrame, cfg: RiskConfig = DEFAULT, test_size: float = None,
                label: str = "churn") -> DataFrame:
-    """M3: deterministic per-customer split; ``is_test`` when the customer's
-    hash uniform is below ``test_size``. The uniform is independent of the
-    label, so each class is split in the same proportion in expectation, and
-    membership does not depend on partitioning or retries."""
+    """M3: exact stratified split, ``is_test``: of every class the share
+    ``test_size``, to within a row, in the order of a per-customer hash
+    (``operators.strata``); membership does not depend on partitioning or retries."""
     t = cfg.test_size if test_size is None else test_size
-    u = uniform(key32("customer_id", F.lit(cfg.seed)), F.lit(SPLIT_STREAM))
-    return cust.withColumn("is_test", u < F.lit(t))
+    parts = with_parts(cust.drop("is_test"), [t, 1 - t], cfg.seed, SPLIT_STREAM, label, "_part")
+    return parts.withColumn("is_test", F.col("_part") == 0).drop("_part")
 
 
-def fold_column(df: DataFrame, k: int, stream: int, cfg: RiskConfig = DEFAULT, name: str = "fold") -> DataFrame:
-    u = uniform(key32("customer_id", F.lit(cfg.seed)), F.lit(stream))
-    return df.withColumn(name, F.least(F.floor(u * k), F.lit(k - 1)).cast("int"))
+def fold_column(df: DataFrame, k: int, stream: int, cfg: RiskConfig = DEFAULT, name: str = "fold",
+                label: str = "churn") -> DataFrame:
+    """M9: ``name`` = 0 .. k - 1, exact stratified folds: each holds a k-th of every class to within a row."""
+    return with_parts(df, [1.0 / k] * k, cfg.seed, stream, label, name)
 
 
 def _pool(n: int):
@@ -251,7 +252,7 @@ def fit_calibrated(train: DataFrame, cfg: RiskConfig = DEFAULT, folds: int = Non
     """M8: scaler on ``train``, then per calibration fold an ensemble on the
     other folds and an isotonic map (clipped) on the held-out fold."""
     k = cfg.calibration_folds if folds is None else folds
-    rows = _training_frame(fold_column(train, k, CAL_STREAM, cfg, "_cf"), label, partitions)
+    rows = _training_frame(fold_column(train, k, CAL_STREAM, cfg, "_cf", label), label, partitions)
     scaler = fit_scaler(rows, cols)
     data = assemble(rows, scaler, cols)
     specs = member_specs(cfg, with_logistic)
@@ -289,7 +290,7 @@ def cross_validate(cust: DataFrame, cfg: RiskConfig = DEFAULT, folds: int = None
     folds) refitted on every training fold, scaler included."""
     from churnscope.operators.metrics import ranking_metrics
     k = cfg.cv_folds if folds is None else folds
-    d = fold_column(cust, k, CV_STREAM, cfg, "_cv")
+    d = write_table(fold_column(cust, k, CV_STREAM, cfg, "_cv", label), "cv-folds")  # read twice a fold
 
     def run(f):
         m = fit_calibrated(d.filter(F.col("_cv") != f), cfg, folds=2, with_logistic=False, label=label)

@@ -8,6 +8,8 @@ executor's work be recomputed from durable data. Results go to ``out_dir``
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT,
     seg = segment(cust, cfg)
     retention = CO.cohort_retention(tx, cust)
 
-    data = split_flag(seg, cfg)
+    data = write_table(split_flag(seg, cfg), "split_customers")
     train = data.filter(~F.col("is_test"))
     model = fits.get("model") or fit_calibrated(train, cfg)
     test_scored = model.transform(data.filter(F.col("is_test")))
@@ -68,10 +70,9 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT,
         bg = X.background(train, scaler, cfg)
         results["contributions"] = X.contributions(data.filter(F.col("is_test")), scaler, gbt, bg)
     if out_dir:
-        write_results(results, out_dir, fmt)
-        model.write().overwrite().save(f"{out_dir}/model")
+        write_results(results, out_dir, fmt, extra=lambda folder: model.write().overwrite().save(f"{folder}/model"))
     else:
-        model.write().overwrite().save(model_dir(spark, "churn_model"))
+        model.write().overwrite().save(model_dir(spark, f"churn_model-{uuid.uuid4().hex}"))
     results["model"] = model
     return results
 
@@ -94,7 +95,7 @@ def run_baseline(spark: SparkSession, raw: DataFrame, cfg: RiskConfig = DEFAULT,
     model_in = feats.withColumn("avg_order_value", F.when(F.abs("avg_order_value") == float("inf"), 0.0)
                                 .otherwise(F.col("avg_order_value")))
     va = VectorAssembler(inputCols=cols, outputCol="features")
-    d = split_flag(va.transform(model_in).withColumn("label", F.col("churn").cast("double")), cfg)
+    d = va.transform(write_table(split_flag(model_in, cfg), "baseline_split").withColumn("label", F.col("churn").cast("double")))
     bb = cfg.baseline_boost
     train = placed(d.filter(~F.col("is_test")))
     gbt = GBTClassifier(maxIter=bb.max_iter, maxDepth=bb.max_depth, stepSize=bb.step_size,

@@ -84,6 +84,7 @@ FLAGSHIP = "C1_C3_customer_risk_scores"
 # ---------------------------------------------------------------- shared tables
 
 from churnscope import config as C  # noqa: E402
+from churnscope.config import DEFAULT  # noqa: E402
 from churnscope.operators import cohorts as CO  # noqa: E402
 from churnscope.operators import metrics as ME  # noqa: E402
 from churnscope.operators import portfolio as PF  # noqa: E402
@@ -208,6 +209,34 @@ def q_loss_stats(spark, sf_dir):
     return out(PF.loss_stats(losses_of(spark, sf_dir, "orders")))
 
 
+def curve_of(spark, sf_dir, source="orders"):
+    """The loss distribution without draws, written once per session."""
+    from churnscope.operators.loss_curve import loss_curve
+    return _memo(spark, ("loss_curve", sf_dir, source), lambda: loss_curve(scored_of(spark, sf_dir, source)))
+
+
+@query("R2_loss_curve_moments")
+def q_loss_curve_moments(spark, sf_dir):
+    """Moments of the distribution that the characteristic function gives."""
+    from churnscope.operators.loss_curve import curve_moments
+    m = curve_moments(curve_of(spark, sf_dir, "orders"))
+    return m.select(*[F.round(c, 3).alias(c) for c in ("mean_loss", "sd_loss")], F.round("skewness", 5).alias("skewness"))
+
+
+@query("R2_loss_curve_moments_events")
+def q_loss_curve_moments_events(spark, sf_dir):
+    from churnscope.operators.loss_curve import curve_moments
+    m = curve_moments(curve_of(spark, sf_dir, "events"))
+    return m.select(*[F.round(c, 3).alias(c) for c in ("mean_loss", "sd_loss")], F.round("skewness", 5).alias("skewness"))
+
+
+@query("R2_loss_curve_stats")
+def q_loss_curve_stats(spark, sf_dir):
+    """Mean, VaR and CVaR without draws, with the stated grid error."""
+    from churnscope.operators.loss_curve import curve_stats
+    return out(curve_stats(curve_of(spark, sf_dir, "orders")))
+
+
 @query("R3_stress_test")
 def q_stress(spark, sf_dir):
     ref = losses_of(spark, sf_dir, "orders").agg(F.avg("loss")).scalar()
@@ -346,14 +375,29 @@ def q_display_stress(spark, sf_dir):
     return SU.display_stress(PF.stress_test(_scored(spark, sf_dir), ref))
 
 
+def order_index_of(spark, sf_dir, source="orders"):
+    from churnscope.operators.paging import order_index
+    return _memo(spark, ("order_index", sf_dir, source), lambda: order_index(scored_of(spark, sf_dir, source)))
+
+
 @query("W6_page_customers")
 def q_page(spark, sf_dir):
-    return out(SU.page_customers(_scored(spark, sf_dir), page=2, limit=20))
+    from churnscope.operators.paging import page_of
+    return out(page_of(order_index_of(spark, sf_dir), page=2, limit=20))
 
 
 @query("W6_page_customers_search")
 def q_page_search(spark, sf_dir):
-    return out(SU.page_customers(_scored(spark, sf_dir), page=1, limit=10, search="3", tier="Medium Risk"))
+    from churnscope.operators.paging import page_of
+    return out(page_of(order_index_of(spark, sf_dir), page=1, limit=10, search="3", tier="Medium Risk"))
+
+
+@query("W6_deep_page")
+def q_deep_page(spark, sf_dir):
+    """A page far behind the first: the last whole one of the table's size."""
+    from churnscope.operators.paging import page_of
+    index = order_index_of(spark, sf_dir)
+    return out(page_of(index, page=max(1, index.count() // 7), limit=7))
 
 
 @query("W8_segments")
@@ -386,6 +430,12 @@ def q_export(spark, sf_dir):
 from churnscope.functions.random import key32, uniform  # noqa: E402
 
 
+def split_of(spark, sf_dir, source="orders"):
+    """Customers with the train/test split, written once per session."""
+    from churnscope.plans.model import split_flag
+    return _memo(spark, ("split", sf_dir, source), lambda: split_flag(cust_of(spark, sf_dir, source), DEFAULT))
+
+
 def metric_fixture(spark, sf_dir, source="orders"):
     """(customer_id, churn, p, is_test): a deterministic noisy score with ties
     (steps of 0.01) for checking ranking metrics, on the M3 test split."""
@@ -398,8 +448,14 @@ def metric_fixture(spark, sf_dir, source="orders"):
 
 @query("M3_split")
 def q_split(spark, sf_dir):
-    from churnscope.plans.model import split_flag
-    return split_flag(cust_of(spark, sf_dir, "orders").select("customer_id", "churn"))
+    return split_of(spark, sf_dir).select("customer_id", "churn", "is_test")
+
+
+@query("M9_folds")
+def q_folds(spark, sf_dir):
+    """The stratified folds of the cross-validation."""
+    from churnscope.plans import model as M
+    return M.fold_column(cust_of(spark, sf_dir).select("customer_id", "churn"), DEFAULT.cv_folds, M.CV_STREAM, DEFAULT)
 
 
 @query("M10_binary_metrics")
@@ -419,16 +475,12 @@ def q_class_report(spark, sf_dir):
 
 # ---------------------------------------------------------------- models
 
-from churnscope.config import DEFAULT  # noqa: E402
-
-
 def model_of(spark, sf_dir, source="orders"):
     """Calibrated ensemble trained on the non-test customers (full sizes)."""
-    from churnscope.plans.model import fit_calibrated, split_flag
+    from churnscope.plans.model import fit_calibrated
     k = (app_id(spark), "model", sf_dir, source)
     if k not in _TABLES:
-        cust = split_flag(cust_of(spark, sf_dir, source), DEFAULT)
-        _TABLES[k] = fit_calibrated(cust.filter(~F.col("is_test")), DEFAULT)
+        _TABLES[k] = fit_calibrated(split_of(spark, sf_dir, source).filter(~F.col("is_test")), DEFAULT)
     return _TABLES[k]
 
 
@@ -440,25 +492,40 @@ def cv_of(spark, sf_dir, source="orders"):
 
 def model_scored_of(spark, sf_dir, source="orders"):
     """Risk score table on the model probability and K-means segments."""
-    from churnscope.plans.model import split_flag
-    from churnscope.plans.segments import segment
-
     def build():
-        cust = cust_of(spark, sf_dir, source)
-        seg = segment(cust, DEFAULT)
-        scored = model_of(spark, sf_dir, source).transform(seg)
-        return split_flag(SC.score_table(scored, DEFAULT), DEFAULT)
+        scored = model_of(spark, sf_dir, source).transform(segments_of(spark, sf_dir, source))
+        test = split_of(spark, sf_dir, source).select("customer_id", "is_test")
+        return SC.score_table(scored, DEFAULT).join(test, "customer_id")
     return _memo(spark, ("model_scored", sf_dir, source), build)
 
 
+def segments_of(spark, sf_dir, source="orders"):
+    """Customers with their K-means segments; needs no churn model."""
+    from churnscope.plans.segments import segment
+    return _memo(spark, ("segments", sf_dir, source), lambda: segment(cust_of(spark, sf_dir, source), DEFAULT))
+
+
 @query("M2_kmeans_segments")
 def q_kmeans(spark, sf_dir):
-    return model_scored_of(spark, sf_dir).select("customer_id", "segment_id", "segment")
+    return segments_of(spark, sf_dir).select("customer_id", "segment_id", "segment")
+
+
+@query("M2_segment_checks")
+def q_kmeans_checks(spark, sf_dir):
+    """What holds for any best K-means: every customer in one of the named segments, names in the order of mean CLV."""
+    rank = F.array_position(F.array(*map(F.lit, C.SEGMENT_LABELS)), F.col("segment"))
+    means = segments_of(spark, sf_dir).groupBy("segment_id", rank.alias("rank")).agg(F.avg("clv").alias("m"), F.count("*").alias("n"))
+    other = means.select(F.col("rank").alias("r2"), F.col("m").alias("m2"))  # a row a segment
+    wrong = means.join(F.broadcast(other), (F.col("rank") < F.col("r2")) & (F.col("m") < F.col("m2"))).agg(F.count("*")).scalar()
+    return means.agg(F.sum("n").alias("customers"), F.countDistinct("segment_id").alias("segments"), F.sum((F.col("rank") == 0).cast("long")).alias("unnamed"), F.first(wrong).alias("out_of_order"))
 
 
 @query("M2_A3_segment_summary_kmeans")
 def q_kmeans_summary(spark, sf_dir):
-    return out(SU.segment_summary(model_scored_of(spark, sf_dir)))
+    """Figures by K-means segment; tiers and losses take the fixture probability, so no churn model is needed."""
+    cust = segments_of(spark, sf_dir)
+    t = FE.churn_threshold(cust_of(spark, sf_dir))
+    return out(SU.segment_summary(SC.score_table(SC.fixture_probability(cust, t))))
 
 
 @query("M12_model_scores")
@@ -506,21 +573,18 @@ def q_whatif_scores(spark, sf_dir):
 def explainer_of(spark, sf_dir, source="orders"):
     """(scaler, boosted trees) fitted on the non-test customers, once per session."""
     from churnscope.plans import explain as X
-    from churnscope.plans.model import split_flag
     k = (app_id(spark), "explainer", sf_dir, source)
     if k not in _TABLES:
-        cust = split_flag(cust_of(spark, sf_dir, source), DEFAULT)
-        _TABLES[k] = X.fit_explainer(cust.filter(~F.col("is_test")), DEFAULT)
+        _TABLES[k] = X.fit_explainer(split_of(spark, sf_dir, source).filter(~F.col("is_test")), DEFAULT)
     return _TABLES[k]
 
 
 def explained_of(spark, sf_dir, source="orders"):
     """Contributions of the boosted-tree explainer for the test customers."""
     from churnscope.plans import explain as X
-    from churnscope.plans.model import split_flag
 
     def build():
-        cust = split_flag(cust_of(spark, sf_dir, source), DEFAULT)
+        cust = split_of(spark, sf_dir, source)
         train, test = cust.filter(~F.col("is_test")), cust.filter(F.col("is_test"))
         scaler, gbt = explainer_of(spark, sf_dir, source)
         bg = X.background(train, scaler, DEFAULT)
@@ -577,6 +641,23 @@ def q_csv(spark, sf_dir):
                  .withColumn("amount", F.col("amount").cast("double")))
 
 
+@query("S1_quoted_line_breaks")
+def q_csv_breaks(spark, sf_dir):
+    """Orders lines written as CSV with line breaks, quotes and commas inside a quoted field, read back and cleaned."""
+    from churnscope.sources.transactions import CSV_HEADER, read_transactions
+    raw = ADAPTERS["orders"](spark, sf_dir)
+    path = _scratch(spark, "transactions_breaks")
+    inv = {v: k for k, v in CSV_HEADER.items()}
+    odd = F.concat(F.col("country"), F.lit(',\n"of '), F.col("stock_code"), F.lit('"\nend'))
+    (raw.withColumn("country", F.when(F.col("stock_code").cast("long") % 3 == 0, odd).otherwise(F.col("country")))
+        .withColumn("invoice_date", F.date_format("invoice_date", "yyyy-MM-dd HH:mm:ss"))
+        .withColumnsRenamed({c: inv[c] for c in raw.columns})
+        .write.option("header", True).option("escape", '"').csv(path))
+    tx = clean(read_transactions(spark, path, "csv"))
+    return out(tx.groupBy("stock_code").agg(F.count("*").alias("lines"), F.sum("amount").cast("double").alias("amount"), F.max(F.length("country")).alias("longest"),
+                                            F.sum((F.length("country") - F.length(F.regexp_replace("country", "\n", ""))).cast("long")).alias("breaks")))
+
+
 @query("S2_S3_results_roundtrip")
 def q_results(spark, sf_dir):
     """Score table written by the result sink and read back by the result source."""

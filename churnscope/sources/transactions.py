@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Raw columns as they appear in a transaction export (before cleaning).
@@ -31,21 +32,41 @@ CSV_HEADER = {
 CSV_NULL_TOKENS = ("", "NA", "N/A", "nan", "NaN", "null", "NULL", "None", "<NA>")
 
 
-def read_transactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+CSV_OPTIONS = {"encoding": "UTF-8", "escape": '"'}
+
+
+def _csv_records(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
+    """Text columns of CSV whose quoted fields hold line breaks."""
+    from churnscope.sources.records import records
+
+    names = spark.read.option("header", True).options(**CSV_OPTIONS).csv(path).columns
+    fields = F.from_csv("record", ", ".join(f"`{c}` string" for c in names), CSV_OPTIONS)
+    rows = records(lines).filter(F.length("record") > 0).select("split", fields.alias("r"))
+    # every file begins with the header
+    header = F.array(*(F.coalesce(F.col(f"r.`{c}`"), F.lit("")) for c in names)) == F.array(*map(F.lit, names))
+    return rows.filter(~((F.col("split") == 0) & header)).select("r.*")
+
+
+def read_transactions(spark: SparkSession, path: str, fmt: str = "csv", line_breaks: bool = None) -> DataFrame:
     """Read transaction lines from CSV (with the export's header names) or parquet.
 
     No inference pass runs: all CSV columns arrive as strings, a doubled quote
     inside a quoted field is a quote, and prices keep six decimals. ``clean``
-    parses and types the columns. A line break inside a quoted field is not
-    supported, since it would stop Spark from splitting files.
+    parses and types the columns. Line breaks inside quoted fields are kept, and
+    files split all the same (``sources.records``). ``line_breaks`` says whether
+    there are any; left out, one scan of the lines tells.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
         return df.withColumnsRenamed({k: v for k, v in CSV_HEADER.items() if k in df.columns})
-    df = (spark.read.option("header", True).option("encoding", "UTF-8")
-          .option("multiLine", False).option("escape", '"').csv(path))
+    from churnscope.sources.records import has_breaks, lines_of
+
+    lines = lines_of(spark, path)
+    if has_breaks(lines) if line_breaks is None else line_breaks:
+        df = _csv_records(spark, path, lines)
+    else:
+        df = spark.read.option("header", True).option("multiLine", False).options(**CSV_OPTIONS).csv(path)
     renamed = df.withColumnsRenamed({k: v for k, v in CSV_HEADER.items() if k in df.columns})
-    from pyspark.sql import functions as F
     cols = []
     for f in RAW_SCHEMA.fields:
         if f.name in renamed.columns:
