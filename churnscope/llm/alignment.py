@@ -50,8 +50,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnscope.llm.bpe import Bounded, byte_chars
-from churnscope.llm.common import read, released, shuffle_width, stored_steps, write_table
+from churnscope.llm.bpe import byte_chars
+from churnscope.llm.common import KEPT, read, released, shuffle_width, stored_steps, write_table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -62,7 +62,7 @@ FAN = 8
 #: Bytes of a fragment of a long stretch.
 RANGE = 1 << 14
 #: Longest stretch, in characters, and bytes of all stretches that a process keeps.
-KEPT_LENGTH, KEPT_BYTES = 64, 48 << 20
+WORD_LENGTH, WORD_BYTES = 64, 128 << 20
 #: Pairs a task adds up at once, and the most rows of a broadcast pair table (16 bytes each).
 PAIRS_HELD, BROADCAST_PAIRS = 1_000_000, 2_000_000
 #: Characters of text whose stretches are looked up, and encoded where they are new, together.
@@ -105,10 +105,9 @@ class Fragment:
     tail: tuple[Tokens, Tokens] = field(default_factory=lambda: (Tokens(), Tokens()))
 
 
-def closed(a: Tokens, b: Tokens) -> tuple[list[bytes], list[int]]:
-    """Group texts and links of two streams over the same bytes, walked once: a link between every two neighbouring
+def closed(ids_a: list[int], lengths_a: list[int], ids_b: list[int], lengths_b: list[int]) -> tuple[list[str], list[int]]:
+    """Group texts and links of two token streams over the same bytes, walked once: a link between every two neighbouring
     ends of either, a group up to every end of both."""
-    ids_a, ids_b, lengths_a, lengths_b = a.ids, b.ids, a.lengths, b.lengths
     groups, pairs, n = [], [], len(ids_a)
     i = j = from_a = from_b = ahead = 0  # ``ahead``: by how many bytes A's end lies behind B's
     if n:
@@ -123,7 +122,7 @@ def closed(a: Tokens, b: Tokens) -> tuple[list[bytes], list[int]]:
             ahead -= lengths_b[j]
         else:
             i, j = i + 1, j + 1
-            groups.append((",".join(map(str, ids_a[from_a:i])) + "|" + ",".join(map(str, ids_b[from_b:j]))).encode())
+            groups.append(",".join(map(str, ids_a[from_a:i])) + "|" + ",".join(map(str, ids_b[from_b:j])))
             from_a, from_b = i, j
             if i < n:
                 ahead = lengths_a[i] - lengths_b[j]
@@ -144,8 +143,8 @@ def compose(parts: list[Fragment]) -> Fragment:
         if not out.cut:
             out.cut, out.head = True, mid
         elif mid[0].ids or mid[1].ids:  # else a common end meets itself
-            groups, pairs = closed(*mid)
-            out.groups += groups
+            groups, pairs = closed(mid[0].ids, mid[0].lengths, mid[1].ids, mid[1].lengths)
+            out.groups += [g.encode() for g in groups]
             out.n_groups += len(groups)
             for p in pairs:
                 out.pairs[p] = out.pairs.get(p, 0) + 1
@@ -173,9 +172,11 @@ def stretch(a: Tokens, b: Tokens, before: tuple[int, int] = (0, 0)) -> Fragment:
     if not at_a:
         return Fragment(len(a.ids), len(b.ids), False, (a, b))
     out = Fragment(len(a.ids), len(b.ids), True, (a.slice(0, at_a[0]), b.slice(0, at_b[0])))
-    out.groups, pairs = closed(a.slice(at_a[0], at_a[-1]), b.slice(at_b[0], at_b[-1]))
-    out.n_groups, out.pairs = len(out.groups), dict(Counter(pairs))
     out.tail = (a.slice(at_a[-1], None), b.slice(at_b[-1], None))
+    a, b = a.slice(at_a[0], at_a[-1]), b.slice(at_b[0], at_b[-1])
+    groups, pairs = closed(a.ids, a.lengths, b.ids, b.lengths)
+    out.groups = [g.encode() for g in groups]
+    out.n_groups, out.pairs = len(out.groups), dict(Counter(pairs))
     return out
 
 
@@ -215,10 +216,14 @@ class Aligner:
 
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        byte_of = {c: b for b, c in enumerate(byte_chars())}
+        self.model, self.chars = self.a.model, byte_chars()
+        self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|<>()]+)?")  # two matches of A's pattern
+        byte_of = {c: b for b, c in enumerate(self.chars)}
         self.bytes_a = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.length_a = {i: len(t) for i, t in self.bytes_a.items()}
+        self.length_b = [len(t) for t in self.bytes_b]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.clear()
 
@@ -252,17 +257,18 @@ class Aligner:
         """Short stretches into the table, encoded together; those whose bytes differ have a negative number."""
         if not texts:
             return
-        tokens, pieces = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1)
-        for text, found, ids_b in zip(texts, tokens, pieces):
-            ids_a, want = found.ids, b" " + text.encode()
-            of_a, of_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
+        plain = [self.plain.fullmatch(t) for t in texts]
+        odd = iter(self.a.encode_batch([" " + t for t, m in zip(texts, plain) if not m], add_special_tokens=False))
+        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        for text, m, ids_b in zip(texts, plain, self.b.encode(texts, num_threads=1)):
+            ids_a, want = self.words(m) if m else next(odd).ids, b" " + text.encode()
             self.size += 250 + 4 * len(text)
-            if b"".join(of_a) != want or b"".join(of_b) != want:
+            if b"".join(map(bytes_a, ids_a)) != want or b"".join(map(bytes_b, ids_b)) != want:
                 self.kept[text] = -1
                 continue
-            groups, pairs = closed(Tokens(ids_a, list(map(len, of_a))), Tokens(ids_b, list(map(len, of_b))))
+            groups, pairs = closed(ids_a, list(map(self.length_a.__getitem__, ids_a)), ids_b, list(map(self.length_b.__getitem__, ids_b)))
             self.kept[text] = len(self.texts)
-            self.texts.append(b";".join(groups))
+            self.texts.append(";".join(groups).encode())
             self.n_a.append(len(ids_a))
             self.n_b.append(len(ids_b))
             self.n_groups.append(len(groups))
@@ -270,6 +276,14 @@ class Aligner:
             self.starts.append(len(self.pairs))
             self.size += len(self.texts[-1]) + 8 * len(pairs)
 
+    def words(self, m: re.Match) -> list[int]:
+        """A's ids of a space, letters and plain punctuation, by the library's model."""
+        stem = m[1] if m[1].isascii() else "".join(map(self.chars.__getitem__, m[1].encode()))
+        found = self.model.tokenize(self.chars[32] + stem)
+        if m[2]:
+            found += self.model.tokenize(m[2])
+        return [t.id for t in found]
+
     def stretches(self, text: str) -> list[str]:
         """``text`` cut where no token crosses, without the spaces at the cuts."""
         if not self.cuts:
@@ -281,10 +295,10 @@ class Aligner:
 
     def align_all(self, texts: list[str | None]) -> list[Document | None]:
         """The closed fragments of texts, which start and end at common ends; None where bytes differ or none are."""
-        if self.size > KEPT_BYTES:
+        if self.size > WORD_BYTES:
             self.clear()
         cut = [self.stretches(t) if t else None for t in texts]
-        self.learn([*dict.fromkeys(p for parts in cut for p in parts or () if len(p) <= KEPT_LENGTH and p not in self.kept)])
+        self.learn([*dict.fromkeys(p for parts in cut for p in parts or () if len(p) <= WORD_LENGTH and p not in self.kept)])
         table = [np.array(x) for x in (self.n_a, self.n_b, self.n_groups, self.starts, self.pairs)]
         return [self.document(parts, *table) if parts else None for parts in cut]
 
@@ -292,7 +306,7 @@ class Aligner:
         """A document of its stretches, each distinct one looked up once."""
         seen, texts, numbers, times, long = Counter(parts), {}, [], [], Fragment(cut=True)
         for part, n in seen.items():
-            if len(part) <= KEPT_LENGTH:
+            if len(part) <= WORD_LENGTH:
                 number = self.kept[part]
                 if number < 0:
                     return None
@@ -317,14 +331,11 @@ class Aligner:
 
 
 @functools.lru_cache(maxsize=1)
-def loaded(path_a: str, path_b: str) -> Aligner:
+def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def aligner(path_a: str, path_b: str) -> Aligner:
-    """The process's tokenizers; tables of other operators are emptied."""
-    Bounded.turn("alignment")
-    return loaded(path_a, path_b)
+KEPT.append(("alignment", aligner.cache_clear))
 
 
 # ---------------------------------------------------------------- documents
@@ -391,7 +402,7 @@ def short_documents(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for keys, texts in slices_of(batch, ["doc_id"]):
                 yield batch_of(DONE_NAMES, DONE_TYPES, [done_row(*k, x) for k, x in zip(keys, at.align_all(texts))])
 
-    return rows.mapInArrow(released(run), DONE)
+    return rows.mapInArrow(released(run, "alignment"), DONE)
 
 
 def chunks_of(text: str, size: int) -> Iterator[str]:

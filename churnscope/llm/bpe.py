@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnscope.llm.common import drop_clashing, read, released
+from churnscope.llm.common import KEPT, drop_clashing, read, released
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -61,16 +61,11 @@ def merge_rules(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 class Bounded(dict):
     """A table that fills itself by ``make`` and starts anew beyond ``limit`` bytes of keys, values and places.
 
-    An entry of more than a thousandth of the limit is made anew each time. A table with an owner is emptied when
-    another operator has its ``turn`` in the process."""
+    An entry of more than a thousandth of the limit is made anew each time."""
 
-    tables: list[Bounded] = []
-
-    def __init__(self, make, limit: int, owner: str | None = None):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.owner, self.size = make, limit, owner, 0
-        if owner:
-            Bounded.tables.append(self)
+        self.make, self.limit, self.size = make, limit, 0
 
     def __missing__(self, key):
         value = self.make(key)
@@ -87,12 +82,6 @@ class Bounded(dict):
         super().clear()
         self.size = 0
 
-    @staticmethod
-    def turn(owner: str) -> None:
-        for table in Bounded.tables:
-            if table.owner != owner:
-                table.clear()
-
 
 class ByteBpe:
     """Encoder and decoder of one rank file; ids travel as little-endian 32-bit integers."""
@@ -108,8 +97,8 @@ class ByteBpe:
         self.loose = re.compile(r" (?:\s|\Z)|\0")
         self.plain = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|<>()]+)?")
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.pieces = Bounded(self._piece, PIECES_KEPT, "bpe")
-        self.chunks = Bounded(self._chunk, CHUNKS_KEPT, "bpe")
+        self.pieces = Bounded(self._piece, PIECES_KEPT)
+        self.chunks = Bounded(self._chunk, CHUNKS_KEPT)
         self.packed = [i.to_bytes(4, "little") for i in range(max(ranks.values(), default=-1) + 1)]
 
     def _piece(self, piece: str) -> bytes:
@@ -141,15 +130,12 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=4)
-def loaded(path: str, pattern: str) -> ByteBpe:
+@functools.lru_cache(maxsize=2)
+def codec(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def codec(path: str, pattern: str) -> ByteBpe:
-    """The process's codec; tables of other operators are emptied."""
-    Bounded.turn("bpe")
-    return loaded(path, pattern)
+KEPT.append(("bpe", codec.cache_clear))
 
 
 def slices(column: pa.Array) -> Iterator[list]:
@@ -190,7 +176,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", offsets
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in out])
                 at += len(texts)
 
-    return docs.mapInArrow(released(run), out)
+    return docs.mapInArrow(released(run, "bpe"), out)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -207,7 +193,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
                 decoded = [bpe.decode(x.as_py() or []) for x in part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(decoded, pa.binary())], names=[f.name for f in out])
 
-    return encoded.mapInArrow(released(run), out)
+    return encoded.mapInArrow(released(run, "bpe"), out)
 
 
 def decode_text(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:

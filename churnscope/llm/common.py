@@ -40,11 +40,19 @@ def unpacked(df: DataFrame) -> list[Column]:
     return [F.col(f"_in.`{c}`").alias(c) for c in df.columns]
 
 
-def released(run: Callable) -> Callable:
-    """``run`` for mapInArrow, after which the worker gives the memory that it no longer uses back to the system."""
+#: What operators keep in a worker process between tasks: owner and a function that forgets it.
+KEPT: list[tuple[str, Callable]] = []
+
+
+def released(run: Callable, owner: str = "") -> Callable:
+    """``run`` for mapInArrow. What other operators than ``owner`` keep in the worker is forgotten first, and what is no
+    longer used is given back to the system at the end."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
+        for other, forget in KEPT:
+            if other != owner:
+                forget()
         try:
             yield from run(batches)
         finally:

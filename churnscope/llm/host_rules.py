@@ -88,7 +88,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column("_in"), *(pa.array(x, pa.int64()) for x in zip(*found))], names=[f.name for f in out])
 
-    measured = rows.mapInArrow(released(run), out).select(*unpacked(kept), *FIGURES)
+    measured = rows.mapInArrow(released(run, "host rules"), out).select(*unpacked(kept), *FIGURES)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return measured.withColumn("base_failed", failed)
 

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnscope.llm.bpe import Bounded, slices
-from churnscope.llm.common import read, released, shuffle_width, stored_steps, write_table
+from churnscope.llm.common import KEPT, read, released, shuffle_width, stored_steps, write_table
 
 WIDTH, PERCENT = 4, 85
 #: Bound of the frequent shingles, and shingles a task counts at once.
@@ -60,6 +60,7 @@ SIEVE_BITS = 1 << 27
 #: Bytes of word hashes, and of the group ids a task has written, that are kept.
 WORDS_KEPT, GROUPS_KEPT = 24 << 20, 24 << 20
 _WORDS: Bounded | None = None
+KEPT.append(("shingles", lambda: _WORDS is not None and _WORDS.clear()))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -77,7 +78,7 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
 
     global _WORDS
     if _WORDS is None:
-        _WORDS = Bounded(xxhash.xxh3_64_intdigest, WORDS_KEPT, "shingles")
+        _WORDS = Bounded(xxhash.xxh3_64_intdigest, WORDS_KEPT)
     words = (text or b"").lower().split()  # on bytes both know ASCII only
     if not words:
         return np.empty(0, np.int64)
@@ -130,7 +131,6 @@ def frequent(docs: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        Bounded.turn("shingles")
 
         def counted():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -148,7 +148,7 @@ def frequent(docs: DataFrame, width: int, most: int) -> tuple[np.ndarray, np.nda
         if size:
             yield from counted()
 
-    counts = docs.select(F.col("text").cast("binary")).mapInArrow(released(run), "shingle long, n long, total boolean").groupBy("shingle", "total").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col("text").cast("binary")).mapInArrow(released(run, "shingles"), "shingle long, n long, total boolean").groupBy("shingle", "total").agg(F.sum("n").alias("n"))
     counts = write_table(counts, "shingle-counts")
     total = counts.filter("total").agg(F.sum("n")).first()[0] or 0
     # counts add up to the total at most, so no more than `most` rows pass
@@ -168,7 +168,6 @@ def prefixes(docs: DataFrame, values: np.ndarray, rank: np.ndarray, width: int,
     shared = docs.sparkSession.sparkContext.broadcast((values, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Bounded.turn("shingles")
         (values, rank), seen = shared.value, Bounded(lambda g: 0, GROUPS_KEPT)
         for batch in batches:
             at = 0
@@ -199,7 +198,7 @@ def prefixes(docs: DataFrame, values: np.ndarray, rank: np.ndarray, width: int,
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    out = write_table(rows.mapInArrow(released(run), "doc_id long, n long, cid long, gid long, prefix array<bigint>, n_rare int, parity array<bigint>, wide array<bigint>"), "prefixes")
+    out = write_table(rows.mapInArrow(released(run, "shingles"), "doc_id long, n long, cid long, gid long, prefix array<bigint>, n_rare int, parity array<bigint>, wide array<bigint>"), "prefixes")
     shared.destroy()  # the step is stored
     return out
 
@@ -280,7 +279,7 @@ def compared(pairs: DataFrame, arrays: DataFrame, passes: Callable[[np.ndarray,
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    out = write_table(sent.select("id", "b", "share", "role", "n", "values").mapInArrow(released(run), "a long, b long"), "compared")
+    out = write_table(sent.select("id", "b", "share", "role", "n", "values").mapInArrow(released(run, "shingles"), "a long, b long"), "compared")
     for value in shared or []:
         value.destroy()
     return out.distinct()
@@ -375,14 +374,13 @@ def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int)
     texts = texts.join(of, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Bounded.turn("shingles")
         for batch in batches:
             for part in slices(batch.column(0)):
                 found = [s for s in (shingles(t, width) for t in part) if len(s)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["id", "n", "values"])
 
-    out = write_table(texts.mapInArrow(released(run), "id long, n long, values array<bigint>"), "class-sets")
+    out = write_table(texts.mapInArrow(released(run, "shingles"), "id long, n long, values array<bigint>"), "class-sets")
     shared.destroy()
     return out
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from churnscope.llm.bpe import slices
-from churnscope.llm.common import drop_clashing, read
+from churnscope.llm.common import drop_clashing, read, released
 
 ROUNDS = 10
 #: Characters permuted as one number; longer strings are cut.
@@ -325,7 +325,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", back: bool = F
                 yield pa.RecordBatch.from_arrays(columns, names=[x.name for x in out])
                 at += len(texts)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(released(run, "pseudonyms"), out)
 
 
 def restore(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:

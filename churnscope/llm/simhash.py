@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.llm.bpe import slices
-from churnscope.llm.common import read, stored_steps, write_table
+from churnscope.llm.common import read, released, stored_steps, write_table
 from churnscope.llm.jaccard_join import components
 
 WIDTH, SEED, DISTANCE = 3, 42, 2
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
                 at += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(released(run, "simhash"), "doc_id long, fp long")
 
 
 # ---------------------------------------------------------------- parts and their statistics

@@ -35,7 +35,7 @@ def lengths(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             found = [len(bpe.encode(t or "")) // 4 for texts in slices(batch.column(0)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["length"])
 
-    return docs.select("text").mapInArrow(released(run), "length long")
+    return docs.select("text").mapInArrow(released(run, "bpe"), "length long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:

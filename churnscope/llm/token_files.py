@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnscope.llm.bpe import Bounded, byte_chars, slices
-from churnscope.llm.common import new_folder, read, released, shuffle_width, write_table
+from churnscope.llm.common import KEPT, new_folder, read, released, shuffle_width, write_table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -67,8 +67,8 @@ class WordBpe:
         self.model, self.chars = self.tokenizer.model, byte_chars()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|<>()]+)?")
-        self.stems = Bounded(self._stem, STEMS_KEPT, "token files")
-        self.words = Bounded(self._word, WORDS_KEPT, "token files")
+        self.stems = Bounded(self._stem, STEMS_KEPT)
+        self.words = Bounded(self._word, WORDS_KEPT)
 
     def _stem(self, stem: str) -> bytes:
         shown = stem if stem.isascii() else "".join(map(self.chars.__getitem__, stem.encode()))
@@ -85,14 +85,11 @@ class WordBpe:
 
 
 @functools.lru_cache(maxsize=2)
-def loaded(path: str, plain_specials: bool) -> WordBpe:
+def word_bpe(path: str, plain_specials: bool = False) -> WordBpe:
     return WordBpe(path, plain_specials)
 
 
-def word_bpe(path: str, plain_specials: bool = False) -> WordBpe:
-    """The process's tokenizer; tables of other operators are emptied."""
-    Bounded.turn("token files")
-    return loaded(path, plain_specials)
+KEPT.append(("token files", word_bpe.cache_clear))
 
 
 def file_system(uri: str):
@@ -205,7 +202,7 @@ def write_documents(docs: DataFrame, folder: str, path: str, end_id: int = 1, le
     width = shuffle_width(docs.sparkSession)
     text = F.col("text")
     ordered = docs.select(F.col("doc_id").cast("long"), text.cast("binary").alias("text")).repartitionByRange(width, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    index = write_table(ordered.mapInArrow(released(run), "doc_id long, file string, pos long, n_tokens long"), "token-index")
+    index = write_table(ordered.mapInArrow(released(run, "token files"), "doc_id long, file string, pos long, n_tokens long"), "token-index")
     remove_lost(index, folder)
     return index
 

@@ -139,10 +139,10 @@ def test_fragments_are_a_monoid(plain):
 
 
 def test_table_of_stretches_is_bounded(monkeypatch):
-    monkeypatch.setattr(alignment, "KEPT_BYTES", 100_000)
+    monkeypatch.setattr(alignment, "WORD_BYTES", 100_000)
     at = alignment.Aligner(A, B)
     for k in range(3000):
         at.align_all([f"w{k} 漢{k}字 common"])
         assert len(at.kept) < 300 and at.size < 110_000
     at.align_all(["漢字" * 5000])
-    assert all(len(k) <= alignment.KEPT_LENGTH for k in at.kept)
+    assert all(len(k) <= alignment.WORD_LENGTH for k in at.kept)

@@ -8,7 +8,7 @@ import public_tokenizers as P
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from churnscope.llm import bpe, host_rules, mixing, sharding, token_files
+from churnscope.llm import bpe, common, host_rules, mixing, sharding, token_files
 from tests.llm.test_operators import ids_bytes
 
 NAMES = ["rest", "epochs", "_key", "_bucket", "_block", "_host", "_in", "_source", "tie", "a.b", "_of"]
@@ -57,9 +57,11 @@ def test_tables_are_bounded_by_bytes():
         codec.encode("".join(chr(0x4E00 + r.randrange(3000)) for _ in range(20_000)))
     assert codec.chunks.size + codec.pieces.size < 1 << 20
     codec.encode("some words here")
-    assert codec.chunks
-    bpe.Bounded.turn("another operator")
-    assert not codec.chunks and not codec.pieces
+    assert codec.chunks and bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN) and bpe.codec.cache_info().currsize
+    list(common.released(lambda batches: batches, "bpe")(iter([1])))
+    assert bpe.codec.cache_info().currsize
+    list(common.released(lambda batches: batches, "another operator")(iter([1])))
+    assert not bpe.codec.cache_info().currsize
 
 
 def test_token_files_take_the_plain_call(spark, tmp_path):
