@@ -19,8 +19,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a thousand rows at a time, so a batch stays small on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Host-level quality rules: documents that fail, or whose host is rejected, go."""
+    small_batches(spark)
     docs = docs.select(COLUMNS)
     measured = host_rules.features(docs.withColumn("_text", F.col("text")), text="_text")
     figures = write_table(measured.select("source", "base_failed"), "host-figures")
@@ -46,6 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Format-preserving pseudonyms in place of personal data; every document stays."""
+    small_batches(spark)
     return pseudonyms.pseudonymise(docs.select(COLUMNS), pseudonyms.DEMO_KEY).select(COLUMNS)
 
 
@@ -57,6 +64,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of each document's text."""
+    small_batches(spark)
     return bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "source", "ids", F.size("ids").alias("n_tokens"))
 
 
