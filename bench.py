@@ -34,7 +34,7 @@ HEADLINE = [
     "F21_customer_features_events",
     "S1_read_transactions_csv",
     "ST_stream_ingest_events",
-    "M8_M10_model_metrics",
+    "M8_M10_model_metrics_40_rounds",
     "M13_contributions",
 ]
 

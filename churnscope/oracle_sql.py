@@ -766,3 +766,25 @@ SELECT stock_code, count(*) AS lines, {r6('CAST(sum(amount) AS DOUBLE)')} AS amo
        CAST(max(CASE WHEN odd THEN n + 11 + length(stock_code) ELSE n END) AS INTEGER) AS longest,
        CAST(sum(CASE WHEN odd THEN 2 ELSE 0 END) AS BIGINT) AS breaks
 FROM l GROUP BY stock_code"""
+
+
+# --------------------------------------------------------------------------
+# What holds for any fitted model: rows, splits and values that SQL can derive
+# --------------------------------------------------------------------------
+
+_R = f"_{C.QUERY_ROUNDS}_rounds"
+_TEST = f"WITH {labelled_ctes('orders')}, {_stratified('cust', 0)}"
+ORACLES["M12_model_checks" + _R] = f"{_TEST} SELECT customer_id, churn, {_IS_TEST} AS is_test, false AS broken FROM ranked"
+ORACLES["M9_cross_validate_checks" + _R] = (
+    f"WITH {labelled_ctes('orders')}, {_stratified('cust', 3)}, f AS (SELECT churn, CAST({_fold_expr(C.CV_FOLDS)} AS INTEGER) AS fold FROM ranked) "
+    "SELECT fold, count(*) AS customers, CAST(sum(churn) AS BIGINT) AS churned, true AS better FROM f GROUP BY fold")
+ORACLES["M14_whatif_checks" + _R] = f"WITH {labelled_ctes('orders')} SELECT customer_id AS request_id, true AS values_fit, true AS tier_fits FROM cust"
+ORACLES["S4_model_roundtrip_scores" + _R] = f"WITH {labelled_ctes('orders')} SELECT customer_id, true AS same FROM cust"
+ORACLES["W7_top_checks"] = f"{_TEST} SELECT customer_id, CAST(8 AS BIGINT) AS n, CAST(8 AS BIGINT) AS features FROM ranked WHERE {_IS_TEST}"
+ORACLES["A18_importance_checks"] = "SELECT unnest([" + ", ".join(f"'{c}'" for c in C.FEATURE_COLS) + "]) AS feature, true AS not_negative"
+ORACLES["M13_contribution_checks"] = f"{_TEST} SELECT customer_id, CAST({len(C.FEATURE_COLS)} AS BIGINT) AS n, true AS additive FROM ranked WHERE {_IS_TEST}"
+ORACLES["M15_baseline_checks"] = (
+    f"WITH bf AS ({ORACLES['F22_baseline_features']}), {_stratified('bf', 0)} "
+    f"SELECT customer_id, frequency, monetary, churn, {_IS_TEST} AS is_test, {r6(f'monetary * {C.AVG_PROFIT_MARGIN}')} AS clv, "
+    f"{r6(f'monetary * {C.AVG_PROFIT_MARGIN} * {1 - C.DISCOUNT_RATE}')} AS retention_gain, "
+    f"{r6(f'monetary * {C.AVG_PROFIT_MARGIN} * {1 - C.DISCOUNT_RATE} - {C.RETENTION_COST_PER_CUSTOMER}')} AS roi, true AS good FROM ranked")

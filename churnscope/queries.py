@@ -84,7 +84,7 @@ FLAGSHIP = "C1_C3_customer_risk_scores"
 # ---------------------------------------------------------------- shared tables
 
 from churnscope import config as C  # noqa: E402
-from churnscope.config import DEFAULT  # noqa: E402
+from churnscope.config import DEFAULT, QUERY, QUERY_ROUNDS  # noqa: E402
 from churnscope.operators import cohorts as CO  # noqa: E402
 from churnscope.operators import metrics as ME  # noqa: E402
 from churnscope.operators import portfolio as PF  # noqa: E402
@@ -476,24 +476,24 @@ def q_class_report(spark, sf_dir):
 # ---------------------------------------------------------------- models
 
 def model_of(spark, sf_dir, source="orders"):
-    """Calibrated ensemble trained on the non-test customers (full sizes)."""
+    """Calibrated ensemble trained on the non-test customers."""
     from churnscope.plans.model import fit_calibrated
     k = (app_id(spark), "model", sf_dir, source)
     if k not in _TABLES:
-        _TABLES[k] = fit_calibrated(split_of(spark, sf_dir, source).filter(~F.col("is_test")), DEFAULT)
+        _TABLES[k] = fit_calibrated(split_of(spark, sf_dir, source).filter(~F.col("is_test")), QUERY)
     return _TABLES[k]
 
 
 def cv_of(spark, sf_dir, source="orders"):
     """(fold, auc) of the cross-validation, written once per session."""
     from churnscope.plans import model as M
-    return _memo(spark, ("cv", sf_dir, source), lambda: M.cross_validate(cust_of(spark, sf_dir, source), DEFAULT))
+    return _memo(spark, ("cv", sf_dir, source), lambda: M.cross_validate(cust_of(spark, sf_dir, source), QUERY))
 
 
 def model_scored_of(spark, sf_dir, source="orders"):
     """Risk score table on the model probability and K-means segments."""
     def build():
-        scored = model_of(spark, sf_dir, source).transform(segments_of(spark, sf_dir, source))
+        scored = model_of(spark, sf_dir, source).transform(segments_of(spark, sf_dir, source))  # segments, tiers: DEFAULT
         test = split_of(spark, sf_dir, source).select("customer_id", "is_test")
         return SC.score_table(scored, DEFAULT).join(test, "customer_id")
     return _memo(spark, ("model_scored", sf_dir, source), build)
@@ -528,30 +528,53 @@ def q_kmeans_summary(spark, sf_dir):
     return out(SU.segment_summary(SC.score_table(SC.fixture_probability(cust, t))))
 
 
-@query("M12_model_scores")
+@query(f"M12_model_scores_{QUERY_ROUNDS}_rounds")
 def q_model_scores(spark, sf_dir):
     return out(model_scored_of(spark, sf_dir).select("customer_id", "churn", "churn_prob", "risk_tier",
                                                      "decision", "is_test"))
 
 
-@query("M8_M10_model_metrics")
+def _broken(scored):
+    """Whether a scored row contradicts its own probability: range, tier, loss, decision."""
+    from churnscope.functions.scalar import decision, risk_tier
+    p = F.col("churn_prob")
+    good = ((p >= 0) & (p <= 1) & (F.col("risk_tier") == risk_tier("churn_prob", DEFAULT))
+            & (F.abs(F.col("expected_loss") - p * F.col("clv")) <= 0.01) & (F.col("decision") == decision(p, F.col("net_roi"), DEFAULT)))
+    return ~F.coalesce(good, F.lit(False))
+
+
+@query(f"M12_model_checks_{QUERY_ROUNDS}_rounds")
+def q_model_checks(spark, sf_dir):
+    """Every customer scored once, with the split it was trained on, and nothing that contradicts its probability."""
+    s = model_scored_of(spark, sf_dir)
+    return s.select("customer_id", "churn", "is_test", _broken(s).alias("broken"))
+
+
+@query(f"M8_M10_model_metrics_{QUERY_ROUNDS}_rounds")
 def q_model_metrics(spark, sf_dir):
     from churnscope.plans.model import model_metrics
     s = model_scored_of(spark, sf_dir).filter(F.col("is_test"))
     return out(model_metrics(s, cv_of(spark, sf_dir)))
 
 
-@query("M11_model_class_report")
+@query(f"M11_model_class_report_{QUERY_ROUNDS}_rounds")
 def q_model_class_report(spark, sf_dir):
     s = model_scored_of(spark, sf_dir).filter(F.col("is_test"))
     return out(ME.class_report(s, "churn", "churn_prob"))
 
 
-@query("M9_cross_validate")
+@query(f"M9_cross_validate_{QUERY_ROUNDS}_rounds")
 def q_cv(spark, sf_dir):
     return out(cv_of(spark, sf_dir))
 
 
+@query(f"M9_cross_validate_checks_{QUERY_ROUNDS}_rounds")
+def q_cv_checks(spark, sf_dir):
+    """Fold sizes by class, and whether each fold's AUC is better than chance."""
+    folds = q_folds(spark, sf_dir).groupBy("fold").agg(F.count("*").alias("customers"), F.sum("churn").cast("bigint").alias("churned"))
+    return folds.join(cv_of(spark, sf_dir), "fold").select("fold", "customers", "churned", (F.col("auc") > 0.5).alias("better"))
+
+
 # ---------------------------------------------------------------- what-if
 
 @query("M14_whatif_features")
@@ -561,13 +584,28 @@ def q_whatif_features(spark, sf_dir):
     return out(whatif_features(requests_from_customers(cust), cust))
 
 
-@query("M14_whatif_scores")
+@query(f"M14_whatif_scores_{QUERY_ROUNDS}_rounds")
 def q_whatif_scores(spark, sf_dir):
     from churnscope.plans.whatif import requests_from_customers, whatif_scores
     cust = cust_of(spark, sf_dir, "orders")
     return out(whatif_scores(requests_from_customers(cust), cust, model_of(spark, sf_dir, "orders"), DEFAULT))
 
 
+@query(f"M14_whatif_checks_{QUERY_ROUNDS}_rounds")
+def q_whatif_checks(spark, sf_dir):
+    """The parts of a what-if answer that follow from the request, and whether its tier fits its probability."""
+    from churnscope.functions.scalar import risk_tier
+    s = q_whatif_scores(spark, sf_dir)
+    p = F.col("churn_probability")
+    near = [risk_tier("p_low", DEFAULT), risk_tier("p_high", DEFAULT)]  # the probability is rounded to 0.1 percent
+    s = s.withColumn("p_low", (p - 0.05) / 100).withColumn("p_high", (p + 0.05) / 100)
+    asked = cust_of(spark, sf_dir).select(F.col("customer_id").alias("request_id"), (F.col("monetary") * C.AVG_PROFIT_MARGIN).alias("value"))
+    s = s.join(asked, "request_id")
+    roi = F.col("value") * (1 - C.DISCOUNT_RATE) - C.RETENTION_COST_PER_CUSTOMER
+    cents = (F.abs(F.col("clv") - F.col("value")) < 0.0051) & (F.abs(F.col("net_roi") - roi) < 0.0051)  # rounded to cents
+    return s.select("request_id", cents.alias("values_fit"), F.col("risk_tier").isin(*near).alias("tier_fits"))
+
+
 # ---------------------------------------------------------------- explanations
 
 def explainer_of(spark, sf_dir, source="orders"):
@@ -579,17 +617,19 @@ def explainer_of(spark, sf_dir, source="orders"):
     return _TABLES[k]
 
 
-def explained_of(spark, sf_dir, source="orders"):
-    """Contributions of the boosted-tree explainer for the test customers."""
+def contributions_of(spark, sf_dir, source="orders", customers=None):
+    """Contributions of the boosted-tree explainer for the test customers, or those of them that are named."""
     from churnscope.plans import explain as X
+    cust = split_of(spark, sf_dir, source)
+    train, test = cust.filter(~F.col("is_test")), cust.filter(F.col("is_test"))
+    if customers is not None:
+        test = test.join(customers, "customer_id", "left_semi")
+    scaler, gbt = explainer_of(spark, sf_dir, source)
+    return X.contributions(test, scaler, gbt, X.background(train, scaler, DEFAULT))
 
-    def build():
-        cust = split_of(spark, sf_dir, source)
-        train, test = cust.filter(~F.col("is_test")), cust.filter(F.col("is_test"))
-        scaler, gbt = explainer_of(spark, sf_dir, source)
-        bg = X.background(train, scaler, DEFAULT)
-        return X.contributions(test, scaler, gbt, bg)
-    return _memo(spark, ("contrib", sf_dir, source), build)
+
+def explained_of(spark, sf_dir, source="orders"):
+    return _memo(spark, ("contrib", sf_dir, source), lambda: contributions_of(spark, sf_dir, source))
 
 
 @query("M13_contributions")
@@ -609,12 +649,39 @@ def q_top_contrib(spark, sf_dir):
     return out(top_contributions(explained_of(spark, sf_dir)))
 
 
-@query("W10_example_explanation")
+@query(f"W10_example_explanation_{QUERY_ROUNDS}_rounds")
 def q_example_explanation(spark, sf_dir):
     from churnscope.plans.explain import top_contributions
     s = model_scored_of(spark, sf_dir).filter(F.col("is_test"))
-    ex = SU.example_high_risk(s).select("customer_id")
-    return out(top_contributions(explained_of(spark, sf_dir)).join(ex, "customer_id", "left_semi"))
+    ex = write_table(SU.example_high_risk(s).select("customer_id"), "example")  # one customer, and only that one is explained
+    return out(top_contributions(contributions_of(spark, sf_dir, customers=ex)))
+
+
+@query("M13_contribution_checks")
+def q_contrib_checks(spark, sf_dir):
+    """Sixteen contributions for each test customer, which with the base value add up to the model's margin."""
+    from churnscope.plans import explain as X
+    cust = split_of(spark, sf_dir)
+    scaler, gbt = explainer_of(spark, sf_dir)
+    base = X.base_value(gbt, spark, X.background(cust.filter(~F.col("is_test")), scaler, DEFAULT))
+    sums = explained_of(spark, sf_dir).groupBy("customer_id").agg(F.sum("phi").alias("phi"), F.count("*").alias("n"))
+    both = sums.join(X.margins(cust.filter(F.col("is_test")), scaler, gbt), "customer_id")
+    return both.select("customer_id", "n", (F.abs(F.col("phi") + F.lit(base) - F.col("margin")) <= 1e-6).alias("additive"))
+
+
+@query("W7_top_checks")
+def q_top_checks(spark, sf_dir):
+    """Eight contributions for each test customer, the largest ones in order."""
+    each = q_top_contrib(spark, sf_dir).groupBy("customer_id").agg(F.count("*").alias("n"), F.countDistinct("feature").alias("features"))
+    return each.select("customer_id", "n", "features")
+
+
+@query("A18_importance_checks")
+def q_importance_checks(spark, sf_dir):
+    """Every model feature once, no negative importance."""
+    g = q_importance(spark, sf_dir)
+    value = [c for c, t in g.dtypes if t == "double"][0]
+    return g.select("feature", (F.col(value) >= 0).alias("not_negative"))
 
 
 # ---------------------------------------------------------------- sources and sinks (S1-S4), pipeline
@@ -667,7 +734,7 @@ def q_results(spark, sf_dir):
     return out(read_results(spark, path, ["customer_risk_scores"])["customer_risk_scores"])
 
 
-@query("S4_model_roundtrip_scores")
+@query(f"S4_model_roundtrip_scores_{QUERY_ROUNDS}_rounds")
 def q_model_roundtrip(spark, sf_dir):
     """Scores of a saved and reloaded model next to the in-memory model's."""
     from churnscope.sources.results import load_model, save_model
@@ -678,16 +745,16 @@ def q_model_roundtrip(spark, sf_dir):
     cust = cust_of(spark, sf_dir, "orders")
     a = m.transform(cust).select("customer_id", "churn_prob")
     b = m2.transform(cust).select("customer_id", F.col("churn_prob").alias("churn_prob_loaded"))
-    return out(a.join(b, "customer_id"))
+    return a.join(b, "customer_id").select("customer_id", F.col("churn_prob").eqNullSafe(F.col("churn_prob_loaded")).alias("same"))
 
 
-@query("M15_pipeline_scores")
+@query(f"M15_pipeline_scores_{QUERY_ROUNDS}_rounds")
 def q_pipeline(spark, sf_dir):
     """The whole pipeline on the orders adapter, all its results written; the
     fits are the ones that the other model queries use."""
     from churnscope.plans.pipeline import run_pipeline
     fits = {"model": model_of(spark, sf_dir), "cv": cv_of(spark, sf_dir), "explainer": explainer_of(spark, sf_dir)}
-    res = run_pipeline(spark, ADAPTERS["orders"](spark, sf_dir), DEFAULT, out_dir=_scratch(spark, "pipeline"), fits=fits)
+    res = run_pipeline(spark, ADAPTERS["orders"](spark, sf_dir), QUERY, out_dir=_scratch(spark, "pipeline"), fits=fits)
     return out(res["customer_risk_scores"])
 
 
@@ -732,3 +799,13 @@ query("F17_baseline_trend")(_feature_query("F17", "trend", FE.baseline_trend_of,
 @query("W2_monthly_pct_change")
 def q_pct_change(spark, sf_dir):
     return out(FE.monthly_pct_change(FE.monthly_spend(tx_of(spark, sf_dir, "orders"))))
+
+
+@query("M15_baseline_checks")
+def q_baseline_checks(spark, sf_dir):
+    """The baseline table's features, values and split, and whether its decisions follow from its probabilities."""
+    from churnscope.functions.scalar import baseline_decision
+    b = q_baseline_pipeline(spark, sf_dir)
+    good = F.col("churn_prob").between(0, 1) & (F.col("decision") == baseline_decision("churn_prob", "roi")) & (F.abs(F.col("expected_loss") - F.col("churn_prob") * F.col("clv")) <= 0.01 + 1e-6 * F.col("clv"))
+    b = b.withColumn("good", good)
+    return b.select("customer_id", "frequency", "monetary", "churn", "is_test", "clv", "retention_gain", "roi", "good")
