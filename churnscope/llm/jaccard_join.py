@@ -371,7 +371,8 @@ def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int)
     of = write_table(of.select("_id").distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     texts, shared = sifted(texts, "doc_id", of)
-    texts = texts.join(of, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    # a merge join at every size: the sieve and the sets are stages of their own, so a task holds one Python worker
+    texts = texts.join(of.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
