@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = docs.select(COLUMNS)
     measured = host_rules.features(docs.withColumn("_text", F.col("text")), text="_text")
-    figures = write_table(measured.select("source", "base_failed"), "host-figures")
-    hosts = host_rules.host_rates(figures).filter(F.col("shrunk_rate") >= host_rules.HOST_LIMIT)
+    figures = write_table(measured.select("source", *host_rules.FIGURES), "host-figures")
+    hosts = host_rules.rejected_hosts(figures, rules=host_rules.RULES)
     good = measured.filter(~F.col("base_failed"))
     return good.join(hosts, F.col("source").eqNullSafe(F.col("host")), "left_anti").select(COLUMNS)
 
