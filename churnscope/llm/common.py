@@ -78,11 +78,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
 
 
+#: Settings that bound what a task holds of its rows on the way to Python.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 @contextlib.contextmanager
 def stored_steps(spark: SparkSession) -> Iterator[None]:
     """Settings for jobs whose steps are all stored tables: Spark removes a query's shuffle files when the query ends,
-    and hands texts to Python in small batches."""
-    ours = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    and hands rows to Python in batches small by rows and by bytes (a thousand long sets are 160 MB)."""
+    ours = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **SMALL_BATCHES}
     before = {k: spark.conf.get(k, None) for k in ours}
     for k, v in ours.items():
         spark.conf.set(k, v)

@@ -104,3 +104,14 @@ def test_a_task_that_writes_twice(spark, tmp_path):
     token_files.remove_lost(index, folder)
     assert [p.name for p in (tmp_path / "ids").iterdir()] == ["part-000000-2-y.zst"]
     assert [bytes(r["ids"]) for r in token_files.read_documents(index, folder).collect()] == [ids_bytes([1, 2, 3])]
+
+
+def test_batches_of_long_rows_are_small_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    long = spark.range(300).selectExpr("id", "repeat('x', 100000) AS text").coalesce(1)
+    with common.stored_steps(spark):
+        rows = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
+    assert sum(rows) == 300 and max(rows) <= (4 << 20) // 100_000 + 1
