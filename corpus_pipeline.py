@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnscope.llm import bpe, host_rules, jaccard_join, mixing, pseudonyms
-from churnscope.llm.common import WORD, read, word_count, write_table
+from churnscope.llm.common import SMALL_BATCHES, WORD, read, word_count, write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies share this percentage of their shingles of so many words; op4's query keeps its own values.
@@ -20,8 +20,9 @@ NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python a thousand rows at a time, so a batch stays small on both sides."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Whole texts go to Python in batches that stay small on both sides, by rows and by bytes."""
+    for name, value in SMALL_BATCHES.items():
+        spark.conf.set(name, value)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
