@@ -1,17 +1,14 @@
 """Classification metrics from (label, score) columns.
 
 Ranking metrics need cumulative counts in score order. Scores are first
-reduced to (score, positives, negatives); the distinct scores are cut into
-range buckets by approximate quantiles (a bounded sketch), cumulative sums
-run per bucket in parallel, and per-bucket offsets (one row per bucket) are
-added back. No step puts all scores in one task.
+reduced to (score, positives, negatives); the distinct scores are dealt into
+range buckets, cumulative sums run per bucket in parallel, and per-bucket
+offsets, summed in two levels (buckets within groups, then groups), are added
+back. No step puts all scores, or all buckets, in one task.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,55 +16,47 @@ from churnscope import config as C
 from churnscope.session import write_table
 
 
-MAX_BUCKETS = 4096
+#: Buckets whose totals are summed in one group of the second level.
+LEVEL = 1024
 
 
 def default_buckets(spark) -> int:
-    """Range buckets for running sums: the shuffle parallelism, within
-    [64, MAX_BUCKETS]. A row finds its bucket by binary search over the split
-    points, and the per-bucket offsets are one row per bucket."""
-    return min(MAX_BUCKETS, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Range buckets for running sums: the shuffle parallelism, 64 at least."""
+    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucket_offsets(totals: DataFrame, cols) -> DataFrame:
+    """Per ``_bucket``: ``_o_<col>``, the sum of all earlier buckets, and ``tot_<col>``, of all; from ``_t_<col>``.
+
+    Sums run within groups of LEVEL buckets and over one row a group, so no task orders more than LEVEL buckets or all groups."""
+    totals = totals.withColumn("_group", F.floor(F.col("_bucket") / LEVEL))
+    groups = totals.groupBy("_group").agg(*[F.sum(f"_t_{c}").alias(f"_g_{c}") for c in cols])
+    earlier = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    groups = groups.select("_group", *[F.coalesce(F.sum(f"_g_{c}").over(earlier), zero).alias(f"_e_{c}") for c in cols],
+                           *[F.sum(f"_g_{c}").over(Window.partitionBy()).alias(f"tot_{c}") for c in cols])
+    within = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inner = totals.select("_bucket", "_group", *[F.coalesce(F.sum(f"_t_{c}").over(within), zero).alias(f"_w_{c}") for c in cols])
+    return inner.join(groups, "_group").select("_bucket", *[(F.col(f"_e_{c}") + F.col(f"_w_{c}")).alias(f"_o_{c}") for c in cols],
+                                               *[f"tot_{c}" for c in cols])
 
 
-def prefix_sums(df: DataFrame, order_col: str, cols, n_buckets: int = None,
-                accuracy: int = 10000) -> DataFrame:
+def prefix_sums(df: DataFrame, order_col: str, cols, n_buckets: int = None) -> DataFrame:
     """Inclusive running sums of ``cols`` in ascending ``order_col`` order,
     added as ``cum_<col>``, and grand totals as ``tot_<col>``.
-    ``order_col`` values must be distinct."""
+    ``order_col`` values must be distinct; null comes first and NaN last."""
     if n_buckets is None:
         n_buckets = default_buckets(df.sparkSession)
-    splits = []
-    if n_buckets > 1:
-        # The split points need their own job; write the input once (one row
-        # per distinct order value) so the rows it aggregates, e.g. model
-        # scores, are computed once for the sketch and the sums.
-        df = write_table(df, "prefix_sums_input")
-        # Split points from a bounded sketch (n_buckets - 1 numbers), fine
-        # enough that buckets hold similar numbers of rows.
-        qs = [i / n_buckets for i in range(1, n_buckets)]
-        rel = min(1.0 / accuracy, 0.25 / n_buckets)
-        splits = sorted({float(v) for v in df.stat.approxQuantile(order_col, qs, rel)
-                         if v is not None and math.isfinite(v)})
-    if splits:
-        # Binary search in the JVM; NaN goes to a last bucket (NaN sorts
-        # last), null to bucket 0 (nulls sort first).
-        b = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=order_col,
-                       outputCol="_bucket_d", handleInvalid="keep").transform(df)
-        b = b.withColumn("_bucket", F.coalesce(F.col("_bucket_d").cast("int"), F.lit(0))) \
-             .drop("_bucket_d")
-    else:
-        b = df.withColumn("_bucket", F.lit(0))
-    # One row per bucket: exclusive running totals of earlier buckets.
-    tot = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy()
-    off = tot.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
-                                  for c in cols],
-                     *[F.sum(f"_t_{c}").over(wall).alias(f"tot_{c}") for c in cols])
+    # Rows are dealt by ranges of the order and written once, so what they
+    # come from, e.g. model scores, is computed once for totals and sums.
+    dealt = df.repartitionByRange(n_buckets, order_col) if n_buckets > 1 else df.coalesce(1)
+    b = write_table(dealt.withColumn("_bucket", F.spark_partition_id()), "prefix_sums_input")
+    off = bucket_offsets(b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols]), cols)
     wi = (Window.partitionBy("_bucket").orderBy(order_col)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = b.select("*", *[F.sum(c).over(wi).alias(f"_i_{c}") for c in cols])
-    j = inner.join(F.broadcast(off), "_bucket")
+    # one row a bucket: as many as the shuffle has partitions; AQE broadcasts them where measured small
+    j = inner.join(off, "_bucket")
     return j.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"cum_{c}") for c in cols],
                     *[f"tot_{c}" for c in cols])
 

@@ -540,6 +540,8 @@ ORACLES["P7_filter_customers"] = (f"WITH {_S} SELECT {score_select()} FROM score
 ORACLES["P8_search_customers"] = (f"WITH {_S} SELECT {score_select()} FROM scored "
                                   "WHERE regexp_matches(customer_id, '^1.*7$', 'i') AND risk_tier = 'High Risk'")
 ORACLES["P9_lookup_customer"] = f"WITH {_S} SELECT {score_select()} FROM scored WHERE customer_id = '767'"
+ORACLES["P8_gram_search"] = f"WITH {_S} SELECT {score_select()} FROM scored WHERE regexp_matches(customer_id, '^1?140', 'i')"
+ORACLES["P9_key_lookup"] = f"WITH {_S} SELECT {score_select()} FROM scored WHERE customer_id = '140'"
 ORACLES["P10_at_risk"] = (f"WITH {_S} SELECT customer_id, risk_tier, {r6('churn_prob')} AS churn_prob "
                           f"FROM scored WHERE risk_tier IN ({_AT_RISK})")
 _PAGE = (f"customer_id, risk_tier, {r6('churn_prob')} AS churn_prob, {r6('clv')} AS clv, decision, recency, "

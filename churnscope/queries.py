@@ -359,6 +359,23 @@ def q_lookup(spark, sf_dir):
     return out(SU.lookup_customer(_scored(spark, sf_dir), " 767 "))
 
 
+@query("P8_gram_search")
+def q_gram_search(spark, sf_dir):
+    """Search by part of an id through the posting table."""
+    from churnscope.operators.lookup import gram_index, search_by_grams
+    scored = scored_of(spark, sf_dir, "orders")
+    index = _memo(spark, ("gram_index", sf_dir), lambda: gram_index(scored))
+    return out(search_by_grams(scored, index, "^1?140"))
+
+
+@query("P9_key_lookup")
+def q_key_lookup(spark, sf_dir):
+    """Lookup in the table clustered by id."""
+    from churnscope.operators.lookup import key_index, lookup_by_key
+    index = _memo(spark, ("key_index", sf_dir), lambda: key_index(scored_of(spark, sf_dir, "orders")))
+    return out(lookup_by_key(index, " 140 "))
+
+
 @query("P10_at_risk")
 def q_at_risk(spark, sf_dir):
     return out(SU.at_risk(_scored(spark, sf_dir)).select("customer_id", "risk_tier", "churn_prob"))

@@ -64,13 +64,13 @@ def app_id(spark: SparkSession) -> str:
         return spark.conf.get("spark.app.id", "app")
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a parquet table under the shared checkpoint folder and
     read it back: lineage is cut, the data survives executor loss, and later
-    scans get column pruning and filter pushdown."""
+    scans get column pruning and filter pushdown. ``options`` go to the writer."""
     import uuid
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
