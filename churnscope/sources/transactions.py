@@ -41,7 +41,8 @@ def _csv_records(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
 
     names = spark.read.option("header", True).options(**CSV_OPTIONS).csv(path).columns
     fields = F.from_csv("record", ", ".join(f"`{c}` string" for c in names), CSV_OPTIONS)
-    rows = records(lines).filter(F.length("record") > 0).select("split", fields.alias("r"))
+    # exploded, so that no filter on the columns moves below the parsing, which it would repeat for each column it names
+    rows = records(lines).filter(F.length("record") > 0).select("split", F.explode(F.array(fields)).alias("r"))
     # every file begins with the header
     header = F.array(*(F.coalesce(F.col(f"r.`{c}`"), F.lit("")) for c in names)) == F.array(*map(F.lit, names))
     return rows.filter(~((F.col("split") == 0) & header)).select("r.*")
