@@ -40,7 +40,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnscope.llm.bpe import Bounded, slices
@@ -365,6 +365,21 @@ def sifted(rows: DataFrame, column: str, ids: DataFrame) -> tuple[DataFrame, Bro
     return rows.withColumn("_h", F.xxhash64(column)).mapInArrow(released(some), rows.schema), shared
 
 
+def may_be(ids: DataFrame) -> Callable[[Column], Column]:
+    """For a long column, whether it may be one of ``ids`` (``_id`` long): false for no id, and by the bits for few others.
+
+    Only hashes travel to Python; rows that are surely none of the ids need no shuffle, an exact join is to decide on the rest."""
+    shared = ids.sparkSession.sparkContext.broadcast(sieve(ids))
+
+    @F.arrow_udf("boolean")
+    def some(h: pa.Array) -> pa.Array:
+        bits, word = shared.value
+        spot = h.to_numpy() % bits
+        return pa.array((word[spot >> 6] >> (spot & 63)) & 1 == 1)
+
+    return lambda column: some(F.xxhash64(column))
+
+
 def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Stored: (id, n, values) of the wanted classes, from the whole text of one document of each."""
     of = rows.filter(F.col("n") > 0).groupBy("cid").agg(F.min("doc_id").alias("_id")).join(wanted, "cid", "left_semi")

@@ -40,15 +40,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """N-gram Jaccard join: of each class of linked documents one row stays, that with the smallest id.
 
     A row's key is a hash of its id and text, so rows of one id and different texts are told apart; keys decide among
-    rows of one id, and null ids come last. Rows without words link with nothing and all stay."""
-    docs = docs.select(COLUMNS)
-    worded = docs.filter(F.col("text").rlike(WORD)).withColumn("_key", F.xxhash64("doc_id", "text"))
+    rows of one id, and null ids come last. Rows without words link with nothing and all stay.
+
+    All this is found on keys and ids alone. Whole rows are dealt by key only where they may go, or their key is there
+    more than once; the others stay where they are."""
+    small_batches(spark)
+    docs = docs.select(COLUMNS).withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_worded", F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    worded = docs.filter("_worded")
     linked = jaccard_join.link_classes(worded.select(F.col("_key").alias("doc_id"), "text"), width=NEAR_WIDTH, percent=NEAR_PERCENT)
-    classes = linked.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_class")).distinct()
-    ids = worded.select("_key", "doc_id").distinct().join(classes, "_key")
-    first = ids.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key")).select("_key").distinct()
-    kept = worded.join(first, "_key", "left_semi").dropDuplicates(["_key", "doc_id"])  # the join has dealt them by key already
-    return kept.select(COLUMNS).unionByName(docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)))
+    classes = linked.groupBy(F.col("doc_id").alias("_key"), F.col("component_id").alias("_class")).agg(F.count("*").alias("_rows"))
+    ids = write_table(worded.select("_key", "doc_id").distinct().join(classes, "_key"), "near-ids")
+    first = write_table(ids.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_key")).select("_key").distinct(), "near-first")
+    times = ids.groupBy("_key").agg(F.sum("_rows").alias("_rows")).join(first.withColumn("_first", F.lit(True)), "_key", "left")
+    unsure = write_table(times.filter("_first is null or _rows > 1").select(F.col("_key").alias("_id")), "near-unsure")
+    docs = docs.withColumn("_unsure", F.col("_worded") & jaccard_join.may_be(unsure)(F.col("_key")))
+    kept = docs.filter("_unsure").join(first, "_key", "left_semi").dropDuplicates(["_key", "doc_id"])  # the join has dealt them by key already
+    return kept.select(COLUMNS).unionByName(docs.filter("not _unsure").select(COLUMNS))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

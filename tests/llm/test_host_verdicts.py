@@ -1,7 +1,9 @@
 import duckdb
 import pytest
 
+import corpus_pipeline
 from churnscope.llm import host_rules
+from tests.llm.conftest import DOCS
 
 
 def test_a_rejected_host_loses_documents_that_pass(spark):
@@ -48,3 +50,17 @@ def test_a_host_below_the_limit_loses_nothing(spark):
     rows = [(f"h{h}", n < 4) for h in range(20) for n in range(100)] + [("half", n < 40) for n in range(100)]
     measured = spark.createDataFrame(rows, "source string, base_failed boolean")
     assert host_rules.rejected_hosts(measured).count() == 0
+
+
+def test_few_verdicts_deal_no_documents(spark):
+    docs = spark.createDataFrame([(n, CLEAN.format(n) if n % 25 else "too short", "en", f"host{n % 20}", 1) for n in range(500)], DOCS)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "262144")
+    try:
+        good = corpus_pipeline.quality(spark, docs, "")
+        plan = good._jdf.queryExecution().executedPlan().toString()
+        assert good.count() == 480
+    finally:
+        spark.conf.set(limit, before)
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan

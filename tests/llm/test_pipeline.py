@@ -36,3 +36,31 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     unnamed = [k for k in got if k[0] is None and k[1] and k[1].startswith("i")]
     assert len(unnamed) == 1 and unnamed[0] in rows
     assert got == Counter([(1, one), (1, two), rows[4], rows[8], unnamed[0], *rows[12:]])
+
+
+def dealt(plan) -> int:
+    """Rows with texts that the exchanges of an executed plan have written."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return dealt(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return dealt(plan.plan())
+    own = kind == "ShuffleExchangeExec" and "text#" in plan.output().mkString(" ")
+    return own * (plan.metrics().apply("shuffleRecordsWritten").value() if own else 0) + sum(dealt(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_near_duplicates_deal_only_rows_that_may_go(spark):
+    rows = [(i, edited(60, range(0), f"t{i}_")) for i in range(400)] + [(400 + i, edited(60, range(0), f"t{i}_")) for i in range(10)]
+    rows += [(20, rows[20][1]), (None, rows[30][1])]  # a row twice, and a copy without an id
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        kept = corpus_pipeline.near_duplicates(spark, docs, "")
+        got = kept.collect()
+        moved = dealt(kept._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set(limit, before)
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows[:400])
+    assert 12 <= moved <= 100  # ten copies, the row that is there twice, the copy without an id, and what the bits can't tell apart
