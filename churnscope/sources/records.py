@@ -4,20 +4,25 @@ Files are read as lines, in splits. Whether a line begins inside a quoted field
 depends on everything before it in its file, but a line acts on that in one of
 four ways only: for each of the two states (outside, inside) in which it may
 begin, it ends in one of two. Such actions compose, and any run of lines has one
-action too:
+action too.
 
 1. Each line gets its action from two patterns (a quote opens a field only
    where one begins, a doubled quote stays inside it).
-2. Running actions are taken within blocks of lines, in parallel. A line that
-   ends in the same state whatever came before (nearly every line) fixes the
-   state, so a running action is the last such line and the parity of the
-   swaps since.
-3. One row a block passes the state on to the next block of its file.
-
-Lines that begin outside a field and end outside are records. The others are
-joined up to the line that ends outside. Joining groups by record, so its work
-grows with the lines of quoted breaks alone. A quote that is never closed would
-make the rest of its file one field; such a file is refused by name.
+2. Each split is read once, in order, by one task. After a line that ends in
+   the same state whatever came before, the state is known, and records are put
+   together where they are read. Lines before that, and the lines of a record
+   that its split does not end, are kept as lines, and a row a split tells its
+   action.
+3. The splits' actions tell in which state each begins. A line kept from a
+   split's beginning that is a record if the split begins outside is one if it
+   does.
+4. Only the other lines, pieces of records that cross splits, are joined by
+   shuffles, by the same actions: running ones within blocks of lines, in
+   parallel (the last line that fixes the state and the parity of the swaps
+   since), and a row a block that passes the state on to the next block.
+
+A quote that is never closed would make the rest of its file one field; such a
+file is refused by name.
 """
 
 from __future__ import annotations
@@ -56,12 +61,120 @@ def _fixed(opens: Column, stays: Column) -> Column:
     return opens == stays
 
 
+def _with_actions(lines: DataFrame) -> DataFrame:
+    quoted = F.col("line").contains('"')  # a line without quotes leaves the state as it is
+    return lines.withColumns({"opens": quoted & F.col("line").rlike(OPENS), "stays": ~quoted | F.col("line").rlike(STAYS)})
+
+
+#: Rows of ``pieces``: a record; a line of a split's beginning that is a record if the split begins outside, or part
+#: of one; a line of a record that the split does not end; the action of a split.
+RECORD, ALONE, PART, TAIL, ACTION = range(5)
+PIECES = "file string, split bigint, at bigint, record string, kind int, ends_out boolean, ends_in boolean"
+
+
+def pieces(lines: DataFrame) -> DataFrame:
+    """What the tasks can tell of their splits alone: rows of the kinds above, with no shuffle."""
+
+    def run(batches):  # made here, so that it goes to the workers by value
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def rows(place, at, record, kind, ends=(None, None)):
+            n = len(record)
+            columns = [pa.repeat(pa.scalar(place[0], pa.string()), n), pa.repeat(pa.scalar(place[1], pa.int64()), n), pa.array(at, pa.int64()), record,
+                       pa.array(kind, pa.int32()), *(pa.repeat(pa.scalar(e, pa.bool_()), n) for e in ends)]
+            return pa.RecordBatch.from_arrays(columns, names=["file", "split", "at", "record", "kind", "ends_out", "ends_in"])
+
+        def ends_of(opens, stays, begin):
+            """The state after each line, of lines of which the first begins in a state."""
+            swaps = np.cumsum(opens & ~stays)
+            last = np.maximum.accumulate(np.where(opens == stays, np.arange(len(opens)), -1))
+            state, since = np.where(last >= 0, opens[last], begin), np.where(last >= 0, swaps[last], 0)
+            return state ^ ((swaps - since) % 2 == 1)
+
+        def joined(texts, starts):
+            if len(starts) == len(texts):
+                return texts
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(texts)), pa.int32()), texts)
+            return pc.binary_join(lists, "\n")
+
+        place, known, outside, inside, held = None, False, False, True, None
+
+        def last_rows():
+            if held is not None:
+                yield rows(place, held[0], held[1], np.full(len(held[1]), TAIL))
+            ends = (held is not None,) * 2 if known else (bool(outside), bool(inside))
+            yield rows(place, [0], pa.array([None], pa.string()), [ACTION], ends)
+
+        for batch in batches:
+            file, split = batch.column("file"), np.asarray(batch.column("split"))
+            change = np.flatnonzero((split[1:] != split[:-1]) | np.asarray(pc.not_equal(file[1:], file[:-1]), dtype=bool)) + 1
+            for low, high in zip(np.append(0, change), np.append(change, len(split))):
+                if low == high:
+                    continue
+                here = (file[int(low)].as_py(), int(split[low]))
+                if here != place:
+                    if place is not None:
+                        yield from last_rows()
+                    place, known, outside, inside, held = here, False, False, True, None
+                part = batch.slice(int(low), int(high - low))
+                at, texts = np.asarray(part.column("at")), part.column("line")
+                opens, stays = (np.asarray(part.column(c), dtype=bool) for c in ("opens", "stays"))
+                if not known:
+                    if_out, if_in = ends_of(opens, stays, outside), ends_of(opens, stays, inside)
+                    sure = np.flatnonzero((if_out == if_in) & ~if_out)
+                    n = int(sure[0]) + 1 if len(sure) else len(at)
+                    alone = ~np.append(outside, if_out[:n - 1]) & ~if_out[:n]
+                    yield rows(place, at[:n], texts[:n], np.where(alone, ALONE, PART))
+                    known, outside, inside = len(sure) > 0, if_out[n - 1], if_in[n - 1]
+                    at, texts, opens, stays = at[n:], texts[n:], opens[n:], stays[n:]
+                if held is not None:
+                    at, opens, stays = (np.concatenate(x) for x in ((held[0], at), (held[2], opens), (held[3], stays)))
+                    texts, held = pa.concat_arrays([held[1], texts]), None
+                if not len(at):
+                    continue
+                ends = ends_of(opens, stays, False)
+                n = len(at) - int(np.argmax(~ends[::-1])) if not ends.all() else 0
+                if n:
+                    starts = np.flatnonzero(~np.append(False, ends[:n - 1]))
+                    yield rows(place, at[starts], joined(texts[:n], starts), np.full(len(starts), RECORD))
+                if n < len(at):
+                    held = (at[n:], texts[n:], opens[n:], stays[n:])
+        if place is not None:
+            yield from last_rows()
+
+    return _with_actions(lines).select("file", "split", "at", "line", "opens", "stays").mapInArrow(run, PIECES)
+
+
+def _begin_inside(actions: DataFrame) -> DataFrame:
+    """(file, split) of the splits that begin inside a field; a row a split is read."""
+    order = Window.partitionBy("file").orderBy("split")
+    swap = (F.col("ends_out") & ~F.col("ends_in")).cast("int")
+    a = actions.withColumn("swaps", F.sum(swap).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    fixed = F.when(F.col("ends_out") == F.col("ends_in"), F.struct(F.col("ends_out").alias("end"), F.col("swaps").alias("since")))
+    a = a.withColumn("fix", F.last(fixed, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    odd = (F.coalesce(F.lag("swaps").over(order), F.lit(0)) - F.coalesce(F.col("fix.since"), F.lit(0))) % 2 == 1
+    return a.withColumn("begin", F.coalesce(F.col("fix.end"), F.lit(False)) != odd).filter("begin").select("file", "split")
+
+
 def records(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """(file, split, at, record) of the records; ``at`` and ``split`` are those of a record's first line.
 
-    ``lines`` must keep their places between reads, so they are stored first."""
-    opens, stays = F.col("line").rlike(OPENS), F.col("line").rlike(STAYS)
-    lines = lines.withColumn("opens", opens).withColumn("stays", stays).withColumn("block", F.floor(F.col("at") / block_lines))
+    Places of lines, and splits, may differ from read to read, so ``lines`` are read once and their pieces stored."""
+    found = write_table(pieces(lines), "csv-pieces")
+    inside = F.broadcast(_begin_inside(found.filter(F.col("kind") == ACTION)))  # some of the splits
+    alone, place = found.filter(F.col("kind") == ALONE), ["file", "split"]
+    whole = found.filter(F.col("kind") == RECORD).unionByName(alone.join(inside, place, "left_anti"))
+    rest = found.filter(F.col("kind").isin(PART, TAIL)).unionByName(alone.join(inside, place, "left_semi"))
+    crossing = _joined(rest.select("file", "split", "at", F.col("record").alias("line")), block_lines)
+    both = whole.select("file", "split", "at", "record").unionByName(crossing)
+    return both.withColumn("record", F.regexp_replace("record", "\r$", ""))
+
+
+def _joined(lines: DataFrame, block_lines: int) -> DataFrame:
+    """(file, split, at, record) of lines of which those left out begin and end outside."""
+    lines = _with_actions(lines).withColumn("block", F.floor(F.col("at") / block_lines))
     lines = write_table(lines, "csv-lines")
 
     # actions of whole blocks: the last fixed line's end (null where none is) and the swaps after it
@@ -113,4 +226,4 @@ def records(lines: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     joined = joined.groupBy("file", F.col("own.split").alias("split"), F.col("own.at").alias("at")).agg(F.array_join(F.array_sort(F.collect_list(F.struct(F.struct("split", "at").alias("k"), "line")))["line"], "\n").alias("record"))
     spanning = told.select(F.col("at").alias("t_at"))
     single = lines.join(spanning, F.col("at") == F.col("t_at"), "left_anti").select("file", "split", "at", F.col("line").alias("record"))
-    return single.unionByName(joined).withColumn("record", F.regexp_replace("record", "\r$", ""))
+    return single.unionByName(joined)
